@@ -1,0 +1,35 @@
+"""Connected components of a large graph by contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links (u long, v long) -> node, component: one row for each node that has a link; component is one of its nodes.
+
+    Each round, every node moves to the neighbour (itself included) that is
+    least in an order drawn anew by hash, and links move with their ends. A
+    group of any shape shrinks by a constant factor a round, and nothing but
+    the number of links left reaches the driver. Moves are followed back at
+    the end.
+    """
+    links = written(links.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    moves = []
+    while not links.isEmpty():
+        seed = len(moves)
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        rank = lambda c: F.struct(F.xxhash64(F.lit(seed), c).alias("h"), F.col(c).alias("x"))
+        move = written(both.groupBy("u").agg(F.min(rank("v")).alias("least")).select(F.col("u").alias("node"), F.least("least", F.struct(F.xxhash64(F.lit(seed), "u").alias("h"), F.col("u").alias("x")))["x"].alias("to")), "moves")
+        moves.append(move)
+        ends = links.join(move.select(F.col("node").alias("u"), F.col("to").alias("a")), "u").join(move.select(F.col("node").alias("v"), F.col("to").alias("b")), "v").filter("a <> b")
+        links = written(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "links")
+    if not moves:
+        return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    at = moves[0].select("node", F.col("to").alias("component"))
+    for move in moves[1:]:
+        at = at.join(move.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return at
