@@ -295,4 +295,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return _with_runs(docs, [docs[c] for c in docs.columns]).mapInArrow(_kept, f"{fields}, n_words long, n_removed long, kept string")
 
 
-__all__ = ["deduplicated", "digests", "repeated"]
+
+SQL = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(0, len(w) - {WINDOW - 1})) AS pos FROM d WHERE len(w) >= {WINDOW}),
+x AS (SELECT doc_id, pos, array_to_string(w[pos + 1:pos + {WINDOW}], ' ') AS s FROM p),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS n FROM x),
+g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + {WINDOW})) AS pos FROM r WHERE n > 1),
+l AS (SELECT doc_id, list(pos) AS gone FROM g GROUP BY doc_id),
+e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM e ANTI JOIN g USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id) LEFT JOIN k USING (doc_id)"""
