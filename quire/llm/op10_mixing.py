@@ -13,8 +13,8 @@ documents of the next block in the order of another, as long as they fit. So
 no source exceeds its budget, and it falls short by less than a document.
 
 Tokens are words [^\\x20\\x09-\\x0D]+; null and empty texts have none, and come
-with any source that takes part in an epoch if their turn comes. A null
-source is a source. Rows with equal doc_id come together; a null doc_id
+with any source that takes part in an epoch if their turn comes; a source
+without tokens has no weight and is left out. A null source is a source. Rows with equal doc_id come together; a null doc_id
 counts as the text "null". Extra columns are kept by `mixed`. An empty table, or one
 without tokens, gives no rows. The driver gets one row for each source, of
 which there are MOST_SOURCES at most.
@@ -106,7 +106,8 @@ def plan(docs: DataFrame, budget: float, repetitions: float, entropy: float | No
 
 
 def mixed(docs: DataFrame, budget: float = BUDGET, repetitions: float = REPETITIONS, entropy: float | None = ENTROPY) -> DataFrame:
-    """docs with n_tokens and epoch (from 0): a row for each time that a document is taken."""
+    """docs with n_tokens and epoch (from 0; in place of columns of these names): a row for each time that a document is taken."""
+    docs = docs.drop("n_tokens", "epoch")
     counted, sources = plan(docs, budget, repetitions, entropy)
     known = counted.join(F.broadcast(sources) if sources.count() <= 10_000 else sources, ["__source", "__null"])
     block, own = _key("epochs", "__source", F.col("__block")), _key("epochs", "__id")

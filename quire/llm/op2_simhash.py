@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -66,7 +66,7 @@ def fingerprints(column: pa.LargeBinaryArray) -> np.ndarray:
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(utf8(batch.column("text"))).view(np.int64))], names=["doc_id", "print"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(fingerprints(utf8(batch.column("text"))).view(np.int64))], names=["doc_id", "mark", "print"])
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -170,11 +170,32 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_linked, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach): a row for each row."""
-    known = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprinted, "doc_id long, print long"), "simhash")
-    nodes = written(known.groupBy("print").agg(F.min("doc_id").alias("least")), "prints")
+def _mark() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash of the text), print, first: the doc_id and mark of the first row (null last) of its component."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text")
+    known = written(base.mapInArrow(_fingerprinted, "doc_id long, mark long, print long"), "simhash")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    nodes = written(known.groupBy("print").agg(F.min(row).alias("least")), "prints")
     found = components(links(nodes.select("print")))
     joined = nodes.join(found, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("component", "print").alias("component"))
-    label = joined.join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("print", "component_id")
-    return known.join(label, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    label = joined.join(joined.groupBy("component").agg(F.min("least").alias("first")), "component").select("print", "first")
+    return known.join(label, "print")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach): a row for each row."""
+    return _labelled(docs).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs without all but the first (by doc_id, null last) of each component."""
+    first = _labelled(docs).select("first.*").distinct().select(F.col("doc_id").alias("__id"), F.col("none").alias("__none"), F.col("mark").alias("__mark"))
+    own = F.col("doc_id").cast("long")
+    kept = docs.withColumns({"__own": F.coalesce(own, F.lit(0)), "__mark": _mark(), "__void": own.isNull()})
+    first = first.select(F.coalesce("__id", F.lit(0)).alias("__own"), "__mark", F.col("__none").alias("__void"))
+    kept = kept.join(first, ["__own", "__mark", "__void"], "left_semi")
+    return kept.dropDuplicates(["__own", "__mark", "__void"]).select(*docs.columns)

@@ -129,7 +129,8 @@ def held_out() -> Column:
 
 
 def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """docs with lang_pred and score. training: text, lang."""
+    """docs with lang_pred and score (in place of columns of these names). training: text, lang."""
+    docs = docs.drop("lang_pred", "score")
     names, log = learn(training)
     model = docs.sparkSession.sparkContext.broadcast((names, log))  # LANGUAGES x GRAMS floats at most
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

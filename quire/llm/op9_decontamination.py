@@ -49,13 +49,8 @@ def _shingles(words: str) -> Column:
 
 def simhash(shingles: str) -> Column:
     """64 bits: each is 1 if set in over half of the hashes."""
-    half = F.size(shingles) / 2
-
-    def bit(b: int) -> Column:
-        ones = F.aggregate(shingles, F.lit(0), lambda n, h: n + F.shiftright(h, b).bitwiseAND(F.lit(1)).cast("int"))
-        return F.when(ones > half, F.lit(-(1 << 63) if b == 63 else 1 << b)).otherwise(F.lit(0)).cast("bigint")
-
-    return reduce(lambda a, b: a.bitwiseOR(b), [bit(b) for b in range(64)])
+    bits = (f"IF(2 * aggregate({shingles}, 0, (n, h) -> n + CAST(shiftright(h, {b}) & 1L AS INT)) > size({shingles}), shiftleft(1L, {b}), 0L)" for b in range(64))
+    return F.expr(" | ".join(bits))
 
 
 def _masks() -> list[int]:
@@ -84,17 +79,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), _words(F.col("text")).alias("words")).withColumn("n", F.size("words")).withColumn("shingles", _shingles("words")).select("doc_id", "mark", "n", "shingles")
     hits = None
     for at in range(0, max(1, len(known)), BLOCK):
-        block = known[at : at + BLOCK]
-        spots = F.filter(F.sequence(F.lit(0), F.size("shingles") - 1), lambda i: F.get(F.col("shingles"), i).isin(block))
-        own = texts.filter(F.size("shingles") > 0).withColumn("spots", spots).filter(F.size("spots") > 0).withColumn("spot", F.explode("spots"))
+        block = known[at : at + BLOCK] or [0]
+        # explode_outer, as a filter on the array would compute it twice
+        spots = F.expr(f"filter(sequence(0, size(shingles) - 1), i -> get(shingles, i) IN ({', '.join(f'{h}L' for h in block)}))")
+        own = texts.withColumn("spots", spots).select("doc_id", "mark", "n", "shingles", F.explode_outer("spots").alias("spot")).filter("spot IS NOT NULL")
         own = own.withColumn("shingle", F.get(F.col("shingles"), F.col("spot")))
-        own = own.join(F.broadcast(places.filter(F.col("shingle").between(block[0], block[-1]))) if block else places, "shingle")  # BLOCK shingles
+        own = own.join(F.broadcast(places.filter(F.col("shingle").between(block[0], block[-1]))), "shingle")  # places of BLOCK shingles
         hits = own if hits is None else hits.unionByName(own)
     shifted = F.explode(F.sequence(F.col("spot") - F.col("place") - SHIFT, F.col("spot") - F.col("place") + SHIFT))
     starts = hits.withColumn("start", shifted).withColumn("start", F.greatest(F.lit(0), F.least("start", F.col("n") - F.col("size"))))
     windows = starts.withColumn("shingles", F.slice("shingles", F.col("start") + 1, F.col("size") - SHINGLE + 1)).groupBy("doc_id", "mark", "size", "start").agg(F.first("shingles").alias("shingles"))
     left = windows.withColumn("print", simhash("shingles")).withColumn("key", F.explode(_blocks("print"))).select("doc_id", "mark", "size", "start", "shingles", "print", "key.*")
     right = items.withColumn("other", simhash("shingles")).withColumn("key", F.explode(_blocks("other"))).select("item_id", "size", F.col("shingles").alias("others"), "other", "key.*")
+    right = F.broadcast(right) if len(known) <= BLOCK else right
     apart = F.col("print").bitwiseXOR(F.col("other"))
     first = reduce(lambda rest, km: F.when(apart.bitwiseAND(F.lit(km[1])) == 0, F.lit(km[0])).otherwise(rest), reversed(list(enumerate(_masks()))), F.lit(None).cast("int"))
     near = (left["size"] == right["size"]) & (left["block"] == right["block"]) & (left["value"] == right["value"]) & (F.bit_count(apart) <= RADIUS) & (first == left["block"])
