@@ -76,7 +76,7 @@ def _key(*parts) -> Column:
 
 
 def plan(docs: DataFrame, budget: float, repetitions: float, entropy: float | None) -> tuple[DataFrame, DataFrame]:
-    """docs with tokens and keys, and a row for each source: source, epochs, cut_block, cut_doc (of the last epoch, what is below)."""
+    """docs with tokens and keys, and a row for each source: its epochs in full, and of the last one the keys below which it is taken."""
     spark = docs.sparkSession
     counted = docs.withColumn("__tokens", token_count(F.col("text"))).withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     counted = counted.withColumn("__source", F.coalesce("source", F.lit(""))).withColumn("__null", F.col("source").isNull())
@@ -86,23 +86,23 @@ def plan(docs: DataFrame, budget: float, repetitions: float, entropy: float | No
     tokens = {(r[0], r[1]): int(r[2]) for r in sizes.groupBy(*keys).agg(F.sum("n").alias("n")).filter("n > 0").limit(MOST_SOURCES + 1).collect()}
     if len(tokens) > MOST_SOURCES:
         raise ValueError(f"at most {MOST_SOURCES} sources")
-    schema = "__source string, __null boolean, epochs long, rest long"
+    schema = "__source string, __null boolean, __epochs long, __rest long"
     if not tokens:
-        return counted, spark.createDataFrame([], schema + ", cut_block string, cut_doc string")
+        return counted, spark.createDataFrame([], schema + ", __cut_block string, __cut_doc string")
     total, share = sum(tokens.values()), weights(tokens, exponent(tokens, budget, repetitions, entropy))
     quota = {s: int(w * budget * total) for s, w in share.items()}
     rows = [(s[0], s[1], quota[s] // n, quota[s] % n) for s, n in tokens.items()]
     sources = spark.createDataFrame(rows, schema)
     order = Window.partitionBy(*keys).orderBy("block_key")
-    ranked = sizes.join(sources, keys).withColumn("block_key", _key("epochs", "__source", F.col("__block")))
-    ranked = ranked.withColumn("upto", F.sum("n").over(order)).filter("upto > rest")
+    ranked = sizes.join(sources, keys).withColumn("block_key", _key("__epochs", "__source", F.col("__block")))
+    ranked = ranked.withColumn("upto", F.sum("n").over(order)).filter("upto > __rest")
     # the first block that doesn't fit; there is one, as rest is less than all
-    edges = ranked.groupBy(*keys).agg(F.min_by(F.struct("__block", "block_key", "rest", "epochs", (F.col("upto") - F.col("n")).alias("before")), "block_key").alias("edge")).select(*keys, "edge.*")
+    edges = ranked.groupBy(*keys).agg(F.min_by(F.struct("__block", "block_key", "__rest", "__epochs", (F.col("upto") - F.col("n")).alias("before")), "block_key").alias("edge")).select(*keys, "edge.*")
     inside = Window.partitionBy(*keys).orderBy("doc_key")
     edge = counted.select(*keys, "__block", "__id", "__tokens").join(F.broadcast(edges) if len(tokens) <= 10_000 else edges, [*keys, "__block"])
-    cut = edge.withColumn("doc_key", _key("epochs", "__id")).withColumn("upto", F.col("before") + F.sum("__tokens").over(inside)).filter("upto > rest")
+    cut = edge.withColumn("doc_key", _key("__epochs", "__id")).withColumn("upto", F.col("before") + F.sum("__tokens").over(inside)).filter("upto > __rest")
     cuts = {(r[0], r[1]): (r[2], r[3]) for r in cut.groupBy(*keys).agg(F.first("block_key"), F.min("doc_key")).collect()}
-    return counted, spark.createDataFrame([(*r, *cuts[r[:2]]) for r in rows], schema + ", cut_block string, cut_doc string")
+    return counted, spark.createDataFrame([(*r, *cuts[r[:2]]) for r in rows], schema + ", __cut_block string, __cut_doc string")
 
 
 def mixed(docs: DataFrame, budget: float = BUDGET, repetitions: float = REPETITIONS, entropy: float | None = ENTROPY) -> DataFrame:
@@ -110,9 +110,9 @@ def mixed(docs: DataFrame, budget: float = BUDGET, repetitions: float = REPETITI
     docs = docs.drop("n_tokens", "epoch")
     counted, sources = plan(docs, budget, repetitions, entropy)
     known = counted.join(F.broadcast(sources) if sources.count() <= 10_000 else sources, ["__source", "__null"])
-    block, own = _key("epochs", "__source", F.col("__block")), _key("epochs", "__id")
-    more = (block < F.col("cut_block")) | ((block == F.col("cut_block")) & (own < F.col("cut_doc")))
-    times = F.col("epochs") + more.cast("long")
+    block, own = _key("__epochs", "__source", F.col("__block")), _key("__epochs", "__id")
+    more = (block < F.col("__cut_block")) | ((block == F.col("__cut_block")) & (own < F.col("__cut_doc")))
+    times = F.col("__epochs") + more.cast("long")
     taken = known.withColumn("__epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<long>"))))
     return taken.select(*[taken[c] for c in docs.columns], F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"))
 

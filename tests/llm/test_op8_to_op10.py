@@ -35,11 +35,14 @@ def brute_leaks(docs, items):
     out = {}
     for d, text in docs:
         w = words(text)
+        whole = bag(w)
         for j, item in items:
             v = words(item)
             if len(v) < 5:
                 continue
             want = bag(v)
+            if not want & whole:
+                continue
             for start in range(max(1, len(w) - len(v) + 1)):
                 have = bag(w[start : start + len(v)])
                 if (s := sum((have & want).values()) / max(1, sum((have | want).values()))) >= 0.8:
