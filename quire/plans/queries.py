@@ -1,22 +1,353 @@
-"""Queries over the driver's tables, by name, with SQL that gives the same rows."""
+"""Queries over the driver's tables, by name, with SQL that gives the same rows.
+
+Each applies an operator with parameters that fit the tables: names, titles
+and lines there are plain Latin text.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions import text as T
+from quire.operators import chapters, dedup, nav, pages, series
+from quire.operators.graph import components
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a function of tables by name; sql gives the same rows."""
+
+    def add(make: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
+        name = make.__name__
+        QUERIES[name] = lambda spark, sf_dir: make(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return make
+
+    return add
 
-def dup_keeper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", F.sha2("text", 256).alias("hash"))
-    same = Window.partitionBy("hash")
-    return docs.withColumn("members", F.count("*").over(same)).filter("members > 1").withColumn("place", F.row_number().over(same.orderBy(F.desc("n_chars"), F.desc("doc_id")))).select("hash", "doc_id", "members", (F.col("place") == 1).alias("keep"))
 
+# Duplicates.
 
-QUERIES = {"dup_keeper": dup_keeper}
 
-ORACLE_SQL = {
-    "dup_keeper": """SELECT hash, doc_id, members, place = 1 AS keep FROM (
+@query("""SELECT hash, doc_id, n_chars, members, place = 1 AS keep FROM (
   SELECT *, count(*) OVER (PARTITION BY hash) AS members, row_number() OVER (PARTITION BY hash ORDER BY n_chars DESC, doc_id DESC) AS place
-  FROM (SELECT doc_id, n_chars, sha256(text) AS hash FROM documents)) WHERE members > 1""",
-}
+  FROM (SELECT doc_id, n_chars, sha256(text) AS hash FROM documents)) WHERE members > 1""")
+def dup_keeper(t):
+    return dedup.exact_texts(t("documents").select("doc_id", "n_chars", "text"), "text", ["n_chars", "doc_id"])
+
+
+@query("""SELECT count(*) AS groups, sum(n)::BIGINT AS members, sum(n - 1)::BIGINT AS removable, max(n) AS largest, sum(CASE WHEN sources > 1 THEN 1 ELSE 0 END)::BIGINT AS over_sources
+  FROM (SELECT count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY sha256(text) HAVING count(*) > 1)""")
+def dup_summary(t):
+    each = t("documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources")).filter("n > 1")
+    return each.agg(F.count("*").alias("groups"), F.sum("n").alias("members"), F.sum(F.col("n") - 1).alias("removable"), F.max("n").alias("largest"), F.sum((F.col("sources") > 1).cast("int")).alias("over_sources"))
+
+
+@query("""SELECT doc_id, n_chars, grp FROM (SELECT doc_id, n_chars, lang || '|' || source AS grp, count(*) OVER (PARTITION BY lang, source, n_chars) AS same FROM documents) WHERE same > 1""")
+def dup_hash_candidates(t):
+    own = t("documents").select("doc_id", "n_chars", F.concat_ws("|", "lang", "source").alias("group"), F.col("n_chars").alias("range_start"), F.col("n_chars").alias("range_end"))
+    return dedup.needing_hash(own).select("doc_id", "n_chars", F.col("group").alias("grp"))
+
+
+_TITLE = "substr(lower(regexp_replace(text, '[^0-9A-Za-z]+', '', 'g')), 1, 40)"
+
+
+def _titles(t):
+    key = F.substring(F.lower(F.regexp_replace("text", "[^0-9A-Za-z]+", "")), 1, 40)
+    return t("documents").select("doc_id", "lang", key.alias("key")).filter("key <> ''")
+
+
+_PAIRS = f"""k AS (SELECT DISTINCT lang, substr(key, 1, 1) AS first, key FROM (SELECT lang, {_TITLE} AS key FROM documents) WHERE key <> ''),
+pairs AS (SELECT x.lang, x.key AS a, y.key AS b FROM k x JOIN k y USING (lang, first) WHERE (length(x.key) < length(y.key) OR (length(x.key) = length(y.key) AND x.key < y.key))
+  AND length(x.key) / length(y.key) >= 0.72 AND (length(y.key) - levenshtein(x.key, y.key)) / length(y.key) >= 0.72)"""
+
+
+@query(f"WITH {_PAIRS} SELECT lang, a, b FROM pairs")
+def dup_fuzzy_pairs(t):
+    titles = _titles(t).select("lang", F.substring("key", 1, 1).alias("first"), "key").distinct()
+    return dedup.similar_pairs(titles, ["lang", "first"]).select("lang", "a", "b")
+
+
+@query(f"""WITH RECURSIVE {_PAIRS},
+e AS (SELECT lang || '|' || a AS u, lang || '|' || b AS v FROM pairs UNION SELECT lang || '|' || b, lang || '|' || a FROM pairs),
+reach(u, v) AS (SELECT DISTINCT u, u FROM e UNION SELECT reach.u, e.v FROM reach JOIN e ON reach.v = e.u)
+SELECT u AS node, min(v) AS component FROM reach GROUP BY u""")
+def dup_components(t):
+    titles = _titles(t).select("lang", F.substring("key", 1, 1).alias("first"), "key").distinct()
+    name = lambda c: F.concat_ws("|", "lang", c)
+    return components(dedup.similar_pairs(titles, ["lang", "first"]).select(name("a").alias("u"), name("b").alias("v")))
+
+
+@query("""SELECT l_suppkey, l_orderkey, l_linenumber, (sum(opens) OVER (PARTITION BY l_suppkey ORDER BY s, e, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING))::INTEGER AS island
+FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens
+  FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey * 10 AS s, l_partkey * 10 + l_quantity::BIGINT AS e FROM lineitem))""")
+def range_islands(t):
+    own = t("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", (F.col("l_partkey") * 10).alias("s"), (F.col("l_partkey") * 10 + F.col("l_quantity").cast("long")).alias("e"))
+    return dedup.islands(own, ["l_suppkey"], "s", "e", ["l_orderkey", "l_linenumber"]).select("l_suppkey", "l_orderkey", "l_linenumber", "island")
+
+
+# Names and series.
+
+
+@query("""SELECT page_id, try_cast(nullif(regexp_extract(url, '/(\\d{1,5})(?:[/?#.]|$)', 1), '') AS BIGINT) AS number FROM pages""")
+def parse_number(t):
+    return t("pages").select("page_id", F.regexp_extract("url", r"/(\d{1,5})(?:[/?#.]|$)", 1).try_cast("bigint").alias("number"))
+
+
+@query("""SELECT c_custkey, least(list_min(a), list_min(b)) AS range_start, greatest(list_max(a), list_max(b)) AS range_end FROM (
+  SELECT c_custkey, list_transform(regexp_extract_all(s, '(\\d{1,5})-(\\d{1,5})', 1), lambda x: x::INTEGER) AS a, list_transform(regexp_extract_all(s, '(\\d{1,5})-(\\d{1,5})', 2), lambda x: x::INTEGER) AS b
+  FROM (SELECT c_custkey, c_mktsegment || ' ' || c_nationkey || '-' || (c_custkey % 90) || ' vol' AS s FROM customer))""")
+def parse_range(t):
+    name = F.concat("c_mktsegment", F.lit(" "), "c_nationkey", F.lit("-"), F.col("c_custkey") % 90, F.lit(" vol"))
+    return t("customer").select("c_custkey", T.number_range(name).alias("r")).select("c_custkey", F.col("r.start").alias("range_start"), F.col("r.end").alias("range_end"))
+
+
+_NORM = "lower(regexp_replace(regexp_replace(p_name, '\\s*[0-9]+$', ''), '[\\s._-]+', '', 'g'))"
+
+
+@query(f"""SELECT norm, arg_min(key, p_partkey) AS key, count(*) AS members, min(p_partkey) AS first
+  FROM (SELECT p_partkey, regexp_replace(p_name, '\\s*[0-9]+$', '') AS key, {_NORM} AS norm FROM part) WHERE norm <> '' GROUP BY norm""")
+def series_groups(t):
+    named = series.with_group(t("part").withColumnRenamed("p_partkey", "pos"), F.regexp_replace("p_name", r"\s*[0-9]+$", ""))
+    return series.canonical(named).select("norm", "key", "members", "first")
+
+
+@query(None)
+def greedy_series_merge(t):
+    named = series.with_group(t("part").withColumnRenamed("p_partkey", "pos"), F.regexp_replace(F.concat_ws(" ", "p_type", F.substring("p_name", 1, 6)), r"\s*[0-9]+$", ""))
+    return series.merge_alike(series.canonical(named))
+
+
+@query("""SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, seen) AS place FROM (
+  SELECT user_id, event_type, count(*) AS n, min(event_id) AS seen FROM events WHERE coalesce(event_type, '') <> '' GROUP BY user_id, event_type)) WHERE place = 1""")
+def majority_value(t):
+    return series.majority(t("events"), ["user_id"], "event_type", "event_id")
+
+
+@query("""WITH c AS (SELECT o_custkey, o_orderpriority AS a, count(*) AS n, max(o_orderkey) AS last, min(o_orderkey) AS seen FROM orders WHERE o_orderpriority <> '' GROUP BY 1, 2),
+top AS (SELECT * FROM c QUALIFY n = max(n) OVER (PARTITION BY o_custkey))
+SELECT o_custkey, a AS o_orderpriority FROM top QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY length(a), last DESC) = 1""")
+def majority_author(t):
+    return series.majority_author(t("orders"), ["o_custkey"], "o_orderpriority", "o_orderkey")
+
+
+@query("""SELECT *, CASE WHEN volumes > 0 AND episodes > 0 THEN CASE WHEN volumes >= episodes THEN 'volume' ELSE 'episode' END END AS unit
+  FROM (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS volumes, count(*) FILTER (event_type = 'view') AS episodes FROM events GROUP BY user_id)""")
+def unit_majority(t):
+    return series.unit_majority(t("events"), ["user_id"], F.col("event_type") == "purchase", F.col("event_type") == "view")
+
+
+@query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY regexp_replace(regexp_replace(lower(p_name || ' ' || p_partkey), '([0-9]+)', '0000000000000000000\\1', 'g'), '0*([0-9]{20})([^0-9]|$)', '\\1\\2', 'g'), p_partkey)::INTEGER AS place FROM part""")
+def natural_order(t):
+    key = series.natural_key(F.concat_ws(" ", "p_name", "p_partkey"))
+    return t("part").select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(key, "p_partkey")).alias("place"))
+
+
+@query("""SELECT p_partkey, 'new ' || replace(p_name, 'a', 'A') || ' ' || (10 + 5 * (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)) || 'v' AS new FROM part""")
+def batch_rename(t):
+    return series.batch_names(t("part"), "p_name", ["p_partkey"], "a", "A", "new ", 10, 5, "v", ["p_brand"]).select("p_partkey", "new")
+
+
+# Lines and chapters.
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)),
+  lambda x: trim(regexp_replace(x, '[ \t\f\v]+', ' ', 'g'))), lambda x: NOT regexp_matches(x, '(?i)^(?:front|frontmatter|bodymatter|backmatter|section[\s_-]*0*\d{1,6})(?:\.(?:xhtml|html|htm|xml))?$')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS text FROM documents""")
+def line_cleanup(t):
+    return t("documents").select("doc_id", T.clean_lines(F.col("text")).alias("text"))
+
+
+_HEADS = r"^(?:[A-Z][a-zà-ÿ]+[.]|[A-Z]+!!|\d+\.)"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+s AS (SELECT *, (sum(CASE WHEN regexp_matches(line, '{_HEADS}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))::BIGINT AS segment FROM l)
+SELECT doc_id, segment, count(*) AS lines, sum(length(line))::BIGINT AS chars, min(pos)::INTEGER AS first FROM s GROUP BY doc_id, segment""")
+def segment_lines(t):
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    own = chapters.segments(lines, ["doc_id"], "pos", F.col("line").rlike(_HEADS))
+    return own.groupBy("doc_id", "segment").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"), F.min("pos").alias("first"))
+
+
+@query("""SELECT conv_id, turn, num, last_value(num IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev,
+  first_value(num IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next
+  FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN length(text) END AS num FROM conversations)""")
+def prev_next_numeric(t):
+    own = t("conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.length("text").cast("long")).alias("num"))
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    return own.withColumn("prev", F.last("num", True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("next", F.first("num", True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+
+
+@query("""SELECT l_suppkey, unnest(range(day + 1, after)) AS missing FROM (SELECT l_suppkey, day, lead(day) OVER (PARTITION BY l_suppkey ORDER BY day) AS after
+  FROM (SELECT DISTINCT l_suppkey, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS day FROM lineitem)) WHERE after > day + 1""")
+def sequence_gaps(t):
+    own = t("lineitem").select("l_suppkey", F.datediff(F.to_date("l_shipdate"), F.to_date(F.lit("1992-01-01"))).cast("long").alias("day"))
+    return chapters.gaps(own, ["l_suppkey"], "day")
+
+
+def _numbered(t):
+    """Turns as chapters: their titles are numbered by the length of the text, or not numbered."""
+    title = F.when(F.length("text") % 4 == 0, F.lit("note")).otherwise(F.concat((F.length("text") % 30).cast("string"), F.lit(". text")))
+    return t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), title.alias("title"), F.array("text").alias("lines"))
+
+
+_NUMBERED = """n AS (SELECT conv_id AS doc, turn AS pos, CASE WHEN length(text) % 4 <> 0 THEN length(text) % 30 END AS num, length(text) AS size, text FROM conversations),
+m AS (SELECT *, last_value(num IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev,
+  first_value(num IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM n)"""
+
+
+@query(f"""WITH {_NUMBERED} SELECT doc, pos, kind, kind IN ('flow', 'order') AS auto_merge FROM (SELECT doc, pos,
+  CASE WHEN num IS NULL THEN CASE WHEN next - prev <= 3 THEN 'flow' END WHEN num <= prev THEN 'order' WHEN num > prev + 1 THEN 'gap' END AS kind FROM m) WHERE kind IS NOT NULL""")
+def sequence_suspects(t):
+    return chapters.suspects(_numbered(t))
+
+
+@query(f"""WITH {_NUMBERED}, s AS (SELECT *, coalesce(next > prev AND next - prev <= 3 AND NOT (num > prev AND num < next), false) AND row_number() OVER (PARTITION BY doc ORDER BY pos) > 1 AS goes FROM m),
+g AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS segment FROM s)
+SELECT doc, min(pos) AS pos, (count(*) + count(*) FILTER (goes))::INTEGER AS n_lines FROM g GROUP BY doc, segment""")
+def absorb_interruptions(t):
+    return chapters.absorb_interruptions(_numbered(t)).select("doc", "pos", F.size("lines").alias("n_lines"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, length(text) < 300 AND role <> 'user' AND row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 AS goes, text FROM conversations),
+g AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS segment FROM s)
+SELECT conv_id AS doc, min(turn) AS pos, string_agg(CASE WHEN goes THEN '<b>assistant</b>' || chr(10) || text ELSE text END, chr(10) ORDER BY turn) AS body FROM g GROUP BY conv_id, segment""")
+def merge_short(t):
+    title = F.when(F.col("role") == "user", F.lit("1. user")).otherwise(F.lit("assistant"))
+    own = t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), title.alias("title"), F.array("text").alias("lines"))
+    return chapters.merge_short(own, 300).select("doc", "pos", F.array_join("lines", "\n").alias("body"))
+
+
+@query("""SELECT user_id, event_id, CASE WHEN units >= dots THEN n || '화 ' || event_type ELSE n || '. ' || event_type END AS title FROM (
+  SELECT user_id, event_id, event_type, event_id % 100 AS n, count(*) FILTER (value::BIGINT % 2 = 0) OVER (PARTITION BY user_id) AS units, count(*) FILTER (value::BIGINT % 2 <> 0) OVER (PARTITION BY user_id) AS dots
+  FROM (SELECT * REPLACE (floor(value) AS value) FROM events))""")
+def dominant_style(t):
+    number, even = (F.col("event_id") % 100).cast("string"), F.floor("value") % 2 == 0
+    title = F.concat(number, F.when(even, F.lit("화 ")).otherwise(F.lit(". ")), "event_type")
+    own = t("events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("pos"), title.alias("title"), F.array().cast("array<string>").alias("lines"))
+    return chapters.with_style(own).select(F.col("doc").alias("user_id"), F.col("pos").alias("event_id"), "title")
+
+
+@query(None)
+def lis_filter(t):
+    own = t("events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("pos"), F.concat((F.floor("value") % 1000).cast("string"), F.lit(". "), "event_type").alias("title"), F.array("event_type").alias("lines"))
+    return chapters.keep_ascending(own)
+
+
+# Pages.
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'),
+  '(?i)<br\s*/?>|</(?:p|div|li|tr|td|th|h[1-6])\s*>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\f\v]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS text FROM pages""")
+def html_plain_text(t):
+    return t("pages").select("page_id", T.plain_text(F.col("html")).alias("text"))
+
+
+@query(r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h([1-6])\b[^>]*>(.*?)</h[1-6]>', 1) AS l, regexp_extract_all(html, '(?is)<h([1-6])\b[^>]*>(.*?)</h[1-6]>', 2) AS t FROM pages)
+SELECT page_id, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, unnest(l)::INTEGER AS level, trim(regexp_replace(regexp_replace(unnest(t), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS heading FROM h""")
+def page_headings(t):
+    return pages.headings(t("pages"), "page_id", "html")
+
+
+@query(r"""WITH x AS (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS name, html,
+  trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(name, '(?i)copyright|colophon|rights?|imprint|credit') THEN 'copyright'
+  WHEN length(text) < 2000 AND regexp_matches(substr(text, 1, 800), '(?i)all\s+rights?\s+reserved|©\s*20\d\d|ISBN[\s:-]') THEN 'copyright'
+  WHEN length(text) < 1200 AND regexp_matches(text, '(?i)Contents') AND regexp_matches(text, '(?i)\d+-\d+[.\s]|Episode\s*\d+|Ch(?:apter)?\s*\d+') THEN 'index' END AS reason FROM x""")
+def page_skip_reason(t):
+    own = t("pages").select("page_id", F.regexp_extract("url", "://[^/]*/([^?#]*)", 1).alias("path"), F.col("html").alias("markup"))
+    return pages.classified(own).select("page_id", "reason")
+
+
+@query(r"""SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '(?i)\bhref="([^"]+)"', 1))) AS ref FROM pages""")
+def link_refs(t):
+    return pages.references(t("pages"), "page_id", "html", r'(?i)\bhref="([^"]+)"')
+
+
+@query(r"""WITH r AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '(?i)\bhref="/([^"]+)"', 1))) AS ref FROM pages)
+SELECT page_id, ref FROM r WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE lower(w) = lower(ref))""")
+def missing_refs(t):
+    refs = pages.references(t("pages"), "page_id", "html", r'(?i)\bhref="/([^"]+)"')
+    known = t("part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct()
+    return refs.join(known, F.lower("ref") == F.col("w"), "left_anti")
+
+
+@query(r"""SELECT host, url, score, row_number() OVER (PARTITION BY host ORDER BY score, first, url)::INTEGER AS place FROM (
+  SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, url, min(CASE WHEN starts_with(url, 'https') THEN 0 ELSE 10 END + CASE WHEN contains(url, '?') THEN 5 ELSE 0 END) AS score, min(page_id) AS first FROM pages GROUP BY url) QUALIFY place = 1""")
+def url_score_top1(t):
+    score = F.when(F.col("url").startswith("https"), 0).otherwise(10) + F.when(F.col("url").contains("?"), 5).otherwise(0)
+    own = t("pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), "url", "page_id")
+    return pages.scored_urls(own, "host", "url", score, "page_id").filter("place = 1")
+
+
+@query("""SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS line_ends, len(regexp_extract_all(text, '[0-9]')) AS digits, len(regexp_extract_all(text, '[$%&#*]')) AS marks FROM documents""")
+def char_class_counts(t):
+    count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
+    return t("documents").select("doc_id", count("\n").alias("line_ends"), count("[0-9]").alias("digits"), count("[$%&#*]").alias("marks"))
+
+
+@query("""SELECT doc_id, name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\x{00AD}\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}]')) AS c FROM documents) JOIN (VALUES (chr(173), 'U+00AD'), (chr(8203), 'U+200B'), (chr(8204), 'U+200C'), (chr(8205), 'U+200D'), (chr(65279), 'U+FEFF')) v(c, name) USING (c) GROUP BY ALL""")
+def invisible_totals(t):
+    return pages.invisible_totals(t("documents"), "doc_id", "text")
+
+
+# Order and navigation.
+
+
+@query("""SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE role IS DISTINCT FROM before""")
+def consecutive_dedupe(t):
+    return nav.consecutive_distinct(t("conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", F.col("role"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, CASE WHEN l_quantity > 25 THEN l_suppkey END AS volume, l_linenumber FROM lineitem),
+b AS (SELECT *, CASE WHEN volume IS NULL THEN 0 ELSE 1 END AS level, NULL::BIGINT AS children FROM r UNION ALL SELECT l_orderkey, volume, NULL, 0, count(*) FROM r WHERE volume IS NOT NULL GROUP BY 1, 2)
+SELECT l_orderkey, volume, l_linenumber, level, children, row_number() OVER (PARTITION BY l_orderkey ORDER BY volume NULLS FIRST, level, l_linenumber)::INTEGER AS place FROM b""")
+def nav_hierarchy(t):
+    rows = t("lineitem").select("l_orderkey", F.when(F.col("l_quantity") > 25, F.col("l_suppkey")).alias("volume"), "l_linenumber")
+    return nav.hierarchy(rows, ["l_orderkey"], "volume", ["l_linenumber"]).select("l_orderkey", "volume", "l_linenumber", "level", "children", "place")
+
+
+@query("""WITH a AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS markers FROM lineitem GROUP BY 1),
+s AS (SELECT l_orderkey, count(*) AS books, max(n) AS most FROM (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1)
+SELECT l_orderkey, markers, markers >= 2 AND NOT (books > 1 AND most = 1) AS multi_volume FROM a JOIN s USING (l_orderkey)""")
+def multi_volume_gate(t):
+    own = t("lineitem")
+    return nav.multi_volume(own, own, ["l_orderkey"], "l_suppkey", F.col("l_returnflag") == "R")
+
+
+@query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
+def combined_text(t):
+    return nav.joined_text(t("conversations"), ["conv_id"], ["turn"], F.concat_ws(": ", "role", "text"))
+
+
+@query("""SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS priority, arg_min(CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END, CASE WHEN o_orderstatus <> 'O' THEN o_orderkey END) AS status FROM orders GROUP BY o_custkey""")
+def first_nonempty_meta(t):
+    own = t("orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderstatus")).alias("status"))
+    return nav.first_filled(own, ["o_custkey"], "o_orderkey", ["priority", "status"])
+
+
+@query(r"""SELECT doc_id, regexp_extract(text, '([A-Za-z0-9._]+)@([A-Za-z0-9.]+)', 1) AS name, regexp_extract(text, '([A-Za-z0-9._]+)@([A-Za-z0-9.]+)', 2) AS author FROM documents WHERE contains(text, '@')""")
+def at_author(t):
+    own = t("documents").filter(F.col("text").contains("@"))
+    part = lambda i: F.regexp_extract("text", r"([A-Za-z0-9._]+)@([A-Za-z0-9.]+)", i)
+    return own.select("doc_id", part(1).alias("name"), part(2).alias("author"))
+
+
+@query("""SELECT page_id, CASE WHEN n = 1 THEN stem ELSE stem || ' (' || (n - 1) || ')' END AS name FROM (
+  SELECT page_id, stem, row_number() OVER (PARTITION BY host, stem ORDER BY page_id) AS n FROM (
+    SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/]*/([a-z]*)', 1) AS stem FROM pages))""")
+def unique_names(t):
+    own = t("pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", "://[^/]*/([a-z]*)", 1).alias("stem"))
+    return nav.unique_names(own, "host", "stem", "page_id").select("page_id", F.col("unique").alias("name"))
+
+
+@query("""SELECT source, doc_id, sha256(text) AS hash, first_value(doc_id) OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) AS use FROM documents""")
+def content_reuse(t):
+    return nav.reuse(t("documents").select("source", "doc_id", "text"), ["source"], "text", "doc_id", "doc_id").select("source", "doc_id", "hash", "use")
