@@ -118,4 +118,4 @@ wn AS (SELECT doc_id, size, start, sum(c) AS total FROM wins GROUP BY ALL),
 bc AS (SELECT item_id, size, s, count(*) AS c FROM b GROUP BY ALL),
 both_ AS (SELECT doc_id, item_id, size, start, sum(least(wins.c, bc.c)) AS common FROM wins JOIN bc USING (size, s) GROUP BY ALL),
 sims AS (SELECT doc_id, item_id, start, common::DOUBLE / (total + size - 4 - common)::DOUBLE AS similarity FROM both_ JOIN wn USING (doc_id, size, start))
-SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(start, struct_pack(a := similarity, b := -start)) AS start FROM sims WHERE similarity >= {SIMILARITY} GROUP BY doc_id, item_id"""
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(start, struct_pack(a := similarity, b := -start))::INTEGER AS start FROM sims WHERE similarity >= {SIMILARITY} GROUP BY doc_id, item_id"""
