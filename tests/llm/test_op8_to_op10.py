@@ -154,3 +154,23 @@ def test_pipeline(spark, sf_dir):
     assert clean == set(before) - {d for d, _ in brute_leaks([(i, r["text"]) for i, r in before.items()], items)}
     out = corpus_pipeline.run(spark, sf_dir)
     assert set(docs.columns) < set(out.columns) and 0 < out.select("doc_id").distinct().count() <= len(before)
+
+
+def test_pipeline_of_odd_tables(spark, sf_dir):
+    """Nulls in any column, empty and repeated rows, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    prose = " ".join(f"word{i} and other{i * 7}" for i in range(60))
+    rows = [(1, prose, "en", "a", len(prose)), (1, prose, "en", "a", len(prose)), (2, None, None, None, None), (3, "", "en", "b", 0), (None, prose + " more", "en", None, 9), (None, None, None, None, None), (5, "123 456", "de", "c", 7), (6, "x " * 5000, "en", "a", 10000)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        alone = {}
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns[: len(docs.columns)] == docs.columns
+            alone[name] = out.collect()
+        n = docs.count()
+        assert len(alone["substrings"]) == len(alone["decontamination"]) == n
+        if n:
+            assert {r["text"] for r in alone["language"]} == {prose, prose + " more", "x " * 5000}
+            assert sorted(r["doc_id"] for r in alone["near_duplicates"] if r["doc_id"] is not None) == [1, 2, 5, 6]
+            assert {r["text"] for r in alone["near_duplicates"] if r["doc_id"] is None} <= {prose + " more"}
+            assert all(r["epoch"] >= 0 and r["text"] for r in alone["mixing"] if r["n_tokens"])
