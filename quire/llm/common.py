@@ -17,6 +17,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BASE = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at once, so that scratch arrays stay in the cache.
+_SPAN = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -86,15 +88,27 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64 bits for each word, of its bytes alone."""
-        power, inverse = _power(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, U64)
-        np.cumsum((self.data.astype(U64) + U64(1)) * power[: len(self.data)], out=total[1:])
-        return mixed((total[self.end] - total[self.start]) * inverse[self.start])
+        out = np.empty(len(self.start), U64)
+        lo = 0
+        while lo < len(out):
+            base = self.start[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.end, base + _SPAN, "right")))
+            part = self.data[base : self.end[hi - 1]]
+            power, inverse = _power(len(part) + 1)
+            total = np.zeros(len(part) + 1, U64)
+            total[1:] = part
+            total[1:] += U64(1)
+            total[1:] *= power[: len(part)]
+            np.cumsum(total, out=total)
+            at = self.start[lo:hi] - base
+            out[lo:hi] = (total[self.end[lo:hi] - base] - total[at]) * inverse[at]
+            lo = hi
+        return mixed(out)
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 2 * _SPAN)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, U64)
             steps[0] = 1

@@ -20,15 +20,16 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mixed, pieces, raw, shuffle_partitions, utf8
+from .common import U64, Words, mixed, pieces, raw, shuffle_partitions, utf8, written
 
 WINDOW, MINIMISER, LONGEST = 20, 3, 256
 #: Buckets for each shuffle partition; rows of a bucket are in memory together, packed.
@@ -37,6 +38,8 @@ BUCKETS = 16
 AT_ONCE = 2_000_000
 #: One document in so many is read to find frequent minimisers.
 SAMPLE = 64
+#: 64-bit words of the table that tells which documents have no repeated window.
+TABLE = 1 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -104,7 +107,7 @@ def _packer(buckets: int, hot: np.ndarray):
             ids = batch.column("doc_id").fill_null(_LAST).to_numpy(zero_copy_only=False)
             checks = batch.column("mark").to_numpy(zero_copy_only=False)
             whole = utf8(batch.column("text"))
-            for lo, hi in pieces(whole, 4 << 20):
+            for lo, hi in pieces(whole):
                 column = _normal(whole[lo:hi])
                 data, offsets = raw(column)
                 words = Words(data, offsets)
@@ -256,44 +259,75 @@ def covered(runs: list[dict], n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words, removed, kept = [], [], []
-        for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            own = (text or "").encode().split()
-            words.append(len(own))
-            if runs:
-                gone = covered(runs, len(own))
-                own = [w for w, g in zip(own, gone.tolist(), strict=True) if not g]
-            removed.append(words[-1] - len(own))
-            kept.append(b" ".join(own))
-        rest = [c for c in batch.schema.names if c not in ("runs",)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*rest, "n_words", "n_removed", "kept"])
+def _left(text: str | None, runs: list[dict] | None) -> tuple[int, list[bytes]]:
+    """How many words a text has, and those not covered."""
+    words = (text or "").encode().split()
+    if not runs:
+        return len(words), words
+    return len(words), [w for w, gone in zip(words, covered(runs, len(words)).tolist(), strict=True) if not gone]
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _kept(batches):
-        digest = [hashlib.sha256(x).hexdigest() for x in utf8(batch.column("kept")).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_words", "n_removed")), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    for batch in batches:
+        found = [(n, n - len(left), hashlib.sha256(b" ".join(left)).hexdigest()) for n, left in map(_left, batch.column("text").to_pylist(), batch.column("__runs").to_pylist())]
+        n, gone, digest = zip(*found, strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _with_runs(docs: DataFrame, columns: list[Column]) -> DataFrame:
-    runs = repeated(docs).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "size")).alias("runs"))
-    runs = runs.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "runs")
-    return docs.join(runs, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("__id")) & (_mark() == F.col("__mark")), "left").select(*columns, "runs")
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for text, runs in zip(batch.column("text").to_pylist(), batch.column("__runs").to_pylist(), strict=True):
+            texts.append(b" ".join(_left(text, runs)[1]).decode() if runs else text)
+        names = [c for c in batch.schema.names if c not in ("__runs", "__id", "__mark", "__a", "__b")]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+
+
+def _split(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
+    """finish (an Arrow function) over docs with __runs, the runs of each row.
+
+    Only rows that may have runs are shuffled: a Bloom table of fixed size
+    tells which can't have any. The larger the corpus, the more get past it;
+    the join decides.
+    """
+    spark = docs.sparkSession
+    own = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__mark": _mark()})
+    runs = written(repeated(docs).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "size")).alias("__runs")), "runs").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "__runs")
+    bits = [F.pmod(F.xxhash64(F.lit(k), "__id", "__mark"), F.lit(64 * TABLE)) for k in range(2)]
+    marks = runs.select(F.explode(F.array(*bits)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits"))
+    table = np.zeros(TABLE, np.int64)
+    for place, word in marks.toPandas().itertuples(index=False):  # TABLE rows at most
+        table[place] = word
+    table = spark.sparkContext.broadcast(table.view(U64))
+
+    def chosen(may: bool, then: Callable) -> Callable:
+        """then, over the rows that may have runs, or over the others."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def own() -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    places = [batch.column(c).to_numpy() for c in ("__a", "__b")]
+                    bits = [table.value[x >> 6] >> (x & 63).astype(U64) & U64(1) for x in places]
+                    yield batch.filter(pa.array((bits[0] & bits[1]).astype(bool) == may))
+
+            yield from then(own())
+
+        return run
+
+    asked = own.withColumns({"__a": bits[0], "__b": bits[1], "__runs": F.lit(None).cast("array<struct<at:int,size:int>>")})
+    some = asked.drop("__runs").mapInArrow(chosen(True, iter), asked.drop("__runs").schema).join(runs, ["__id", "__mark"], "left").drop("__id", "__mark", "__a", "__b")
+    return asked.mapInArrow(chosen(False, finish), schema).unionByName(some.mapInArrow(finish, schema))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: a row for each row."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_runs(base, [F.col("doc_id"), F.col("text")]).mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _split(base, _digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with kept (the words left, joined by spaces), n_words and n_removed."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return _with_runs(docs, [docs[c] for c in docs.columns]).mapInArrow(_kept, f"{fields}, n_words long, n_removed long, kept string")
-
+    """docs, where the text of documents that lose words is their other words, joined by spaces."""
+    return _split(docs, _cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
 
 
 SQL = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
