@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, lowered, pieces, raw, shingles, shuffle_partitions, utf8, written
+from .common import U64, Words, lowered, mixed, pieces, raw, shingles, shuffle_partitions, utf8, written
 from .components import components
 
 SHINGLE, PERMUTATIONS, BAND_ROWS, SIMILARITY = 5, 128, 4, 0.8
@@ -30,7 +30,11 @@ _LEAST = np.iinfo(np.int64).min
 
 
 def signatures(column: pa.LargeBinaryArray) -> np.ndarray:
-    """16 bits of the least value of each permutation a*x+b, for each text."""
+    """16 bits of a mix of the whole least value of each permutation a*x+b, for each text.
+
+    The top bits alone would be near zero for any long text, so unlike long
+    texts would agree; the mix depends on all 64 bits.
+    """
     out = np.full((len(column), PERMUTATIONS), 0xFFFF, np.uint16)
     for lo, hi in pieces(column):
         data, offsets = raw(column[lo:hi])
@@ -50,7 +54,9 @@ def _least(x: np.ndarray, at: np.ndarray, width: int = 1024) -> np.ndarray:
         values += _B[:, None]
         rows = own[heads]
         least[rows] = np.minimum(least[rows], np.minimum.reduceat(values, heads, axis=1).T)
-    return (least >> U64(48)).astype(np.uint16)
+    out = (mixed(least) & U64(0xFFFF)).astype(np.uint16)
+    out[np.diff(at) == 0] = 0xFFFF
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -65,6 +66,16 @@ def test_fingerprints(docs):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_fingerprints_of_long_texts():
+    """Texts of 100,000 words and more: the likeness is still that of the shingle sets."""
+    text = lambda lo, hi: " ".join(f"w{i}" for i in range(lo, hi)).encode()
+    long = [text(0, 120_000), text(200_000, 320_000), text(60_000, 180_000), text(400_000, 700_000), text(700_000, 1_000_000), b"", b"  "]
+    got = op1.signatures(pa.array(long, pa.large_binary()))
+    alike = lambda a, b: float(op1.likeness(got[a : a + 1], got[b : b + 1])[0])
+    assert alike(0, 1) < 0.05 and alike(3, 4) < 0.05 and alike(0, 5) < 0.05
+    assert abs(alike(0, 2) - 1 / 3) < 0.15 and alike(5, 6) == 1.0 and (got[5] == 0xFFFF).all()
+
+
 def test_fingerprints_of_few_rows(spark):
     assert op1.fingerprint_with_edits(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     one = op1.fingerprint_with_edits(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).first()
