@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from quire.llm import op2_simhash, op4_language, op7_substrings, op9_decontamination, op10_mixing
 from quire.llm.common import written
 
-#: Least share of a text's trigrams that its language must explain.
+#: Least share of a text's trigrams that its languages, all together, must explain.
 LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose text has no letters or no language that explains half of it. Learned from those that are not held out."""
+    """Documents go whose text has no letters or no set of languages that explains half of it. Learned from those that are not held out."""
     found = op4_language.identify(docs, docs.filter(~op4_language.held_out()))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("explained") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ mixture of languages and a flat noise part; EM estimates the proportions. The
 language set is chosen by penalised likelihood: languages join in order of
 their proportion as long as each raises the log-likelihood by more than the
 penalty. The prediction is the largest of the chosen set, the score its
-proportion.
+proportion; explained is the proportion of the whole set, all but noise.
 
-Null texts and texts without a letter are `und` with score 0, as is every
+Null texts and texts without a letter are `und` with score and explained 0, as is every
 text if nothing could be learned. Repeated rows get a row each, extra columns
 aren't read, an empty table gives no rows, a null doc_id is never held out.
 At most LANGUAGES labels are learned, the most frequent (ties: by name).
@@ -86,10 +86,15 @@ def _mixture(p: np.ndarray, n: np.ndarray, heads: np.ndarray, owner: np.ndarray,
 
 def predict(texts: list[bytes], log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The language number (-1: none) and score of each text."""
-    best, score = np.full(len(texts), -1), np.zeros(len(texts))
+    return explain(texts, log)[:2]
+
+
+def explain(texts: list[bytes], log: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The language number (-1: none) and score of each text, and the share that the whole chosen set explains."""
+    best, score, explained = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
     some = np.array([i for i, t in enumerate(texts) if _letter(t.decode())], dtype=int)
     if not len(some) or not log.shape[1]:
-        return best, score
+        return best, score, explained
     gram, owner = _grams([texts[i] for i in some])
     key = np.sort(owner * GRAMS + gram)
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -105,7 +110,7 @@ def predict(texts: list[bytes], log: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(-share[:, :width], axis=1, kind="stable")
     # one language and noise, then two, and so on, for those that may gain
     fee = PENALTY * np.log2(total + 1)
-    chosen, value, kept = order[:, 0].copy(), np.full(len(some), -np.inf), np.zeros(len(some))
+    chosen, value, kept, known = order[:, 0].copy(), np.full(len(some), -np.inf), np.zeros(len(some)), np.zeros(len(some))
     going = np.arange(len(some))
     for k in range(1, width + 1):
         inside = np.isin(owner, going)
@@ -117,11 +122,12 @@ def predict(texts: list[bytes], log: np.ndarray) -> tuple[np.ndarray, np.ndarray
         rows = going[better]
         top = share[better, :k].argmax(axis=1)
         chosen[rows], kept[rows], value[rows] = parts[better][np.arange(len(rows)), top], share[better][np.arange(len(rows)), top], found[better] - fee[rows] * k
+        known[rows] = share[better, :k].sum(axis=1)
         going = rows[most[rows] - fee[rows] * (k + 1) > value[rows]]
         if not len(going):
             break
-    best[some], score[some] = chosen, np.minimum(kept, 1)
-    return best, score
+    best[some], score[some], explained[some] = chosen, np.minimum(kept, 1), np.minimum(known, 1)
+    return best, score, explained
 
 
 def held_out() -> Column:
@@ -129,8 +135,8 @@ def held_out() -> Column:
 
 
 def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """docs with lang_pred and score (in place of columns of these names). training: text, lang."""
-    docs = docs.drop("lang_pred", "score")
+    """docs with lang_pred, score and explained (in place of columns of these names). training: text, lang."""
+    docs = docs.drop("lang_pred", "score", "explained")
     names, log = learn(training)
     model = docs.sparkSession.sparkContext.broadcast((names, log))  # LANGUAGES x GRAMS floats at most
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -140,12 +146,12 @@ def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
         for batch in batches:
             column = utf8(batch.column("text"))
             for lo, hi in pieces(column, 1 << 20):
-                best, score = predict(column[lo:hi].to_pylist(), log)
+                best, score, explained = explain(column[lo:hi].to_pylist(), log)
                 found = pa.array([names[k] if k >= 0 else "und" for k in best], pa.string())
                 own = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*own.columns, found, pa.array(score, pa.float64())], names=[*own.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*own.columns, found, pa.array(score, pa.float64()), pa.array(explained, pa.float64())], names=[*own.schema.names, "lang_pred", "score", "explained"])
 
-    return docs.mapInArrow(scored, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(scored, f"{fields}, lang_pred string, score double, explained double")
 
 
 def predictions(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -156,6 +157,22 @@ def test_pipeline(spark, sf_dir):
     assert set(docs.columns) < set(out.columns) and 0 < out.select("doc_id").distinct().count() <= len(before)
 
 
+def test_texts_in_many_languages_stay(spark, sf_dir):
+    """Each of three or four languages explains less than half of its text, all together the whole; noise goes."""
+    r = random.Random(12)
+    letters = {"k": "aeiklmno", "l": "ostrundg", "m": "éçàûbvpy", "n": "zwxjqhfu"}
+    vocabulary = {k: ["".join(r.choice(x) for _ in range(r.randrange(3, 8))) for _ in range(30)] for k, x in letters.items()}
+    prose = lambda k, n: " ".join(r.choice(vocabulary[k]) for _ in range(n))
+    rows = [(i, prose(k, 200), k) for i, k in enumerate("klmn" * 20)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 4 == 2]
+    mixed = {held[0]: "klm", held[1]: "klmn", held[2]: "nml", held[3]: "k"}
+    rows += [(i, " ".join(prose(k, 60) for k in ks), ks[0]) for i, ks in mixed.items()]
+    rows += [(held[4], "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(400)), "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = {x["doc_id"] for x in corpus_pipeline.language(spark, docs, sf_dir).collect()}
+    assert left == {x[0] for x in rows} - {held[4]}
+
+
 def test_pipeline_of_odd_tables(spark, sf_dir):
     """Nulls in any column, empty and repeated rows, and no rows at all."""
     schema = "doc_id long, text string, lang string, source string, n_chars long"
