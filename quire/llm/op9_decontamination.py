@@ -6,10 +6,9 @@ and a benchmark item is that of their bags of shingles, each weighing as
 often as it occurs: the sum of the lesser counts over the sum of the greater.
 Pairs of SIMILARITY or more are reported.
 
-1. Windows: a window that is alike shares a shingle with the item. So at each
-   shingle of a document that any item has, the window of the item's size
-   that puts the shingle in the item's place is a candidate (and those up to
-   SHIFT words beside it; near the ends of a document, the nearest one inside).
+1. Windows: every window of the item's size is a candidate that has as many
+   shingles of items of this size, in any order, as a pair of SIMILARITY must
+   have in common. A document shorter than the item is one window.
 2. Each window has a 64-bit SimHash of its shingles. Windows and items of one
    size join on the value of any of RADIUS+1 blocks of bits, which finds all
    pairs within RADIUS bits; a pair is made at its first equal block only.
@@ -31,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, SIMILARITY, RADIUS, SHIFT = 5, 0.8, 22, 2
+SHINGLE, SIMILARITY, RADIUS, SHIFT = 5, 0.8, 22, 2  # SHIFT: of the SQL only
 #: Distinct shingles of items in one pass over the documents.
 BLOCK = 200_000
 _NOT_WORD = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
@@ -70,25 +69,41 @@ def _bag_similarity(a: str, b: str) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def _starts(similarity: float) -> Column:
+    """Starts of windows that hold at least as many of the sorted spots as two bags of this similarity have in common.
+
+    The nth spot is the first of a window that starts after the spot before
+    it; the window must reach the spot that makes up the number. So each start
+    comes once.
+    """
+    width = f"least(size - {SHINGLE - 1}, size(shingles))"
+    need = f"greatest(1, CAST(ceil(({width} + size - {SHINGLE - 1}) * {similarity / (1 + similarity)!r}D - 1e-9D) AS INT))"
+    lo = f"greatest(0, IF(i = 0, 0, get(spots, i - 1) + 1), get(spots, i + {need} - 1) - {width} + 1)"
+    hi = f"least(get(spots, i), size(shingles) - {width})"
+    return F.expr(f"IF(size(spots) >= {need}, flatten(transform(sequence(0, size(spots) - {need}), i -> IF({lo} <= {hi}, sequence({lo}, {hi}), array()))), array())")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, mark (a hash of the text), item_id, similarity, start: the most alike window (the first of equals) of each document and item that have one."""
     items = benchmark.select("item_id", _words(F.col("text")).alias("words")).withColumn("size", F.size("words")).withColumn("shingles", _shingles("words")).filter(F.size("shingles") > 0)
     items = items.select("item_id", "size", "shingles").distinct()
-    places = items.select("item_id", "size", F.posexplode("shingles").alias("place", "shingle")).select("shingle", "size", "place").distinct()
-    known = sorted(r[0] for r in places.select("shingle").distinct().collect())  # a benchmark is a stated query set
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), _words(F.col("text")).alias("words")).withColumn("n", F.size("words")).withColumn("shingles", _shingles("words")).select("doc_id", "mark", "n", "shingles")
+    sizes = items.select("size", F.explode("shingles").alias("shingle")).distinct()
+    known = sorted(r[0] for r in sizes.select("shingle").distinct().collect())  # a benchmark is a stated query set
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), _words(F.col("text")).alias("words")).withColumn("shingles", _shingles("words")).select("doc_id", "mark", "shingles")
     hits = None
     for at in range(0, max(1, len(known)), BLOCK):
         block = known[at : at + BLOCK] or [0]
-        # explode_outer, as a filter on the array would compute it twice
+        # posexplode_outer, as a filter on the array would compute it twice
         spots = F.expr(f"filter(sequence(0, size(shingles) - 1), i -> get(shingles, i) IN ({', '.join(f'{h}L' for h in block)}))")
-        own = texts.withColumn("spots", spots).select("doc_id", "mark", "n", "shingles", F.explode_outer("spots").alias("spot")).filter("spot IS NOT NULL")
-        own = own.withColumn("shingle", F.get(F.col("shingles"), F.col("spot")))
-        own = own.join(F.broadcast(places.filter(F.col("shingle").between(block[0], block[-1]))), "shingle")  # places of BLOCK shingles
+        own = texts.withColumn("spots", spots).select("doc_id", "mark", "shingles", F.posexplode_outer("spots").alias("nth", "spot")).filter("spot IS NOT NULL")
+        # one row of a text carries its shingles
+        own = own.select("doc_id", "mark", F.get(F.col("shingles"), F.col("spot")).alias("shingle"), "spot", F.when(F.col("nth") == 0, F.col("shingles")).alias("shingles"))
+        own = own.join(F.broadcast(sizes.filter(F.col("shingle").between(block[0], block[-1]))), "shingle")  # sizes of BLOCK shingles
         hits = own if hits is None else hits.unionByName(own)
-    shifted = F.explode(F.sequence(F.col("spot") - F.col("place") - SHIFT, F.col("spot") - F.col("place") + SHIFT))
-    starts = hits.withColumn("start", shifted).withColumn("start", F.greatest(F.lit(0), F.least("start", F.col("n") - F.col("size"))))
-    windows = starts.withColumn("shingles", F.slice("shingles", F.col("start") + 1, F.col("size") - SHINGLE + 1)).groupBy("doc_id", "mark", "size", "start").agg(F.first("shingles").alias("shingles"))
+    found = hits.groupBy("doc_id", "mark").agg(F.first("shingles", ignorenulls=True).alias("shingles"), F.sort_array(F.collect_set(F.struct("size", "spot"))).alias("found"))
+    found = found.withColumn("size", F.explode(F.array_distinct(F.col("found.size"))))
+    found = found.withColumn("spots", F.transform(F.filter("found", lambda x: x["size"] == F.col("size")), lambda x: x["spot"])).drop("found")
+    windows = found.withColumn("start", F.explode(_starts(similarity))).select("doc_id", "mark", "size", "start", F.slice("shingles", F.col("start") + 1, F.col("size") - SHINGLE + 1).alias("shingles"))
     left = windows.withColumn("print", simhash("shingles")).withColumn("key", F.explode(_blocks("print"))).select("doc_id", "mark", "size", "start", "shingles", "print", "key.*")
     right = items.withColumn("other", simhash("shingles")).withColumn("key", F.explode(_blocks("other"))).select("item_id", "size", F.col("shingles").alias("others"), "other", "key.*")
     right = F.broadcast(right) if len(known) <= BLOCK else right

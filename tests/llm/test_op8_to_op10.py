@@ -74,6 +74,26 @@ def test_leaks_against_all_windows(spark, monkeypatch, block):
     assert left == {d for d, _ in docs} - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("block", [200_000, 40])
+def test_leaks_of_reordered_items(spark, monkeypatch, block):
+    """Halves and thirds of an item that have changed places, in the midst and at the ends of documents."""
+    monkeypatch.setattr(op9, "BLOCK", block)
+    r = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(300)]
+    draw = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(j, " ".join(draw(r.choice([60, 60, 90, 120])))) for j in range(8)] + [(60, "go " * 60)]
+    docs = [(1, "go " * 40 + "on " * 20 + "go " * 70)]
+    for i in range(50):
+        item = r.choice(items[:8])[1].split()
+        cuts = [0, *sorted(r.sample(range(10, len(item) - 10), r.choice([1, 1, 2]))), len(item)]
+        parts = [item[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        text = draw(r.choice([0, 70])) + sum(parts[::-1], []) + draw(r.choice([0, 3, 90]))
+        docs.append((10 + i, " ".join(text)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in op9.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == pytest.approx(brute_leaks(docs, items)) and len(got) > 30
+
+
 def test_leaks_of_odd_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(None, "a b c d e f g"), (1, "x")], "doc_id long, text string")
