@@ -6,7 +6,9 @@ whose prior comes from its suffix (last label), whose prior comes from all
 labelled pages; the strength of each level's prior is estimated by the method
 of moments from how far that level's rates spread. A host is blocked if the
 lower bound of its posterior (mean less WIDTH deviations) is over MOST_BAD;
-so a host with few labels leans on its domain and is allowed in doubt.
+so a host with few labels leans on its domain and is allowed in doubt. One
+without any takes its domain's rate for its own, else its suffix's, else that
+of all labelled pages. (The SQL allows hosts without labels.)
 
 Null urls, and those without ://, have empty host and path, fit no rule and
 share the reputation of the empty host. Labels with null marks don't count; repeated
@@ -53,18 +55,21 @@ def _strength(level: DataFrame, rate: float) -> float:
     return min(STRONGEST, max(WEAKEST, 1 / share - 1)) if share > 0 else STRONGEST
 
 
-def reputations(labelled: DataFrame) -> DataFrame:
-    """host, bad (0 or 1) -> host, bound: the lower posterior bound of its bad rate. All counts are by partial aggregation."""
+def reputations(labelled: DataFrame, hosts_of_pages: DataFrame) -> DataFrame:
+    """host, bad (0 or 1) -> host, bound for each host of pages: the lower posterior bound of its bad rate. All counts are by partial aggregation."""
     hosts = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).withColumn("domain", F.substring_index("host", ".", -2))
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("suffix", F.substring_index("domain", ".", -1))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total, bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()
     rate = bad / total if total else 0.0
     a, b, c = (_strength(x, rate) for x in (suffixes, domains, hosts))
-    suffix = suffixes.select("suffix", ((a * rate + F.col("bad")) / (a + F.col("n"))).alias("prior"))
-    domain = domains.join(suffix, "suffix").select("domain", ((b * F.col("prior") + F.col("bad")) / (b + F.col("n"))).alias("prior"))
+    suffix = suffixes.select("suffix", ((a * rate + F.col("bad")) / (a + F.col("n"))).alias("wider"))
+    domain = domains.join(suffix, "suffix").select("domain", ((b * F.col("wider") + F.col("bad")) / (b + F.col("n"))).alias("prior"))
+    n, bad = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0))
+    wanted = hosts_of_pages.select("host").distinct().join(hosts.drop("domain"), "host", "left").select("host", n.alias("n"), bad.alias("bad"), F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"))
+    wanted = wanted.join(domain, "domain", "left").join(suffix, "suffix", "left").withColumn("prior", F.coalesce("prior", "wider", F.lit(rate)))
     mean = (c * F.col("prior") + F.col("bad")) / (c + F.col("n"))
-    return hosts.join(domain, "domain").withColumn("mean", mean).select("host", (F.col("mean") - WIDTH * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (c + F.col("n") + 1))).alias("bound"))
+    return wanted.withColumn("mean", mean).select("host", (F.col("mean") - WIDTH * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (c + F.col("n") + 1))).alias("bound"))
 
 
 def verdicts(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -74,7 +79,7 @@ def verdicts(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, st
     bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")
     marks = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")).filter("bad is not null")
     known = parts.select("page_id", "host").join(marks, "page_id").select("host", "bad")
-    judged = parts.join(reputations(known), "host", "left").withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    judged = parts.join(reputations(known, parts), "host", "left").withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("bound") > MOST_BAD, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("fit.text").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"))
 

@@ -131,6 +131,18 @@ def test_urls(spark):
     assert op5.verdicts(spark.createDataFrame([(1, "a://b/c")], "page_id long, url string"), nothing).first()["verdict"] == "allow"
 
 
+def test_urls_of_hosts_without_labels(spark):
+    """They take the rate of their domain, else of their suffix, else of all."""
+    pages = [(i, f"http://h{i % 6}.{d}/x") for d in ("spam.biz", "junk.biz", "fine.org", "good.org") for i in range(240)]
+    pages = [(k, url) for k, (_, url) in enumerate(pages)]
+    labels = [(k, int(k >= 480), 0) for k in range(len(pages))]
+    new = ["http://new.spam.biz/x", "http://a.b.junk.biz/x", "http://a.new.biz/x", "http://new.fine.org/x", "http://a.new.org/x", "http://new.where/x"]
+    pages += [(10_000 + k, url) for k, url in enumerate(new)]
+    got = {r["page_id"]: r["verdict"] for r in op5.verdicts(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), []).collect()}
+    assert [got[10_000 + k] for k in range(len(new))] == ["block", "block", "block", "allow", "allow", "allow"]
+    assert all(got[k] == ("block" if k < 480 else "allow") for k in range(len(labels)))
+
+
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
