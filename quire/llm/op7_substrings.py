@@ -6,9 +6,12 @@ super-k-mer, and travel as one string of words to the minimiser's bucket.
 Equal windows have equal minimisers, so each bucket can sort its windows and
 tell exactly which of them start earlier elsewhere (hashes order the windows,
 their words decide). Before travelling, equal super-k-mers of a batch are
-combined: only the earliest goes. Minimisers that a sample finds very
-frequent are refined by a second minimiser; the list is a hint, the same for
-all tasks, and any list gives the same result.
+combined: only the earliest goes. Those that repeat are remembered by the
+task, up to REMEMBERED bytes, and later copies stay too: so of a passage in a
+third of all documents a bucket gets about one copy a task. Minimisers that a
+sample finds very frequent are refined by a second minimiser; the list is a
+hint, the same for all tasks, and any list gives the same result. The number of
+buckets grows with the corpus, so that what a task reads and holds does not.
 
 Null and empty texts have no words. Documents are ordered by doc_id (null
 last), then by a checksum of the text, so rows with one doc_id and unlike
@@ -23,23 +26,23 @@ import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import U64, Words, mixed, pieces, raw, shuffle_partitions, utf8, written
+from .common import U64, Sieve, Words, _power, boxed, mixed, pieces, raw, shuffle_partitions, text_of, utf8, written
 
 WINDOW, MINIMISER, LONGEST = 20, 3, 256
 #: Buckets for each shuffle partition; rows of a bucket are in memory together, packed.
 BUCKETS = 16
 #: Windows of a bucket that are sorted at once; more take several passes.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
+#: Super-k-mers of a shuffle partition, about; bytes of repeated ones that a task remembers.
+A_PARTITION, REMEMBERED = 300_000, 16 << 20
 #: One document in so many is read to find frequent minimisers.
 SAMPLE = 64
-#: 64-bit words of the table that tells which documents have no repeated window.
-TABLE = 1 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -85,8 +88,6 @@ def _runs(words: Words, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _sums(word: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
     """A hash of the words from at up to to."""
-    from .common import _power
-
     power, inverse = _power(len(word) + 1)
     total = np.zeros(len(word) + 1, U64)
     np.cumsum(word * power[: len(word)], out=total[1:])
@@ -103,6 +104,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packer(buckets: int, hot: np.ndarray):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
+        seen: dict[bytes, tuple] = {}  # repeated super-k-mers: where the earliest starts that went
+        room = REMEMBERED
         for batch in batches:
             ids = batch.column("doc_id").fill_null(_LAST).to_numpy(zero_copy_only=False)
             checks = batch.column("mark").to_numpy(zero_copy_only=False)
@@ -129,7 +132,17 @@ def _packer(buckets: int, hot: np.ndarray):
                 for i in again:
                     a, b = order[i], earliest[i]
                     if (doc_id[a], mark[a], at[a]) != (doc_id[b], mark[b], at[b]):
-                        goes[a] = text[head[a] : tail[a]] != text[head[b] : tail[b]]
+                        goes[a] = (words_of := text[head[a] : tail[a]]) != text[head[b] : tail[b]]
+                        if not goes[a] and words_of not in seen and room > 0:
+                            seen[words_of] = (_LAST, 0, 0)
+                            room -= len(words_of) + 200
+                for i in np.flatnonzero(goes).tolist() if seen else ():
+                    if (before := seen.get(key := text[head[i] : tail[i]])) is not None:
+                        spot = (int(doc_id[i]), int(mark[i]), int(at[i]))
+                        if before < spot and before[0] != _LAST:
+                            goes[i] = False
+                        elif spot < before:
+                            seen[key] = spot
                 rows, blobs = [], []
                 stay = np.flatnonzero(~goes)
                 if len(stay):
@@ -232,15 +245,15 @@ def repeated(docs: DataFrame) -> DataFrame:
     """doc_id (null: the greatest long), mark (checksum of the text), at, size: runs of windows whose words start earlier elsewhere."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _mark().alias("mark"))
-    n = shuffle_partitions(spark)
     sample = base.filter(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sampled, "least long").groupBy("least").count()
     total = sample.agg(F.sum("count")).first()[0] or 0
+    n = max(shuffle_partitions(spark), total * SAMPLE // A_PARTITION)
     # at most 4n rows
     hot = np.sort(np.array([r[0] for r in sample.filter(F.col("count") > max(8, total / (4 * n))).collect()], np.int64).view(U64))
     schema = "doc_id long, mark int, at int, size int"
     packed = base.mapInArrow(_packer(BUCKETS * n, hot), "bucket long, blob binary")
-    # runs settled in their batch take no part in the sort: they go to buckets of their own
-    spread = packed.withColumn("group", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("blob"), F.lit(n))).otherwise(F.col("bucket")))
+    # runs settled in their task take no part in the sort: they go to buckets of their own
+    spread = packed.withColumn("group", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("blob"), F.lit(BUCKETS * n))).otherwise(F.col("bucket"))).repartition(n, "group")
 
     def judge(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
@@ -267,56 +280,33 @@ def _left(text: str | None, runs: list[dict] | None) -> tuple[int, list[bytes]]:
     return len(words), [w for w, gone in zip(words, covered(runs, len(words)).tolist(), strict=True) if not gone]
 
 
+def _runs_of(batch: pa.RecordBatch) -> list:
+    return batch.column("runs").to_pylist() if "runs" in batch.schema.names else [None] * len(batch)
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [(n, n - len(left), hashlib.sha256(b" ".join(left)).hexdigest()) for n, left in map(_left, batch.column("text").to_pylist(), batch.column("__runs").to_pylist())]
+        found = [(n, n - len(left), hashlib.sha256(b" ".join(left)).hexdigest()) for n, left in map(_left, text_of(batch).to_pylist(), _runs_of(batch))]
         n, gone, digest = zip(*found, strict=True) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([text_of(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for text, runs in zip(batch.column("text").to_pylist(), batch.column("__runs").to_pylist(), strict=True):
-            texts.append(b" ".join(_left(text, runs)[1]).decode() if runs else text)
-        names = [c for c in batch.schema.names if c not in ("__runs", "__id", "__mark", "__a", "__b")]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
-
-
-def _split(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """finish (an Arrow function) over docs with __runs, the runs of each row.
-
-    Only rows that may have runs are shuffled: a Bloom table of fixed size
-    tells which can't have any. The larger the corpus, the more get past it;
-    the join decides.
-    """
-    spark = docs.sparkSession
-    own = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__mark": _mark()})
-    runs = written(repeated(docs).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "size")).alias("__runs")), "runs").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "__runs")
-    bits = [F.pmod(F.xxhash64(F.lit(k), "__id", "__mark"), F.lit(64 * TABLE)) for k in range(2)]
-    marks = runs.select(F.explode(F.array(*bits)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits"))
-    table = np.zeros(TABLE, np.int64)
-    for place, word in marks.toPandas().itertuples(index=False):  # TABLE rows at most
-        table[place] = word
-    table = spark.sparkContext.broadcast(table.view(U64))
-
-    def chosen(may: bool, then: Callable) -> Callable:
-        """then, over the rows that may have runs, or over the others."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def own() -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    places = [batch.column(c).to_numpy() for c in ("__a", "__b")]
-                    bits = [table.value[x >> 6] >> (x & 63).astype(U64) & U64(1) for x in places]
-                    yield batch.filter(pa.array((bits[0] & bits[1]).astype(bool) == may))
-
-            yield from then(own())
+        rows = batch.column("row")
+        texts = [b" ".join(_left(text, runs)[1]).decode() if runs else text for text, runs in zip(text_of(batch).to_pylist(), _runs_of(batch), strict=True)]
+        names = [f.name for f in rows.type]
+        kept = [pa.array(texts, pa.string()) if c == "text" else rows.field(k) for k, c in enumerate(names)]
+        yield pa.RecordBatch.from_arrays(kept, names=names)
 
-        return run
 
-    asked = own.withColumns({"__a": bits[0], "__b": bits[1], "__runs": F.lit(None).cast("array<struct<at:int,size:int>>")})
-    some = asked.drop("__runs").mapInArrow(chosen(True, iter), asked.drop("__runs").schema).join(runs, ["__id", "__mark"], "left").drop("__id", "__mark", "__a", "__b")
-    return asked.mapInArrow(chosen(False, finish), schema).unionByName(some.mapInArrow(finish, schema))
+def _split(docs: DataFrame, finish: Callable, schema: str | StructType) -> DataFrame:
+    """finish (an Arrow function) over the rows of docs in boxes, with runs where a row may have some; only those are shuffled."""
+    runs = written(repeated(docs).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "size")).alias("runs")), "runs").withColumnRenamed("doc_id", "id")
+    sieve = Sieve(runs, ["id", "mark"])
+    own = sieve.marked(boxed(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), _mark().alias("mark")))
+    some = own.mapInArrow(sieve.over(True, iter), own.schema).join(runs, ["id", "mark"], "left").select("row", "runs")
+    return own.mapInArrow(sieve.over(False, finish), schema).unionByName(some.mapInArrow(finish, schema))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -327,7 +317,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs, where the text of documents that lose words is their other words, joined by spaces."""
-    return _split(docs, _cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return _split(docs, _cut, docs.schema)
 
 
 SQL = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
