@@ -12,7 +12,8 @@ proportion; explained is the proportion of the whole set, all but noise.
 Null texts and texts without a letter are `und` with score and explained 0, as is every
 text if nothing could be learned. Repeated rows get a row each, extra columns
 aren't read, an empty table gives no rows, a null doc_id is never held out.
-At most LANGUAGES labels are learned, the most frequent (ties: by name).
+Every label is learned. A model of more than MOST_BYTES (4,096 labels) is an
+error, as workers hold it whole; no label is ever left out.
 """
 
 from __future__ import annotations
@@ -24,10 +25,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import pieces, raw, utf8
+from .common import boxed, discard, pieces, quoted, text_of, unboxed, utf8, written
 
-LANGUAGES, GRAMS, ROUNDS = 64, 1 << 16, 12
+GRAMS, ROUNDS = 1 << 16, 12
+#: Size of the broadcast model, and labels whose counts come to the driver at once.
+MOST_BYTES, AT_ONCE = 1 << 30, 32
 #: Log-likelihood that a further language must add, for each doubling of the trigrams; neighbouring trigrams share letters, so this is more than half of log 2.
 PENALTY = 4.0
 _letter = regex.compile(r"\p{L}").search
@@ -61,17 +65,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(row[some], pa.int64())], names=["lang", "gram", "n"])
 
 
-def learn(training: DataFrame, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """text, lang -> names and log-likelihoods (GRAMS x names) from all rows; languages x GRAMS counts at most reach the driver."""
+def learn(training: DataFrame) -> tuple[list[str], np.ndarray]:
+    """text, lang -> names and log-likelihoods (GRAMS x names) from all rows; counts of AT_ONCE labels at a time reach the driver."""
     known = training.filter("text is not null and lang is not null").select("text", "lang")
-    names = sorted(r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
-    rows = known.filter(F.col("lang").isin(names)).mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas() if names else []
-    names = [x for x in names if (rows["lang"] == x).any()]
-    counts = np.full((len(names), GRAMS), 0.5)
-    for k, name in enumerate(names):
-        own = rows[rows["lang"] == name]
-        counts[k, own["gram"].to_numpy()] += own["n"].to_numpy()
-    return names, np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32)
+    counts = written(known.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    most = MOST_BYTES // (4 * GRAMS)
+    names = sorted(r[0] for r in counts.select("lang").distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} labels: the model would not fit in {MOST_BYTES} bytes")
+    log = np.empty((GRAMS, len(names)), np.float32)
+    for at in range(0, len(names), AT_ONCE):
+        part = names[at : at + AT_ONCE]
+        rows = counts.filter(F.col("lang").between(part[0], part[-1])).toPandas()
+        own = np.full((GRAMS, len(part)), 0.5)
+        own[rows["gram"].to_numpy(), np.searchsorted(np.array(part, object), rows["lang"].to_numpy(object))] += rows["n"].to_numpy()
+        log[:, at : at + len(part)] = np.log(own / own.sum(axis=0))
+    discard(counts)
+    return names, log
 
 
 def _mixture(p: np.ndarray, n: np.ndarray, heads: np.ndarray, owner: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,24 +144,34 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """docs with lang_pred, score and explained (in place of columns of these names). training: text, lang."""
-    docs = docs.drop("lang_pred", "score", "explained")
+def _identified(rows: DataFrame, training: DataFrame) -> DataFrame:
+    """rows in boxes -> row, lang_pred, score, explained."""
     names, log = learn(training)
-    model = docs.sparkSession.sparkContext.broadcast((names, log))  # LANGUAGES x GRAMS floats at most
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    model = rows.sparkSession.sparkContext.broadcast((names, log))  # MOST_BYTES at most
+    room = max(1, (1 << 20) // max(1, len(names) // 64))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, log = model.value
         for batch in batches:
-            column = utf8(batch.column("text"))
-            for lo, hi in pieces(column, 1 << 20):
+            column = utf8(text_of(batch))
+            for lo, hi in pieces(column, room):
                 best, score, explained = explain(column[lo:hi].to_pylist(), log)
                 found = pa.array([names[k] if k >= 0 else "und" for k in best], pa.string())
-                own = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*own.columns, found, pa.array(score, pa.float64()), pa.array(explained, pa.float64())], names=[*own.schema.names, "lang_pred", "score", "explained"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), found, pa.array(score, pa.float64()), pa.array(explained, pa.float64())], names=["row", "lang_pred", "score", "explained"])
+
+    more = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("explained", DoubleType())]
+    return rows.mapInArrow(scored, StructType([*rows.select("row").schema.fields, *more]))
+
+
+def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
+    """docs with lang_pred, score and explained (in place of columns of these names). training: text, lang."""
+    kept = [F.col(quoted(c)) for c in docs.columns if c not in ("lang_pred", "score", "explained")]
+    return unboxed(_identified(boxed(docs.select(*kept)), training), "lang_pred", "score", "explained")
+
 
-    return docs.mapInArrow(scored, f"{fields}, lang_pred string, score double, explained double")
+def explained(docs: DataFrame, training: DataFrame, least: float) -> DataFrame:
+    """The rows of docs whose text has letters and languages that together explain at least this share of it."""
+    return unboxed(_identified(boxed(docs), training).filter((F.col("lang_pred") != "und") & (F.col("explained") >= least)))
 
 
 def predictions(docs: DataFrame) -> DataFrame:
