@@ -1,19 +1,25 @@
 """URL filters: rules first, else the host's reputation by empirical Bayes.
 
 Reputation: labelled pages are good or bad. The bad rate of a host is a
-beta-binomial whose prior comes from its registered domain (last two labels),
-whose prior comes from its suffix (last label), whose prior comes from all
-labelled pages; the strength of each level's prior is estimated by the method
-of moments from how far that level's rates spread. A host is blocked if the
-lower bound of its posterior (mean less WIDTH deviations) is over MOST_BAD;
-so a host with few labels leans on its domain and is allowed in doubt. One
-without any takes its domain's rate for its own, else its suffix's, else that
-of all labelled pages. (The SQL allows hosts without labels.)
+beta-binomial whose prior comes from its registered domain, whose prior comes
+from its public suffix, whose prior comes from all labelled pages. The
+strength of each level's prior is estimated by the method of moments from how
+far its members' rates spread round the rate of their own parent. A host is
+blocked if the lower bound of its posterior (mean less WIDTH deviations) is
+over MOST_BAD; so a host with few labels leans on its domain and is allowed in
+doubt. One without any labels takes its domain's rate for its own, else its
+suffix's, else that of all labelled pages, and is as unsure as that prior.
+
+A domain is the last label before the suffix and the suffix; the suffix is the
+last label, or the last two if SUFFIXES has them; an IPv4 address is a domain
+of its own. User names and ports are no part of either. A host is judged with
+its user name and port as written.
 
 Null urls, and those without ://, have empty host and path, fit no rule and
-share the reputation of the empty host. Labels with null marks don't count; repeated
-labels each count; repeated pages get a row each. Other columns aren't read.
-An empty table of pages gives no rows; without labels every host is allowed.
+share the reputation of the empty host. Labels with null marks don't count
+unless the other mark says bad; repeated labels each count; repeated pages get
+a row each. Other columns aren't read. An empty table of pages gives no rows;
+without labels every host is allowed.
 """
 
 from __future__ import annotations
@@ -25,7 +31,41 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 #: Of rules given as a list, which becomes part of the plan.
 MOST_RULES = 1000
 WIDTH, MOST_BAD, WEAKEST, STRONGEST = 1.645, 0.5, 2.0, 1000.0
+# Public suffixes of two labels.
+SUFFIXES = [
+    f"{second}.{country}"
+    for country, names in {
+        "uk": "ac co gov ltd me net org plc sch",
+        "au": "asn com edu gov id net org",
+        "nz": "ac co geek gen govt net org school",
+        "za": "ac co gov net org web",
+        "jp": "ac ad co ed go gr lg ne or",
+        "kr": "ac co go ne or pe re",
+        "cn": "ac com edu gov net org",
+        "tw": "com edu gov idv net org",
+        "hk": "com edu gov idv net org",
+        "sg": "com edu gov net org per",
+        "my": "com edu gov net org",
+        "th": "ac co go in net or",
+        "in": "ac co edu firm gen gov ind net nic org res",
+        "id": "ac co go or sch web",
+        "il": "ac co gov net org",
+        "tr": "com edu gen gov net org",
+        "br": "com edu gov net org",
+        "ar": "com edu gob net org",
+        "mx": "com edu gob net org",
+        "co": "com edu gov net org",
+        "pe": "com edu gob net org",
+        "ua": "com edu gov net org",
+        "pl": "com edu gov net org",
+        "es": "com edu gob nom org",
+        "pt": "com edu gov org",
+        "gr": "com edu gov net org",
+    }.items()
+    for second in names.split()
+]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ADDRESS = r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -34,6 +74,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), _UPPER, _LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def domain_and_suffix(host: Column) -> tuple[Column, Column]:
+    name = F.substring_index(F.substring_index(host, "@", -1), ":", 1)
+    two = F.substring_index(name, ".", -2)
+    long = two.isin(SUFFIXES)
+    own = name.rlike(_ADDRESS)
+    domain = F.when(own, name).when(long, F.substring_index(name, ".", -3)).otherwise(two)
+    return domain, F.when(own, "").when(long, two).otherwise(F.substring_index(name, ".", -1))
+
+
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The longest rule that fits, as a struct of size, text and verdict; null if none does."""
     if len(rules) > MOST_RULES:
@@ -45,31 +94,39 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,text:string,verdict:string>")
 
 
-def _strength(level: DataFrame, rate: float) -> float:
-    """Pseudo-counts of the prior of a level: n, bad for each of its members."""
-    k, total, squares, spread = level.agg(F.count("*"), F.sum("n"), F.sum(F.col("n") * F.col("n")), F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - rate, 2))).first()
-    if not total or k < 2 or not 0 < rate < 1:
-        return STRONGEST
-    room = total - squares / total - (k - 1)
-    share = (spread / (rate * (1 - rate)) - (k - 1)) / room if room > 0 else 0.0
+def _summed(level: DataFrame, *keys: str) -> DataFrame:
+    return level.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+
+
+def _strength(level: DataFrame, parent: str | None = None) -> float:
+    """Pseudo-counts of the priors of a level (n, bad for each member), from the spread within each parent, pooled over parents."""
+    n, rate = F.col("n"), F.col("bad") / F.col("n")
+    # a sum of squares about the parent's rate m is that of rates less N m^2
+    sums = level.groupBy(*[parent] * (parent is not None)).agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.sum("bad").alias("bads"), F.sum(n * n).alias("squares"), F.sum(n * rate * rate).alias("powers"))
+    mean = F.col("bads") / F.col("total")
+    some = sums.withColumn("mean", mean).filter((F.col("k") > 1) & (F.col("mean") > 0) & (F.col("mean") < 1))
+    spread = (F.col("powers") - F.col("total") * F.col("mean") * F.col("mean")) / (F.col("mean") * (1 - F.col("mean"))) - (F.col("k") - 1)
+    room = F.col("total") - F.col("squares") / F.col("total") - (F.col("k") - 1)
+    above, below = some.agg(F.sum(spread), F.sum(room)).first()
+    share = above / below if below and below > 0 else 0.0
     return min(STRONGEST, max(WEAKEST, 1 / share - 1)) if share > 0 else STRONGEST
 
 
 def reputations(labelled: DataFrame, hosts_of_pages: DataFrame) -> DataFrame:
     """host, bad (0 or 1) -> host, bound for each host of pages: the lower posterior bound of its bad rate. All counts are by partial aggregation."""
-    hosts = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).withColumn("domain", F.substring_index("host", ".", -2))
-    domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("suffix", F.substring_index("domain", ".", -1))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    domain_of, suffix_of = domain_and_suffix(F.col("host"))
+    hosts = labelled.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad")).withColumns({"domain": domain_of, "suffix": suffix_of})
+    domains = _summed(hosts, "domain", "suffix")
+    suffixes = _summed(domains, "suffix")
     total, bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()
     rate = bad / total if total else 0.0
-    a, b, c = (_strength(x, rate) for x in (suffixes, domains, hosts))
-    suffix = suffixes.select("suffix", ((a * rate + F.col("bad")) / (a + F.col("n"))).alias("wider"))
-    domain = domains.join(suffix, "suffix").select("domain", ((b * F.col("wider") + F.col("bad")) / (b + F.col("n"))).alias("prior"))
-    n, bad = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0))
-    wanted = hosts_of_pages.select("host").distinct().join(hosts.drop("domain"), "host", "left").select("host", n.alias("n"), bad.alias("bad"), F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"))
-    wanted = wanted.join(domain, "domain", "left").join(suffix, "suffix", "left").withColumn("prior", F.coalesce("prior", "wider", F.lit(rate)))
-    mean = (c * F.col("prior") + F.col("bad")) / (c + F.col("n"))
-    return wanted.withColumn("mean", mean).select("host", (F.col("mean") - WIDTH * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (c + F.col("n") + 1))).alias("bound"))
+    a, b, c = _strength(suffixes), _strength(domains, "suffix"), _strength(hosts, "domain")
+    wider = suffixes.select("suffix", ((a * rate + F.col("bad")) / (a + F.col("n"))).alias("wider"))
+    prior = domains.join(wider, "suffix").select("domain", ((b * F.col("wider") + F.col("bad")) / (b + F.col("n"))).alias("prior"))
+    wanted = hosts_of_pages.select("host").distinct().join(hosts.select("host", "n", "bad"), "host", "left").na.fill(0, ["n", "bad"]).withColumns({"domain": domain_of, "suffix": suffix_of})
+    wanted = wanted.join(prior, "domain", "left").join(wider, "suffix", "left").withColumn("prior", F.coalesce("prior", "wider", F.lit(rate)))
+    wanted = wanted.withColumn("mean", (c * F.col("prior") + F.col("bad")) / (c + F.col("n")))
+    return wanted.select("host", (F.col("mean") - WIDTH * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (c + F.col("n") + 1))).alias("bound"))
 
 
 def verdicts(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -85,28 +142,34 @@ def verdicts(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, st
 
 
 _FITS = "\n  UNION ALL ".join(f"SELECT '{v}' AS verdict, '{h}' AS h, '{p}' AS p" for v, h, p in RULES)
+_LONG = ", ".join(f"'{x}'" for x in SUFFIXES)
+_NAME = "split_part(string_split(host, '@')[-1], ':', 1)"
+_LAST = f"array_to_string(list_slice(string_split({_NAME}, '.'), -{{}}, -1), '.')"
+_DOMAIN = f"CASE WHEN regexp_matches({_NAME}, '{_ADDRESS}') THEN {_NAME} WHEN {_LAST.format(2)} IN ({_LONG}) THEN {_LAST.format(3)} ELSE {_LAST.format(2)} END"
+_SUFFIX = f"CASE WHEN regexp_matches({_NAME}, '{_ADDRESS}') THEN '' WHEN {_LAST.format(2)} IN ({_LONG}) THEN {_LAST.format(2)} ELSE {_LAST.format(1)} END"
 
 
-def _sql_strength(level: str) -> str:
-    return f"""(SELECT CASE WHEN k < 2 OR total IS NULL OR rate <= 0 OR rate >= 1 OR total - squares / total - (k - 1) <= 0 THEN {STRONGEST}
-    WHEN (spread / (rate * (1 - rate)) - (k - 1)) <= 0 THEN {STRONGEST}
-    ELSE least({STRONGEST}, greatest({WEAKEST}, 1 / ((spread / (rate * (1 - rate)) - (k - 1)) / (total - squares / total - (k - 1))) - 1)) END
-    FROM (SELECT count(*)::DOUBLE AS k, sum(n)::DOUBLE AS total, sum(n * n)::DOUBLE AS squares, sum(n * pow(bad / n - rate, 2)) AS spread, any_value(rate) AS rate FROM {level}, base))"""
+def _sql_strength(level: str, parent: str) -> str:
+    return f"""(SELECT CASE WHEN below > 0 AND above > 0 THEN least({STRONGEST}, greatest({WEAKEST}, below / above - 1)) ELSE {STRONGEST} END FROM (
+    SELECT sum((powers - total * m * m) / (m * (1 - m)) - (k - 1)) AS above, sum(total - squares / total - (k - 1)) AS below FROM (
+      SELECT count(*) AS k, sum(n) AS total, sum(n * n) AS squares, sum(bad * bad / n) AS powers, sum(bad) / sum(n) AS m FROM {level} GROUP BY {parent}) WHERE k > 1 AND m > 0 AND m < 1))"""
 
 
 SQL = f"""WITH rules AS ({_FITS}),
 rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
-known AS (SELECT host, CASE WHEN toxic = 1 OR quality = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS bad FROM parts JOIN labels ON page_id = doc_id),
-hosts AS (SELECT host, count(*)::DOUBLE AS n, sum(bad) AS bad, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain FROM known GROUP BY host),
-domains AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, string_split(domain, '.')[-1] AS suffix FROM hosts GROUP BY domain),
+known AS (SELECT host, CASE WHEN toxic = 1 OR quality = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS bad FROM parts JOIN labels ON page_id = doc_id WHERE (toxic = 1 OR quality = 0) IS NOT NULL),
+hosts AS (SELECT host, count(*)::DOUBLE AS n, sum(bad) AS bad, {_DOMAIN} AS domain, {_SUFFIX} AS suffix FROM known GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 base AS (SELECT coalesce(sum(bad) / sum(n), 0) AS rate FROM suffixes),
-strengths AS (SELECT {_sql_strength('suffixes')} AS a, {_sql_strength('domains')} AS b, {_sql_strength('hosts')} AS c, rate FROM base),
-s AS (SELECT suffix, (a * rate + bad) / (a + n) AS prior FROM suffixes, strengths),
-d AS (SELECT domain, (b * prior + bad) / (b + n) AS prior FROM domains JOIN s USING (suffix), strengths),
-h AS (SELECT host, (c * prior + bad) / (c + n) AS mean, c + n + 1 AS size FROM hosts JOIN d USING (domain), strengths),
+strengths AS (SELECT {_sql_strength('suffixes', "''")} AS a, {_sql_strength('domains', 'suffix')} AS b, {_sql_strength('hosts', 'domain')} AS c, rate FROM base),
+s AS (SELECT suffix, (a * rate + bad) / (a + n) AS wider FROM suffixes, strengths),
+d AS (SELECT domain, (b * wider + bad) / (b + n) AS prior FROM domains JOIN s USING (suffix), strengths),
+all_hosts AS (SELECT host, {_DOMAIN} AS domain, {_SUFFIX} AS suffix FROM (SELECT DISTINCT host FROM parts)),
+h AS (SELECT host, (c * coalesce(prior, wider, rate) + coalesce(bad, 0)) / (c + coalesce(n, 0)) AS mean, c + coalesce(n, 0) + 1 AS size
+  FROM all_hosts LEFT JOIN (SELECT host, n, bad FROM hosts) USING (host) LEFT JOIN d USING (domain) LEFT JOIN s USING (suffix), strengths),
 fits AS (SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
   FROM (SELECT DISTINCT page_id, host, path FROM parts), rules WHERE ('.' || host) LIKE ('%.' || h) AND starts_with(path, p) GROUP BY ALL)
 SELECT parts.page_id, parts.host, parts.path, rule, coalesce(verdict, CASE WHEN mean - {WIDTH} * sqrt(mean * (1 - mean) / size) > {MOST_BAD} THEN 'block' ELSE 'allow' END) AS verdict
-FROM parts LEFT JOIN h USING (host) LEFT JOIN fits USING (page_id, host, path)"""
+FROM parts JOIN h USING (host) LEFT JOIN fits USING (page_id, host, path)"""

@@ -1,12 +1,16 @@
 """Round trips, held-out accuracy, rules and exact counts."""
 
 import hashlib
+import itertools
+import math
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -94,10 +98,89 @@ def test_language_mixture():
     log = np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32)
     texts = [text("x", 50), text("y", 60) + b" " + text("z", 30), b"", b"123 --", b"a", text("z", 2000) + b" " + text("x", 800) + b" " + text("y", 500)]
     best, score = op4.predict(texts, log)
-    assert best.tolist() == [0, 1, -1, -1, best[4], 2]
+    assert best.tolist()[:4] == [0, 1, -1, -1] and best[5] == 2 and best[4] in (0, 1, 2)
     assert score[0] > 0.95 and 0.55 < score[1] < 0.8 and score[2] == score[3] == 0 and 0.4 < score[5] < 0.65
 
 
+def plain_language(text, grams, names):
+    """Language, score: the same in plain Python, one text and one trigram at a time."""
+    if not regex.search(r"\p{L}", text or ""):
+        return "und", 0.0
+    raw = (" " + text.lower() + " ").encode()
+    folded = [c if c >= 128 or chr(c).isalpha() else 32 for c in raw]
+    n = {}
+    for i in range(len(folded) - 2):
+        code = folded[i] << 16 | folded[i + 1] << 8 | folded[i + 2]
+        if code != 0x202020:
+            key = (code * 0x9E3779B1 & 0xFFFFFFFF) >> 16
+            n[key] = n.get(key, 0) + 1
+    total = sum(n.values())
+    like = {g: [grams[k][g] for k in names] + [1 / 65536] for g in n}
+
+    def mixture(parts):
+        share = [1 / len(parts)] * len(parts)
+        for _ in range(op4.ROUNDS):
+            new = [0.0] * len(parts)
+            for g, c in n.items():
+                joint = [like[g][k] * s for k, s in zip(parts, share, strict=True)]
+                new = [x + c * j / sum(joint) for x, j in zip(new, joint, strict=True)]
+            share = [x / total for x in new]
+        return share, sum(c * math.log(sum(like[g][k] * s for k, s in zip(parts, share, strict=True))) for g, c in n.items())
+
+    noise, fee = len(names), op4.PENALTY * math.log2(total + 1)
+    share, most = mixture(list(range(noise + 1)))
+    order = sorted(range(noise), key=lambda k: -share[k])
+    value, found = -math.inf, None
+    for k in range(1, noise + 1):
+        share, log = mixture([*order[:k], noise])
+        if log - fee * k <= value:
+            break
+        value, top = log - fee * k, max(range(k), key=lambda i: share[i])
+        found = (names[order[top]], share[top])
+        if most - fee * (k + 1) <= value:
+            break
+    return found
+
+
+def test_language_against_plain_python(spark, sf_dir):
+    """Every prediction, by a model that is counted and a mixture that is fitted without numpy."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = [(10**6 + 4 * k, a + " " + b, None) for k, (a, b) in enumerate(itertools.pairwise(r["text"][:400] for r in docs.orderBy("lang", "doc_id").limit(40).collect()[::4]))]
+    docs = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(mixed, "doc_id long, text string, lang string"))
+    rows = docs.collect()
+    grams = {}
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"] is not None:
+            own = grams.setdefault(r["lang"], [0.5] * 65536)
+            raw = (" " + r["text"].lower() + " ").encode()
+            folded = [c if c >= 128 or chr(c).isalpha() else 32 for c in raw]
+            for i in range(len(folded) - 2):
+                code = folded[i] << 16 | folded[i + 1] << 8 | folded[i + 2]
+                if code != 0x202020:
+                    own[(code * 0x9E3779B1 & 0xFFFFFFFF) >> 16] += 1
+    names = sorted(grams)
+    sizes = {k: sum(own) for k, own in grams.items()}
+    grams = {k: [x / sizes[k] for x in own] for k, own in grams.items()}
+    got = {r["doc_id"]: r for r in op4.predictions(docs).collect()}
+    short = [r for r in rows if len(r["text"] or "") < 2500]
+    assert len(short) > 100 and len(got) == len(rows)
+    for r in short:
+        lang, score = plain_language(r["text"], grams, names)
+        assert got[r["doc_id"]]["lang_pred"] == lang and abs(got[r["doc_id"]]["score"] - score) < 2e-3
+
+
+def test_language_of_many_labels(spark):
+    """Every label is learned, however many there are and however rare."""
+    r = random.Random(2)
+    words = {f"l{k:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for k in range(90)}
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(60)), k) for i, k in enumerate(k for k in words for _ in range(1 if k > "l050" else 6))]
+    held = [i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 4 == 2][:90]
+    learned = {k for i, _, k in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    rows += [(i, " ".join(r.choice(words[k]) for _ in range(60)), k) for i, k in zip(held, words, strict=True)]
+    got = {x["doc_id"]: x["lang_pred"] for x in op4.predictions(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(learned) > 70 and all(got[i] == k for i, k in zip(held, words, strict=True) if k in learned)
+
+
 def test_language_of_odd_tables(spark):
     schema = "doc_id long, text string, lang string, score string"
     assert op4.predictions(spark.createDataFrame([], schema)).collect() == []
@@ -143,6 +226,27 @@ def test_urls_of_hosts_without_labels(spark):
     assert all(got[k] == ("block" if k < 480 else "allow") for k in range(len(labels)))
 
 
+def test_urls_by_level(spark):
+    """Spread is measured within each domain: hosts of a bad domain with few labels lean on it, and public suffixes of two labels aren't domains."""
+    pages, labels = [], []
+
+    def add(host, good, bad):
+        for k in range(good + bad):
+            pages.append((len(pages), f"http://{host}/{k}"))
+            labels.append((len(labels), int(k < good), 0))
+
+    for k in range(12):
+        add(f"h{k}.spam.co.uk", 0, 30)
+        add(f"h{k}.fine.co.uk", 30, 0)
+    add("new.spam.co.uk", 0, 1)
+    n = len(pages)
+    pages += [(n, "http://user@new.spam.co.uk:8080/x"), (n + 1, "http://other.co.uk/"), (n + 2, "http://10.0.0.7/"), (n + 3, "http://new.spam.co.uk/y")]
+    got = {r["page_id"]: r["verdict"] for r in op5.verdicts(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), []).collect()}
+    assert [got[n + k] for k in range(4)] == ["block", "allow", "allow", "block"]
+    parts = [tuple(spark.range(1).select(*op5.domain_and_suffix(F.lit(h))).first()) for h in ("a.b.co.uk", "x.com", "u@q.a.com:80", "1.2.3.4", "", "com")]
+    assert parts == [("b.co.uk", "co.uk"), ("x.com", "com"), ("a.com", "com"), ("1.2.3.4", ""), ("", ""), ("com", "com")]
+
+
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
