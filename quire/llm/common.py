@@ -1,14 +1,17 @@
-"""Shared helpers: tables in the shared folder and vectorised word arrays."""
+"""Shared helpers: rows in boxes and vectorised word arrays."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.sources.shared import discard, shared_dir, written
+
+__all__ = ["boxed", "discard", "lowered", "mixed", "pieces", "quoted", "raw", "shared_dir", "shingles", "shuffle_partitions", "text_of", "unboxed", "utf8", "written", "Sieve", "Words", "U64"]
 
 U64 = np.uint64
 #: [\x20\x09-\x0D]
@@ -22,24 +25,65 @@ _SPAN = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only on a local master where that is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def quoted(name: str) -> str:
+    """A column name as Spark's parser reads it back, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def boxed(docs: DataFrame, *read: str | Column) -> DataFrame:
+    """`row`, a struct of all columns of docs, and the columns that an operator reads: names of its own can't clash with theirs.
+
+    `unboxed` gives the columns of docs back as they were.
+    """
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *read)
+
+
+def unboxed(rows: DataFrame, *more: str | Column) -> DataFrame:
+    return rows.select("row.*", *more)
+
+
+def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
+    """A column of the rows that a batch carries in boxes."""
+    return batch.column("row").field(name)
+
+
+class Sieve:
+    """A Bloom table of fixed size: which rows may be among known ones, told in the tasks that read them.
+
+    known has the key columns; bits are the two places of a row's key, from
+    its columns of the same names. The more is known the more rows get past
+    it, so a join must decide; nothing is lost.
+    """
+
+    WORDS = 1 << 20  # of 64 bits
+
+    def __init__(self, known: DataFrame, keys: list[str]):
+        spark = known.sparkSession
+        self.bits = [F.pmod(F.xxhash64(F.lit(k), *keys), F.lit(64 * self.WORDS)) for k in range(2)]
+        marks = known.select(F.explode(F.array(*self.bits)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits"))
+        table = np.zeros(self.WORDS, np.int64)
+        for place, word in marks.toPandas().itertuples(index=False):  # WORDS rows at most
+            table[place] = word
+        self.table = spark.sparkContext.broadcast(table.view(U64))
+
+    def marked(self, rows: DataFrame) -> DataFrame:
+        """rows with the columns a and b, their places."""
+        return rows.withColumns({"a": self.bits[0], "b": self.bits[1]})
+
+    def over(self, may: bool, then: Callable) -> Callable:
+        """An Arrow function: then, over the marked rows that may be known, or over the others."""
+        table = self.table
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def own() -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    places = [batch.column(c).to_numpy() for c in ("a", "b")]
+                    bits = [table.value[x >> 6] >> (x & 63).astype(U64) & U64(1) for x in places]
+                    yield batch.filter(pa.array((bits[0] & bits[1]).astype(bool) == may))
+
+            yield from then(own())
+
+        return run
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

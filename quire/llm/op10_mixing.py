@@ -28,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import boxed, quoted, unboxed, written
 
 #: Shares of the corpus in tokens: budget of the mix.
 BUDGET, REPETITIONS, ENTROPY = 1.0, 2.0, 0.97
 #: A block is the first hex digits of a hash, so many.
 DIGITS, STEPS, MOST_SOURCES = 3, 60, 1_000_000
+#: Part of a token by which a budget may be passed, so that rounding errors don't cost a whole document.
+ROUND = 0.001
 
 
 def token_count(text: Column) -> Column:
@@ -76,45 +78,44 @@ def _key(*parts) -> Column:
 
 
 def plan(docs: DataFrame, budget: float, repetitions: float, entropy: float | None) -> tuple[DataFrame, DataFrame]:
-    """docs with tokens and keys, and a row for each source: its epochs in full, and of the last one the keys below which it is taken."""
+    """docs in boxes with tokens and keys, and a row for each source: its epochs in full, and of the last one the keys below which it is taken."""
     spark = docs.sparkSession
-    counted = docs.withColumn("__tokens", token_count(F.col("text"))).withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    counted = counted.withColumn("__source", F.coalesce("source", F.lit(""))).withColumn("__null", F.col("source").isNull())
-    counted = counted.withColumn("__block", F.substring(F.md5("__id"), 1, DIGITS))
-    keys = ["__source", "__null"]
-    sizes = written(counted.groupBy(*keys, "__block").agg(F.sum("__tokens").alias("n")), "blocks")
+    counted = boxed(docs, token_count(F.col("text")).alias("tokens"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("none"))
+    counted = counted.withColumn("block", F.substring(F.md5("id"), 1, DIGITS))
+    keys = ["source", "none"]
+    sizes = written(counted.groupBy(*keys, "block").agg(F.sum("tokens").alias("n")), "blocks")
     tokens = {(r[0], r[1]): int(r[2]) for r in sizes.groupBy(*keys).agg(F.sum("n").alias("n")).filter("n > 0").limit(MOST_SOURCES + 1).collect()}
     if len(tokens) > MOST_SOURCES:
         raise ValueError(f"at most {MOST_SOURCES} sources")
-    schema = "__source string, __null boolean, __epochs long, __rest long"
+    schema = "source string, none boolean, epochs long, rest long"
     if not tokens:
-        return counted, spark.createDataFrame([], schema + ", __cut_block string, __cut_doc string")
+        return counted, spark.createDataFrame([], schema + ", cut_block string, cut_doc string")
     total, share = sum(tokens.values()), weights(tokens, exponent(tokens, budget, repetitions, entropy))
-    quota = {s: int(w * budget * total) for s, w in share.items()}
+    quota = {s: int(w * budget * total + ROUND) for s, w in share.items()}
     rows = [(s[0], s[1], quota[s] // n, quota[s] % n) for s, n in tokens.items()]
     sources = spark.createDataFrame(rows, schema)
     order = Window.partitionBy(*keys).orderBy("block_key")
-    ranked = sizes.join(sources, keys).withColumn("block_key", _key("__epochs", "__source", F.col("__block")))
-    ranked = ranked.withColumn("upto", F.sum("n").over(order)).filter("upto > __rest")
+    ranked = sizes.join(sources, keys).withColumn("block_key", _key("epochs", "source", F.col("block")))
+    ranked = ranked.withColumn("upto", F.sum("n").over(order)).filter("upto > rest")
     # the first block that doesn't fit; there is one, as rest is less than all
-    edges = ranked.groupBy(*keys).agg(F.min_by(F.struct("__block", "block_key", "__rest", "__epochs", (F.col("upto") - F.col("n")).alias("before")), "block_key").alias("edge")).select(*keys, "edge.*")
+    edges = ranked.groupBy(*keys).agg(F.min_by(F.struct("block", "block_key", "rest", "epochs", (F.col("upto") - F.col("n")).alias("before")), "block_key").alias("edge")).select(*keys, "edge.*")
     inside = Window.partitionBy(*keys).orderBy("doc_key")
-    edge = counted.select(*keys, "__block", "__id", "__tokens").join(F.broadcast(edges) if len(tokens) <= 10_000 else edges, [*keys, "__block"])
-    cut = edge.withColumn("doc_key", _key("__epochs", "__id")).withColumn("upto", F.col("before") + F.sum("__tokens").over(inside)).filter("upto > __rest")
+    edge = counted.select(*keys, "block", "id", "tokens").join(F.broadcast(edges) if len(tokens) <= 10_000 else edges, [*keys, "block"])
+    cut = edge.withColumn("doc_key", _key("epochs", "id")).withColumn("upto", F.col("before") + F.sum("tokens").over(inside)).filter("upto > rest")
     cuts = {(r[0], r[1]): (r[2], r[3]) for r in cut.groupBy(*keys).agg(F.first("block_key"), F.min("doc_key")).collect()}
-    return counted, spark.createDataFrame([(*r, *cuts[r[:2]]) for r in rows], schema + ", __cut_block string, __cut_doc string")
+    return counted, spark.createDataFrame([(*r, *cuts[r[:2]]) for r in rows], schema + ", cut_block string, cut_doc string")
 
 
 def mixed(docs: DataFrame, budget: float = BUDGET, repetitions: float = REPETITIONS, entropy: float | None = ENTROPY) -> DataFrame:
     """docs with n_tokens and epoch (from 0; in place of columns of these names): a row for each time that a document is taken."""
-    docs = docs.drop("n_tokens", "epoch")
+    docs = docs.select(*[F.col(quoted(c)) for c in docs.columns if c not in ("n_tokens", "epoch")])
     counted, sources = plan(docs, budget, repetitions, entropy)
-    known = counted.join(F.broadcast(sources) if sources.count() <= 10_000 else sources, ["__source", "__null"])
-    block, own = _key("__epochs", "__source", F.col("__block")), _key("__epochs", "__id")
-    more = (block < F.col("__cut_block")) | ((block == F.col("__cut_block")) & (own < F.col("__cut_doc")))
-    times = F.col("__epochs") + more.cast("long")
-    taken = known.withColumn("__epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<long>"))))
-    return taken.select(*[taken[c] for c in docs.columns], F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"))
+    known = counted.join(F.broadcast(sources) if sources.count() <= 10_000 else sources, ["source", "none"])
+    block, own = _key("epochs", "source", F.col("block")), _key("epochs", "id")
+    more = (block < F.col("cut_block")) | ((block == F.col("cut_block")) & (own < F.col("cut_doc")))
+    times = F.col("epochs") + more.cast("long")
+    taken = known.withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<long>"))))
+    return unboxed(taken, F.col("tokens").alias("n_tokens"), "epoch")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ s AS (SELECT source, n::DOUBLE AS n, (sum(n) OVER ())::DOUBLE AS total FROM (SEL
 {bisect("flat", flat)},
 alpha AS (SELECT greatest((SELECT a FROM few1), (SELECT CASE WHEN count(*) > 1 THEN (SELECT a FROM flat1) ELSE 0 END FROM s)) AS a),
 w AS (SELECT source, n, total, {p} AS p FROM s, alpha),
-q AS (SELECT source, n::BIGINT AS n, floor(p / (sum(p) OVER ()) * {budget} * total)::BIGINT AS quota FROM w),
+q AS (SELECT source, n::BIGINT AS n, floor(p / (sum(p) OVER ()) * {budget} * total + {ROUND})::BIGINT AS quota FROM w),
 r AS (SELECT source, quota // n AS epochs, quota % n AS rest FROM q),
 k AS (SELECT doc_id, t.source, n_tokens, epochs, rest, md5(epochs || ':' || coalesce(t.source, '') || ':' || substr(md5(doc_id::VARCHAR), 1, {DIGITS})) AS block_key, md5(epochs || ':' || doc_id) AS doc_key
   FROM t JOIN r ON t.source IS NOT DISTINCT FROM r.source),

@@ -6,6 +6,16 @@ null text counts as empty; an empty text has the fingerprint of all-ones
 values, which is like that of other empty texts only. Repeated rows get a row
 each. Only doc_id and text are read, so extra columns don't matter; an empty
 table gives an empty result. A null doc_id comes after all others.
+
+Near duplicates: texts that agree in one of BANDS bands of BAND_ROWS values
+are candidates, which finds a pair at SIMILARITY with a chance of 0.998, and
+more alike ones almost surely. Bands join in Spark; texts that bands connect
+come together once, and there each is compared with all others that it isn't
+already connected with, by exact Jaccard of the shingle sets. So no link
+between classes is lost, no pairs of a class are listed, and a text travels
+once. Where more than CROWD texts (or CROWD_CHARS) are connected, they travel
+to each of their bands' values instead, which are dealt out in slices that
+all visit: memory stays bounded whatever the size of a group.
 """
 
 from __future__ import annotations
@@ -16,13 +26,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from quire.operators.graph import contracted
 
-from .common import U64, Words, lowered, mixed, pieces, raw, shingles, shuffle_partitions, utf8, written
-from .components import components
+from .common import U64, Sieve, Words, lowered, mixed, pieces, raw, shingles, shuffle_partitions, utf8, written
 
-SHINGLE, PERMUTATIONS, BAND_ROWS, SIMILARITY = 5, 128, 4, 0.8
+SHINGLE, PERMUTATIONS, BANDS, BAND_ROWS, SIMILARITY = 5, 128, 20, 6, 0.8
+#: Connected texts, and their characters, that one task compares.
+CROWD, CROWD_CHARS = 4096, 16 << 20
+#: Estimates this far below the similarity (seven deviations) aren't verified.
+MARGIN = 0.25
+#: Texts that a task remembers to have banded.
+REMEMBERED = 1_000_000
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.int64).astype(U64) << U64(1)) | U64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.int64).astype(U64)
@@ -68,16 +86,26 @@ def as_hex(signature: np.ndarray) -> list[str]:
     return [row.tobytes().hex() for row in signature.astype(">u2")]
 
 
-def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
+def _text() -> Column:
+    return F.coalesce("text", F.lit(""))
+
+
+def _text_id(text: Column) -> Column:
+    """128 bits of its SHA-256."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
+def fingerprint_with_edits(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text: its last half replaced by the start of the next text (descending doc_id, in a ring).
 
     The next text reaches its neighbour without a global sort: rows are dealt
     by ranges of doc_id, and the largest row of each range also goes, as a
     guest, to the range above. Each range is then read in order, a batch at a
-    time; so whole texts are shuffled once.
+    time; so whole texts are shuffled once. classes (doc_id, text_id,
+    class_id) travel to the same places, ahead of the texts.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text"))
     n = shuffle_partitions(spark)
     ranges = 4 * n
     bounds = np.unique(np.array(base.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges), dtype="float64")).astype("int64")
@@ -102,13 +130,25 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
         return pd.Series([[b, above[k]] if k in above else [b] for b, k in zip(own.tolist(), keys.tolist(), strict=True)])
 
     dealt = base.select("doc_id", "text", F.posexplode(places("doc_id")).alias("guest", "bucket"))
-    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.mapInArrow(_edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    if classes is None:
+        dealt = dealt.withColumns({"text_id": F.lit(None).cast("binary"), "class_id": F.lit(None).cast("long")})
+    else:
+        ahead = classes.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(0).alias("guest"), bucket("doc_id").alias("bucket"), "text_id", "class_id")
+        dealt = dealt.withColumns({"text_id": F.lit(None).cast("binary"), "class_id": F.lit(None).cast("long")}).unionByName(ahead)
+    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
+    found = dealt.mapInArrow(_edited, schema)
+    return found.drop("class_id") if classes is None else found
 
 
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = None  # doc_id, bucket, text and fingerprint of the row before
+    known: dict[tuple, int | None] = {}  # classes of the documents that come next
     for whole in batches:
+        ahead = whole.filter(whole.column("text").is_null())
+        for doc_id, text_id, class_id in zip(*(ahead.column(c).to_pylist() for c in ("doc_id", "text_id", "class_id")), strict=True):
+            known[doc_id, text_id] = class_id
+        whole = whole.filter(whole.column("text").is_valid())
         column = whole.column("text")
         for lo, hi in pieces(utf8(column), 8 << 20):
             batch = whole.slice(lo, hi - lo)
@@ -121,6 +161,7 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = None if guest[-1] else (ids[-1], bucket[-1], texts[-1], signature[-1])
             if not pairs:
                 continue
+            classes = [known.get((ids[i], hashlib.sha256(texts[i].encode()).digest()[:16])) for i in pairs] if known else [None] * len(pairs)
             edited = []
             for i in pairs:
                 text = texts[i]
@@ -136,52 +177,180 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(as_hex(other), pa.string()),
                     pa.array(likeness(own, other), pa.float64()),
                     pa.array(likeness(own, signature[[i + 1 for i in pairs]]), pa.float64()),
+                    pa.array(classes, pa.int64()),
                 ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"],
             )
+        # rows come by descending doc_id: only the classes of the last one may still be asked for, or of ones that come
+        if last and len(known) > 1:
+            known = {k: x for k, x in known.items() if k[0] == last[0] or k[0] in set(ids[-1:])}
+
+
+def _bands(signature: np.ndarray) -> np.ndarray:
+    """A hash of each band's number and values (texts x BANDS)."""
+    own = signature[:, : BANDS * BAND_ROWS].reshape(len(signature), BANDS, BAND_ROWS).astype(U64)
+    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64), own.shape[:2]).copy()
+    for k in range(BAND_ROWS):
+        out = mixed(out * U64(0x9FB21C651E98DF25) + own[:, :, k])
+    return out.view(np.int64)
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key (of a band's value) and mark (a hash of the text), for each text once a task."""
+    seen: set[int] = set()
+    for batch in batches:
+        whole = utf8(batch.column("text"))
+        for lo, hi in pieces(whole, 8 << 20):
+            new = {}
+            for i, text in enumerate(whole[lo:hi].to_pylist(), lo):
+                mark = xxh64_intdigest(text, 42)
+                if mark not in seen:
+                    new.setdefault(mark, i)
+            seen = seen | new.keys() if len(seen) < REMEMBERED else set(new)
+            if new:
+                keys = _bands(signatures(whole.take(pa.array(list(new.values())))))
+                marks = np.repeat(np.array(list(new), U64).view(np.int64), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(marks)], names=["key", "mark"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (key, mark) -> links of each mark with the first of its key."""
+    last = None
+    for batch in batches:
+        key, mark = batch.column("key").to_numpy(), batch.column("mark").to_numpy()
+        if not len(key):
+            continue
+        heads = np.concatenate(([last is None or key[0] != last[0]], key[1:] != key[:-1]))
+        first = mark[np.maximum.accumulate(np.where(heads, np.arange(len(key)), 0))]
+        if not heads[0]:
+            first[: int(np.argmax(heads)) if heads.any() else len(key)] = last[1]
+        last = (key[-1], first[-1])
+        apart = first != mark
+        yield pa.RecordBatch.from_arrays([pa.array(first[apart]), pa.array(mark[apart])], names=["u", "v"])
+
+
+class _Group:
+    """Texts at home in one place, with labels of those that are linked."""
+
+    def __init__(self):
+        self.ids, self.sets, self.label = [], [], []
+        self.prints = np.empty((16, PERMUTATIONS), np.uint16)
+
+    def links(self, own: np.ndarray, print_: np.ndarray, similarity: float) -> list[int]:
+        """Members that a text is alike to: one of each label that has any."""
+        n = len(self.ids)
+        near = (self.prints[:n] == print_).mean(axis=1)
+        found, done = [], set()
+        for k in np.argsort(-near, kind="stable").tolist():
+            if near[k] < similarity - MARGIN:
+                break
+            if self.label[k] in done:
+                continue
+            common = len(np.intersect1d(own, self.sets[k], assume_unique=True))
+            if common >= similarity * (len(own) + len(self.sets[k]) - common):
+                found.append(k)
+                done.add(self.label[k])
+        return found
 
+    def add(self, text_id: bytes, own: np.ndarray, print_: np.ndarray, linked: list[int]) -> None:
+        n = len(self.ids)
+        if n == len(self.prints):
+            self.prints = np.concatenate((self.prints, np.empty_like(self.prints)))
+        self.prints[n] = print_
+        names = {self.label[k] for k in linked}
+        if len(names) > 1:
+            self.label = [n if x in names else x for x in self.label]
+        self.ids.append(text_id)
+        self.sets.append(own)
+        self.label.append(n if len(names) != 1 else names.pop())
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sets(column: pa.LargeBinaryArray) -> list[np.ndarray]:
+    out = []
+    for lo, hi in pieces(column):
+        data, offsets = raw(column[lo:hi])
+        words = Words(lowered(data), offsets)
+        x, at = shingles(words.hashes(), words.first, SHINGLE)
+        out += [np.unique(x[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
+def _verifier(similarity: float):
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of (place, slice, visit) -> links u, v."""
+        key, group = None, _Group()
+        for batch in batches:
+            whole = utf8(batch.column("text"))
+            for lo, hi in pieces(whole, 4 << 20):
+                column, part = whole[lo:hi], batch.slice(lo, hi - lo)
+                u, v = [], []
+                rows = zip(*(part.column(c).to_pylist() for c in ("place", "slice", "visit", "text_id")), _sets(column), signatures(column), strict=True)
+                for place, slice_, visit, text_id, own, print_ in rows:
+                    if (place, slice_) != key:
+                        key, group = (place, slice_), _Group()
+                    linked = group.links(own, print_, similarity)
+                    u += [text_id] * len(linked)
+                    v += [group.ids[k] for k in linked]
+                    if not visit:
+                        group.add(text_id, own, print_, linked)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+
+    return verified
+
+
+def _rebanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        column = utf8(batch.column("text"))
-        signature, sets = signatures(column), []
-        for lo, hi in pieces(column):
-            data, offsets = raw(column[lo:hi])
-            words = Words(lowered(data), offsets)
-            x, at = shingles(words.hashes(), words.first, SHINGLE)
-            sets += [np.unique(x[a:b]).astype(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
-        bands = signature.reshape(len(batch), -1, BAND_ROWS).copy().view(np.int64)[:, :, 0]
-        yield pa.RecordBatch.from_arrays([batch.column("text_id"), batch.column("doc_id"), pa.array(list(bands), pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["text_id", "doc_id", "bands", "shingles"])
+        keys = _bands(signatures(utf8(batch.column("text"))))
+        yield pa.RecordBatch.from_arrays([batch.column("text_id"), batch.column("text"), pa.array(list(keys), pa.list_(pa.int64()))], names=["text_id", "text", "keys"])
+
+
+def _links(docs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links u, v between text_ids whose components are those of all candidates at the similarity. texts: text_id, mark, doc_id."""
+    n = shuffle_partitions(docs.sparkSession)
+    keys = docs.select(_text().alias("text")).mapInArrow(_banded, "key long, mark long")
+    stars = keys.repartition(n, "key").sortWithinPartitions("key", "mark").mapInArrow(_stars, "u long, v long")
+    connected = contracted(stars)
+    asked = written(texts.join(connected.withColumnRenamed("node", "mark"), "mark").select("text_id", "doc_id", "component"), "asked")
+    sieve = Sieve(asked, ["doc_id", "text_id"])
+    shown = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text")).withColumn("text_id", _text_id(F.col("text")))
+    shown = sieve.marked(shown)
+    shown = shown.mapInArrow(sieve.over(True, iter), shown.schema).groupBy("text_id").agg(F.first("text").alias("text"))
+    members = written(asked.select("text_id", "component").join(shown, "text_id"), "members")
+    crowds = members.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).filter((F.col("n") > CROWD) | (F.col("chars") > CROWD_CHARS)).select("component", F.lit(True).alias("crowded"))
+    crowds = written(crowds, "crowds")
+    placed = members.join(crowds, "component", "left_anti").select(F.col("component").alias("place"), F.lit(0).alias("slice"), F.lit(0).alias("visit"), "text_id", "text")
+    if not crowds.isEmpty():
+        banded = written(members.join(crowds, "component", "left_semi").select("text_id", "text").mapInArrow(_rebanded, "text_id binary, text string, keys array<long>"), "rebanded")
+        each = banded.select("text_id", "text", F.explode("keys").alias("key"))
+        sizes = banded.select(F.explode("keys").alias("key"), F.length("text").alias("chars")).groupBy("key").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).filter("n > 1")
+        sizes = sizes.select("key", F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("chars") / CROWD_CHARS)).cast("int").alias("slices"))
+        spread = each.join(sizes, "key").withColumn("home", F.pmod(F.xxhash64("text_id"), F.col("slices")).cast("int"))
+        spread = spread.select("text_id", "text", F.xxhash64(F.lit("band"), "key").alias("place"), "home", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        placed = placed.unionByName(spread.withColumn("visit", (F.col("home") != F.col("slice")).cast("int")).drop("home"))
+    placed = placed.repartition(n, "place", "slice").sortWithinPartitions("place", "slice", "visit")
+    return placed.mapInArrow(_verifier(similarity), "u binary, v binary")
+
+
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
+    """text_id, class_id: a row for each distinct text."""
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_id(_text()).alias("text_id"), F.xxhash64(_text()).alias("mark"))
+    texts = written(each.groupBy("text_id", "mark").agg(F.min("doc_id").alias("doc_id")), "texts")
+    found = written(contracted(_links(docs, texts, similarity)).withColumnRenamed("node", "text_id"), "classes")
+    linked = found.join(texts, "text_id")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    labels = found.join(least, "component").select("text_id", "class_id", F.lit(True).alias("linked"))
+    return texts.join(labels, "text_id", "left").select("text_id", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest doc_id that links reach).
-
-    Equal texts are one class from the start. Signature bands are joined on
-    (band, value); within a band value each text is compared with a leader,
-    those below the similarity get the next leader, until all have one: no
-    pairs of a group are listed. Every link is verified by exact Jaccard of
-    the shingle sets. Texts without words are alike. Null doc_ids are left out
-    of class_id's choice.
+    """One row per document: doc_id, text_id (128 bits of the text's SHA-256), class_id: the smallest doc_id that links reach (null if no row of the class has one).
+
+    Equal texts are one class from the start; texts without words are alike.
     """
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_id", F.xxhash64("text", F.length("text")))
-    known = written(texts.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")).mapInArrow(_shingle_sets, "text_id long, doc_id long, bands array<long>, shingles array<long>"), "minhash")
-    sets = known.select("text_id", "shingles")
-    waiting = known.select("text_id", F.posexplode("bands").alias("band", "value"))
-    links = None
-    while True:
-        led = waiting.join(waiting.groupBy("band", "value").agg(F.min("text_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n"), ["band", "value"]).filter("text_id <> leader")
-        pairs = led.select("text_id", "leader").distinct()
-        both = pairs.join(sets, "text_id").join(sets.select(F.col("text_id").alias("leader"), F.col("shingles").alias("others")), "leader")
-        common = F.size(F.array_intersect("shingles", "others"))
-        alike = both.select("text_id", "leader", (common >= similarity * (F.size("shingles") + F.size("others") - common)).alias("alike"))
-        judged = written(led.join(alike, ["text_id", "leader"]), "minhash-round")
-        found = judged.filter("alike").select(F.col("text_id").alias("u"), F.col("leader").alias("v")).distinct()
-        links = found if links is None else links.unionByName(found)
-        waiting = judged.filter("not alike").select("text_id", "band", "value")
-        if waiting.isEmpty():
-            break
-    of = known.select("text_id", "doc_id").join(components(links), F.col("text_id") == F.col("node"), "left").select("text_id", "doc_id", F.coalesce("component", "text_id").alias("component"))
-    label = of.join(of.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component").select("text_id", "class_id")
-    return texts.select("doc_id", "text_id").join(label, "text_id").select("doc_id", "class_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_id(_text()).alias("text_id"))
+    return own.join(_classes(docs, similarity), "text_id").select("doc_id", "text_id", "class_id")
+
+
+def fingerprints_and_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """`fingerprint_with_edits` with class_id, as from `near_duplicates`."""
+    return fingerprint_with_edits(docs, near_duplicates(docs, similarity).distinct())

@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import U64, pieces, shuffle_partitions, utf8, written
-from .components import components
+from quire.operators.graph import contracted
+
+from .common import U64, boxed, pieces, shuffle_partitions, unboxed, utf8, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Most fingerprints at home that one task compares with the visitors of their anchor.
@@ -180,7 +181,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
     known = written(base.mapInArrow(_fingerprinted, "doc_id long, mark long, print long"), "simhash")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     nodes = written(known.groupBy("print").agg(F.min(row).alias("least")), "prints")
-    found = components(links(nodes.select("print")))
+    found = contracted(links(nodes.select("print")))
     joined = nodes.join(found, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("component", "print").alias("component"))
     label = joined.join(joined.groupBy("component").agg(F.min("least").alias("first")), "component").select("print", "first")
     return known.join(label, "print")
@@ -193,9 +194,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs without all but the first (by doc_id, null last) of each component."""
-    first = _labelled(docs).select("first.*").distinct().select(F.col("doc_id").alias("__id"), F.col("none").alias("__none"), F.col("mark").alias("__mark"))
     own = F.col("doc_id").cast("long")
-    kept = docs.withColumns({"__own": F.coalesce(own, F.lit(0)), "__mark": _mark(), "__void": own.isNull()})
-    first = first.select(F.coalesce("__id", F.lit(0)).alias("__own"), "__mark", F.col("__none").alias("__void"))
-    kept = kept.join(first, ["__own", "__mark", "__void"], "left_semi")
-    return kept.dropDuplicates(["__own", "__mark", "__void"]).select(*docs.columns)
+    keys = ["own", "mark", "void"]
+    first = _labelled(docs).select("first.*").distinct().select(F.coalesce("doc_id", F.lit(0)).alias("own"), "mark", F.col("none").alias("void"))
+    kept = boxed(docs, F.coalesce(own, F.lit(0)).alias("own"), _mark().alias("mark"), own.isNull().alias("void")).join(first, keys, "left_semi")
+    return unboxed(kept.dropDuplicates(keys))

@@ -1,12 +1,15 @@
 """License scans by canonical digest lookup. DataFrame functions only.
 
-A text is made canonical: A-Z in lower case, copyright lines dropped,
-equivalent spellings made one (licence/license, sub-license, http/https,
-curly quotes, "c" and © marks), punctuation and white space to single spaces.
-Its SHA-256 is joined with the digests of known licence texts, made canonical
-by the same expressions. The entire text of a document is one unit; each line
-of it is another, entire, so that one-line notices are found too. Whole texts
-are read; no part of a unit matches.
+A text is made canonical, a line at a time: A-Z in lower case, copyright
+clauses dropped, equivalent spellings made one (licence/license, sub-license,
+http/https, curly quotes), punctuation and white space to single spaces, so
+that wrapping and comment marks don't matter. Its SHA-256 meets the digests of
+known licence texts, made canonical in the same way, in a hash join. Units are
+the entire text of a document; each of its paragraphs (lines without an empty
+one between) and each of its lines, entire. No part of a unit matches.
+
+Known are the texts in `licences/` (by SPDX name), and one-line notices. Of a
+text, what follows its end mark is optional, and a heading that names it.
 
 Null texts count as empty and match nothing. Repeated rows get a row each;
 repeated lines count as often as they occur; extra columns aren't read; an
@@ -15,111 +18,169 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import pathlib
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Known licence texts and one-line notices, by SPDX name.
-_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+from .common import written
 
-1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-
-2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
-_BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
-_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
-KNOWN = [
-    ("MIT", f"MIT License\n\n{_MIT}"),
-    ("MIT", _MIT),
-    ("ISC", f"ISC License\n\n{_ISC}"),
-    ("ISC", _ISC),
-    ("0BSD", _ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")),
-    ("BSD-2-Clause", f"{_BSD_HEAD}\n\n{_BSD_END}"),
-    ("BSD-3-Clause", f"{_BSD_HEAD}\n\n{_BSD_THIRD}\n\n{_BSD_END}"),
+# One-line notices, by SPDX name.
+NOTICES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-only"),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
-#: Of texts given as a list, whose digests become part of the plan.
-MOST_KNOWN = 10_000
+# What a text may begin with, and the marks after which it is optional.
+HEADINGS = {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}
+ENDS = ["END OF TERMS AND CONDITIONS"]
 #: Equivalent spellings, in lower case.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("https:", "http:"), ("copyright owner", "copyright holder")]
+#: Of known units, whose table is broadcast.
+MOST_KNOWN = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_COPYRIGHT = r"^[ \t]*(copyright( \(c\)| ©|:)? *[0-9a-z(©]|\(c\) *[0-9]|© *[0-9]|all rights reserved)"
+#: A copyright clause, and what may follow it on its line.
+_COPYRIGHT = r"^[ \t#*/;%-]*(?:copyright *(?:\(c\)|©|:|[0-9][0-9][0-9][0-9])|\(c\) *[0-9][0-9][0-9][0-9]|© *[0-9][0-9][0-9][0-9]|all rights reserved)"
+_CLAUSE = _COPYRIGHT + r"[^\n]*?((?:licen[cs]ed under|released under|this work is|spdx-)[^\n]*)?$"
 _OTHER = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
+_QUOTES, _PLAIN = "“”‘’«»–—", '""\'\'""--'
 
 
 def canonical(line: Column) -> Column:
-    """Of one line in lower case: one spelling, and words with single spaces between."""
-    spelled = reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), SPELLINGS, line)
-    return F.trim(F.regexp_replace(F.translate(spelled, "“”‘’«»–—", '""\'\'""--'), _OTHER, " "))
-
-
-def digests(text: Column) -> tuple[Column, Column]:
-    """SHA-256 of the whole canonical text, and of each of its lines that has words (copyright lines left out)."""
-    lines = F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER + "\r", _LOWER + "\n"), "\n")
-    words = F.filter(F.transform(F.filter(lines, lambda x: ~x.rlike(_COPYRIGHT)), canonical), lambda x: x != "")
-    return F.when(F.size(words) > 0, F.sha2(F.array_join(words, " "), 256)), F.transform(words, lambda x: F.sha2(x, 256))
-
-
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> list[tuple[str, str]]:
-    """Pairs of digest and licence for a list of MOST_KNOWN texts at most; of equal digests the first licence by name."""
-    if len(known) > MOST_KNOWN:
-        raise ValueError(f"at most {MOST_KNOWN} texts")
-    whole, _ = digests(F.col("text"))
-    rows = spark.createDataFrame(known, "licence string, text string").select(whole.alias("digest"), "licence").filter("digest is not null").collect()
-    return sorted({r["digest"]: r["licence"] for r in sorted(rows, key=lambda r: r["licence"], reverse=True)}.items())
-
-
-def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """doc_id, digest (of the whole text; null: no words), licence (of the whole text, or null), notices (licences of its lines, sorted, with repeats).
-
-    Whole digests meet the known ones in a hash join that broadcasts them;
-    they are a list of bounded length. Nothing is shuffled.
+    """Of one line in lower case: one spelling, and words with single spaces between; empty if it has none."""
+    rest = F.when(line.rlike(_COPYRIGHT), F.regexp_replace(line, _CLAUSE, "$1")).otherwise(line)
+    spelled = reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), SPELLINGS, rest)
+    return F.trim(F.regexp_replace(F.translate(spelled, _QUOTES, _PLAIN), _OTHER, " "))
+
+
+def canonical_lines(text: str) -> list[str]:
+    """The same of each line of a known text."""
+    out = []
+    for line in text.translate(str.maketrans(_UPPER + "\r", _LOWER + "\n")).split("\n"):
+        line = re.sub(_CLAUSE, r"\1", line) if re.search(_COPYRIGHT, line) else line
+        for a, b in SPELLINGS:
+            line = line.replace(a, b)
+        line = line.translate(str.maketrans(_QUOTES, _PLAIN))
+        out.append(re.sub(r"[^0-9a-z\x80-\U0010ffff]+", " ", line).strip(" "))
+    return out
+
+
+def paragraphs(lines: list[str]) -> list[str]:
+    return [" ".join(x.split("\n")) for x in re.split("\n\n+", "\n".join(lines).strip("\n")) if x]
+
+
+def _digest(unit: str) -> str:
+    return hashlib.sha256(unit.encode()).hexdigest()
+
+
+@functools.lru_cache(1)
+def known_texts() -> list[tuple[str, str]]:
+    """SPDX name and text of each file."""
+    folder = pathlib.Path(__file__).with_name("licences")
+    return [(p.stem, p.read_text()) for p in sorted(folder.glob("*.txt"))]
+
+
+def known(texts: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] = NOTICES) -> tuple[dict[str, str], dict[str, str], dict[str, set[str]], tuple[int, int]]:
+    """Licence by digest of a whole text, and of a notice; digests of the paragraphs of each licence; least and greatest length of a unit. Of equal digests the first licence by name."""
+    whole, parts, sizes = {}, {}, []
+    for name, text in sorted(known_texts() if texts is None else texts, reverse=True):
+        bodies = [text, *(text[: text.index(x) + len(x)] for x in ENDS if x in text)]
+        for body in bodies:
+            for head in ("", HEADINGS.get(name, "")):
+                whole[_digest(" ".join(x for x in canonical_lines(head + "\n" + body) if x))] = name
+        own = paragraphs(canonical_lines(bodies[-1]))
+        parts[name] = {_digest(x) for x in own}
+        sizes += map(len, own)
+    single = {}
+    for name, text in sorted(notices, reverse=True):
+        unit = " ".join(x for x in canonical_lines(text) if x)
+        single[_digest(unit)] = name
+        sizes.append(len(unit))
+    if len(single) + sum(map(len, parts.values())) > MOST_KNOWN:
+        raise ValueError(f"at most {MOST_KNOWN} known units")
+    return whole, single, parts, (min(sizes, default=0), max(sizes, default=0))
+
+
+def _tables(spark: SparkSession, texts, notices) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """digest, licence of whole texts; digest, licence, notice, parts, wider of units: parts says how many paragraphs the licence has, wider which licences have all of them and more."""
+    whole, single, parts, sizes = known(texts, notices)
+    rows = [(d, name, True, 0, []) for d, name in single.items()]
+    for name, own in parts.items():
+        wider = [x for x, other in parts.items() if own < other]
+        rows += [(d, name, False, len(own), wider) for d in own]
+    whole_table = spark.createDataFrame(list(whole.items()), "digest string, licence string")
+    return whole_table, spark.createDataFrame(rows, "digest string, licence string, notice boolean, parts int, wider array<string>"), sizes
+
+
+def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
+    """doc_id, digest (of the whole text; null: no words), licence (of the whole text, or null), notices (licences of its lines that are notices, sorted, with repeats), contained (sorted licences all of whose paragraphs it has, without those that a longer one includes).
+
+    Texts are read once; digests of their units are written, and meet the
+    table of known ones, which has MOST_KNOWN rows at most, in a hash join.
+    Only the few that match are grouped.
     """
-    spark = docs.sparkSession
-    pairs = known_digests(spark, known)
-    names = [d for d, _ in pairs]
-    table = spark.createDataFrame(pairs, "digest string, licence string")
-    whole, lines = digests(F.col("text"))
-    units = docs.select("doc_id", whole.alias("digest"), F.filter(lines, lambda x: x.isin(names)).alias("found"))
-    of = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    notices = F.when(F.size("found") == 0, F.array().cast("array<string>")).otherwise(F.array_sort(F.transform("found", lambda x: F.element_at(of, x))))
-    return units.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "licence", notices.alias("notices"))
+    whole_table, units, (least, most) = _tables(docs.sparkSession, texts, notices)
+    lines = F.transform(F.split(F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER + "\r", _LOWER + "\n"), "\n"), canonical)
+    own = docs.select("doc_id", lines.alias("lines"))
+    full = F.filter("lines", lambda x: x != "")
+    many = F.filter(F.split(F.array_join("lines", "\n"), "\n\n+"), lambda x: F.contains(x, F.lit("\n")))
+    own = own.select("doc_id", F.when(F.size(full) > 0, F.sha2(F.array_join(full, " "), 256)).alias("digest"), F.concat("lines", F.transform(many, lambda x: F.trim(F.translate(x, "\n", " ")))).alias("units"))
+    fits = F.filter("units", lambda x: F.length(x).between(least, most))
+    own = written(own.select("doc_id", "digest", F.transform(fits, lambda x: F.unhex(F.sha2(x, 256))).alias("units"), F.monotonically_increasing_id().alias("row")), "units")
+    hits = own.select("row", F.explode("units").alias("key")).join(F.broadcast(units.withColumn("key", F.unhex("digest"))), "key")
+    hits = hits.groupBy("row", "licence").agg(F.count_if("notice").alias("lines"), F.countDistinct(F.when(~F.col("notice"), F.col("key"))).alias("found"), F.max("parts").alias("parts"), F.max("wider").alias("wider"))
+    hits = hits.withColumn("whole", (F.col("parts") > 0) & (F.col("found") == F.col("parts")))
+    hits = hits.filter("lines > 0 OR whole").groupBy("row").agg(
+        F.array_sort(F.flatten(F.collect_list(F.expr("array_repeat(licence, CAST(lines AS INT))")))).alias("notices"),
+        F.collect_list(F.when(F.col("whole"), F.struct("licence", "wider"))).alias("all"),
+    )
+    kept = F.filter("all", lambda x: ~F.arrays_overlap(x["wider"], F.col("all.licence")))
+    hits = hits.select("row", "notices", F.array_sort(F.transform(kept, lambda x: x["licence"])).alias("contained"))
+    none = F.array().cast("array<string>")
+    named = own.drop("units").join(F.broadcast(whole_table), "digest", "left").join(hits, "row", "left")
+    return named.select("doc_id", "digest", "licence", F.coalesce("notices", none).alias("notices"), F.coalesce("contained", none).alias("contained"))
 
 
 def _sql_canonical(line: str) -> str:
+    line = f"CASE WHEN regexp_matches({line}, '{_COPYRIGHT}') THEN regexp_replace({line}, '{_CLAUSE}', '\\1') ELSE {line} END"
     for a, b in SPELLINGS:
         line = f"replace({line}, '{a}', '{b}')"
-    quotes, plain = "“”‘’«»–—", '""\'\'""--'.replace("'", "''")
+    quotes, plain = _QUOTES, _PLAIN.replace("'", "''")
     return f"trim(regexp_replace(translate({line}, '{quotes}', '{plain}'), '{_OTHER}', ' ', 'g'))"
 
 
-def _sql_lines(text: str) -> str:
-    lines = f"string_split(translate(coalesce({text}, ''), '{_UPPER}' || chr(13), '{_LOWER}' || chr(10)), chr(10))"
-    kept = f"list_filter({lines}, lambda x: NOT regexp_matches(x, '{_COPYRIGHT}'))"
-    return f"list_filter(list_transform({kept}, lambda x: {_sql_canonical('x')}), lambda x: x <> '')"
-
-
-_VALUES = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
-SQL = f"""WITH k AS (SELECT sha256(array_to_string({_sql_lines('t')}, ' ')) AS digest, min(l) AS licence FROM (VALUES {_VALUES}) v(l, t) GROUP BY 1),
-d AS (SELECT doc_id, {_sql_lines('text')} AS lines FROM documents),
-e AS (SELECT doc_id, list_transform(lines, lambda x: sha256(x)) AS of, CASE WHEN len(lines) > 0 THEN sha256(array_to_string(lines, ' ')) END AS digest FROM d),
-u AS (SELECT doc_id, unnest(of) AS digest FROM e),
-n AS (SELECT doc_id, list(licence ORDER BY licence) AS notices FROM u JOIN k USING (digest) GROUP BY doc_id)
-SELECT e.doc_id, e.digest, k.licence, coalesce(notices, []) AS notices FROM e LEFT JOIN k ON e.digest = k.digest LEFT JOIN n ON e.doc_id = n.doc_id"""
+def sql() -> str:
+    whole, single, parts, _ = known()
+    values = lambda rows: ", ".join(f"('{a}', '{b}')" for a, b in rows)
+    lines = f"string_split(translate(coalesce(text, ''), '{_UPPER}' || chr(13), '{_LOWER}' || chr(10)), chr(10))"
+    wider = values([(a, b) for a, own in parts.items() for b, other in parts.items() if own < other]) or "('', '')"
+    return f"""WITH w(digest, licence) AS (VALUES {values(whole.items())}),
+n(digest, licence) AS (VALUES {values(single.items())}),
+p(digest, licence) AS (VALUES {values((d, name) for name, own in parts.items() for d in own)}),
+wider(licence, longer) AS (VALUES {wider}),
+d AS (SELECT row_number() OVER () AS id, doc_id, list_transform({lines}, lambda x: {_sql_canonical('x')}) AS lines FROM documents),
+e AS (SELECT id, doc_id, lines, list_filter(lines, lambda x: x <> '') AS words, list_filter(regexp_split_to_array(array_to_string(lines, chr(10)), '\\n\\n+'), lambda x: contains(x, chr(10))) AS many FROM d),
+f AS (SELECT id, doc_id, CASE WHEN len(words) > 0 THEN sha256(array_to_string(words, ' ')) END AS digest, list_concat(words, list_transform(many, lambda x: trim(replace(x, chr(10), ' ')))) AS units FROM e),
+u AS (SELECT id, sha256(unnest(units)) AS digest FROM f),
+lines_ AS (SELECT id, list(licence ORDER BY licence) AS notices FROM u JOIN n USING (digest) GROUP BY id),
+whole_ AS (SELECT id, licence FROM u JOIN p USING (digest) GROUP BY id, licence HAVING count(DISTINCT digest) = (SELECT count(*) FROM p q WHERE q.licence = p.licence)),
+kept AS (SELECT id, list(licence ORDER BY licence) AS contained FROM whole_ a WHERE NOT EXISTS (SELECT 1 FROM whole_ b JOIN wider ON longer = b.licence WHERE b.id = a.id AND wider.licence = a.licence) GROUP BY id)
+SELECT doc_id, f.digest, w.licence, coalesce(notices, []) AS notices, coalesce(contained, []) AS contained
+FROM f LEFT JOIN w ON f.digest = w.digest LEFT JOIN lines_ ON f.id = lines_.id LEFT JOIN kept ON f.id = kept.id"""
+
+
+SQL = sql()

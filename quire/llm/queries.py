@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_fingerprints_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op1_fingerprints.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
+    return op1_fingerprints.fingerprints_and_classes(_table(spark, sf_dir, "documents"))
 
 
 def op2_simhash_(spark: SparkSession, sf_dir: str) -> DataFrame:

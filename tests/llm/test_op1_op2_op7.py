@@ -13,7 +13,7 @@ import xxhash
 from quire.llm import op1_fingerprints as op1
 from quire.llm import op2_simhash as op2
 from quire.llm import op7_substrings as op7
-from quire.llm.components import components
+from quire.operators.graph import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -84,13 +84,51 @@ def test_fingerprints_of_few_rows(spark):
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_chars"]) for r in rows) == [(-1, 1), (3, 4), (3, 4), (9, 0)]
 
 
+def jaccard_classes(texts, at=0.8):
+    """The least id that pairs of texts at the similarity reach, from all pairs."""
+    sets = {i: set(shingles(t, 5)) for i, t in texts.items()}
+    alike = lambda a, b: not (a | b) or len(a & b) >= at * len(a | b)
+    return union_find(sorted(sets), [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if alike(sets[a], sets[b])])
+
+
 def test_minhash_classes(docs):
     got = {r["doc_id"]: r["class_id"] for r in op1.near_duplicates(docs.select("doc_id", "text")).collect()}
-    texts = {i: set(shingles(t, 5)) for i, t in odd_rows()}
-    for a, b in itertools.combinations(sorted(texts), 2):
-        union = texts[a] | texts[b]
-        if (len(texts[a] & texts[b]) / len(union) if union else 1) >= 0.8:
-            assert got[a] == got[b]
+    assert got == jaccard_classes(dict(odd_rows()))
+    both = {r["doc_id"]: r["class_id"] for r in op1.fingerprints_and_classes(docs).collect()}
+    assert both == got
+
+
+@pytest.mark.parametrize("crowd", [4096, 7])
+def test_minhash_classes_of_variants(spark, monkeypatch, crowd):
+    """Dense groups with outliers: variants of one text, 3 to 8 edits each, and texts that are like one variant only; also dealt out by bands and slices."""
+    monkeypatch.setattr(op1, "CROWD", crowd)
+    r = random.Random(11)
+    rows = []
+    for g in range(4):
+        base = [f"w{g}.{r.randrange(400)}" for _ in range(300)]
+        for _ in range(40):
+            words = list(base)
+            for k in r.sample(range(300), r.randrange(3, 9)):
+                words[k] = f"e{r.randrange(10**6)}"
+            rows.append(words)
+        for _ in range(6):
+            words = list(r.choice(rows[-40:]))
+            for k in r.sample(range(300), 6):
+                words[k] = f"f{r.randrange(10**6)}"
+            rows.append(words)
+    r.shuffle(rows)
+    texts = {i: " ".join(w) for i, w in enumerate(rows)}
+    texts[900], texts[901] = texts[3], texts[3]
+    got = {x["doc_id"]: x["class_id"] for x in op1.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == jaccard_classes(texts)
+
+
+def test_minhash_classes_of_odd_tables(spark):
+    schema = "doc_id long, text string"
+    assert op1.near_duplicates(spark.createDataFrame([], schema)).collect() == []
+    rows = [(None, "a b"), (None, "a b"), (3, "a b"), (3, "x y z"), (3, "x y z"), (None, "alone"), (4, None), (2, " ")]
+    got = op1.fingerprints_and_classes(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((str(x["doc_id"]), x["n_chars"], str(x["class_id"])) for x in got) == [("2", 1, "2"), ("3", 3, "3"), ("3", 5, "3"), ("3", 5, "3"), ("4", 0, "2"), ("None", 3, "3"), ("None", 3, "3"), ("None", 5, "None")]
 
 
 def union_find(ids, pairs):
@@ -203,3 +241,18 @@ def test_substrings_of_odd_tables(spark):
     assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in rows) == [(-1, 30), (4, 0), (4, 0), (5, 30)]
     left = op7.deduplicated(spark.createDataFrame([(4, text, "k"), (5, text + " x", None)], "doc_id long, text string, runs string")).collect()
     assert sorted((r["doc_id"], r["text"], r["runs"]) for r in left) == [(4, text, "k"), (5, "x", None)]
+
+
+def test_substrings_of_a_passage_in_a_third(spark, monkeypatch):
+    """One passage in every third document: tasks remember it, whatever the order of the rows."""
+    monkeypatch.setattr(op7, "SAMPLE", 1)
+    r = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"v{r.randrange(10**6)}" for _ in range(30)) + (" " + passage if i % 3 == 0 else "")) for i in range(600)]
+    r.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in op7.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute_substrings(rows)
