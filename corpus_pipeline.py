@@ -18,8 +18,7 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose text has no letters or no set of languages that explains half of it. Learned from those that are not held out."""
-    found = op4_language.identify(docs, docs.filter(~op4_language.held_out()))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("explained") >= LEAST_SCORE)).select(*docs.columns)
+    return op4_language.explained(docs, docs.filter(~op4_language.held_out()), LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows that occur earlier go; such texts become their other words, joined by spaces. All documents stay, if empty too."""
-    left = op7_substrings.deduplicated(docs)
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return op7_substrings.deduplicated(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
