@@ -22,16 +22,39 @@ INVISIBLE = {
 TAG_BLOCK = r"[\x{E0020}-\x{E00BF}]"
 
 
+# Arrow functions are given nulls for rows that they aren't needed for, as Spark runs them for all.
+
+
 @F.pandas_udf(StringType())
-def nfkc(values: pd.Series) -> pd.Series:
+def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def nfkc(text: Column) -> Column:
+    """In NFKC; ASCII stays in the JVM."""
+    odd = text.rlike(r"[^\x00-\x7F]")
+    return F.when(odd, _nfkc(F.when(odd, text))).otherwise(text)
+
+
+#: Entities that are decoded in the JVM, the ampersand last.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+_OTHER_ENTITY = "&(?!(?:" + "|".join(name[1:] for name, _ in ENTITIES) + "))[#A-Za-z]"
+
+
 @F.pandas_udf(StringType())
-def unescape_html(values: pd.Series) -> pd.Series:
+def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else html.unescape(x))
 
 
+def unescape_html(text: Column) -> Column:
+    """Entities as the characters that they stand for; only a text with uncommon ones goes through Python."""
+    odd = text.rlike(_OTHER_ENTITY)
+    common = text
+    for name, character in ENTITIES:
+        common = F.replace(common, F.lit(name), F.lit(character))
+    return F.when(odd, _unescape(F.when(odd, text))).otherwise(common)
+
+
 @F.pandas_udf(StringType())
 def decode_bytes(values: pd.Series) -> pd.Series:
     """Bytes of unknown encoding: UTF-16 by its mark, UTF-8, the Korean code pages, else UTF-8 without what is invalid."""
@@ -52,7 +75,9 @@ def decode_bytes(values: pd.Series) -> pd.Series:
 
 def decoded(content: Column) -> Column:
     """Only what isn't plain UTF-8 goes through Python."""
-    return F.when(F.is_valid_utf8(content.cast("string")) & ~content.cast("string").startswith("﻿"), content.cast("string")).otherwise(decode_bytes(content))
+    text = content.cast("string")
+    odd = ~F.is_valid_utf8(text) | text.startswith("\ufeff")
+    return F.when(odd, decode_bytes(F.when(odd, content))).otherwise(text)
 
 
 def strip(text: Column) -> Column:
@@ -162,6 +187,11 @@ def invisible_counts(text: Column) -> Column:
     return F.filter(F.array(*counts), lambda x: x["n"] > 0)
 
 
+def number_before(text: Column, unit: str) -> Column:
+    """The first number that a unit follows, which is no part of a longer word; null without one."""
+    return F.regexp_extract(text, rf"(\d+)\s*{unit}(?![{HANGUL}])", 1).try_cast("int")
+
+
 def chapter_number(title: Column) -> Column:
     """The number that a chapter title starts with, or null."""
     found = F.regexp_extract(strip(F.coalesce(title, F.lit(""))), rf"(?U)^(?:#\s*)?(?:제\s*)?(\d+)(?:\s*(?:[{UNITS}]\b|[:)]|[.](?!\d))|\s+\S)", 1)

@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-import html
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from quire.functions import segmenting
 from quire.functions import text as T
 
-# Patterns of titles.
-SPECIAL = r"(?iu)외전|번외|특전|에필로그|프롤로그|서장|종장"
-STRUCTURED = r"(?iuU)^(?:(?:제\s*)?\d{1,5}\s*[화장편권부절막회차](?:\s|$|[.)．:：\-–—])|\d{1,5}\s*[.)．:：]\s*\S+|(?:Chapter|Ch\.?)\s*\d{1,5}\b)"
-PURE = [r"^제?\s*\d+\s*[화장편권부절막회차]\s*\.?$", r"^(?:Chapter|Ch\.?)\s*\d+\s*\.?$", r"^(?:Part|Volume)\s+\d+\s*\.?$", r"^(?:Prologue|Epilogue|Interlude|프롤로그|에필로그|서장|종장|외전)\s*\.?$", r"^[#＃]\s*\d+\s*\.?$", r"^\d+\s*[.:)]\s*$", r"\b\d+\s*[화장편권부]\b[ .]*$"]
-NOISE = r"(?U)^#\s*\S+|^특전|^에필로그\s+(?:해석|때문)"
-NOISE_OR_MARKED = r"(?iuU)^(?:프롤로그|에필로그|Prologue|Epilogue)\b"
-MARKER = "<b>{}</b>"
+# Words of titles.
+TAGS = ["#"]
+SPECIAL_STARTS, REMARKS = ["특전"], ["해석", "때문"]
+OPENING_WORDS, SECTION_WORDS = ["프롤로그", "에필로그"], ["프롤로그", "에필로그", "외전", "번외"]
+NEAR, FULL, SHORT, HEADING = 3, 1200, 250, 80
 STYLES = [("unit", r"(?U)^(?:제\s*)?0*(\d{1,5})\s*[화장편회]\s*(?:[.)．:：\-–—]\s*)?(.*)$"), ("dot", r"(?U)^(?:제\s*)?0*(\d{1,5})\s*[.)．]\s*(.*)$")]
-HEAD = r"(?U)^(?:제\s?\d+\s?[화장편권부회]|\d+\s?[화장편권부회](?=\s|[.:：)）]|$)|(?:Chapter|CHAPTER|chapter)\s+\d+|Ch\.?\s*\d+\b|(?:Part|PART|Volume|VOLUME)\s+\d+|(?:Prologue|Epilogue|Interlude)\b|(?:서장|종장|프롤로그|에필로그|외전)\b|\d+\s*(?:[:)](?:\s|$)|[.](?:\s|$|(?!\d)\S))|[#＃]\s?\d+)"
-INTRODUCTION = r"^[^@\n]{1,80}?@[^\s@][^\n]{0,60}$"
-START, BODY = "시작", "본문"
+CHAPTERS = StructType([StructField("subtitles", BooleanType()), StructField("chapters", ArrayType(StructType([StructField("title", StringType()), StructField("lines", ArrayType(StringType()))])))])
 
 number = T.chapter_number
 
@@ -36,12 +32,9 @@ def title_text(title: Column) -> Column:
     return T.collapse(T.nfkc(F.coalesce(title, F.lit(""))))
 
 
-def is_pure_marker(title: Column) -> Column:
-    own = T.strip(F.coalesce(title, F.lit("")))
-    found = own == ""
-    for pattern in PURE:
-        found = found | own.rlike(f"(?iuU){pattern}")
-    return found
+@F.pandas_udf(BooleanType())
+def is_pure_marker(titles: pd.Series) -> pd.Series:
+    return titles.map(lambda x: segmenting.is_pure_marker(x or ""))
 
 
 def body_size(lines: str = "lines") -> Column:
@@ -54,18 +47,20 @@ def segments(lines: DataFrame, keys: list[str], order: str, is_head: Column) ->
     return lines.withColumn("segment", F.sum(is_head.cast("int")).over(upto))
 
 
-def detect(docs: DataFrame, pattern: str = HEAD) -> DataFrame:
-    """docs (doc, text) -> chapters: each line that the pattern fits starts one; what is before the first is BODY's start, dropped if the text opens with title@author."""
-    lines = docs.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\R")).alias("at", "line")).withColumn("line", T.strip(F.col("line"))).filter("line <> ''")
-    plain = T.collapse(F.translate(F.regexp_replace("line", r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}]", ""), " ", " "))
-    prose = plain.rlike(r"^\d+\s*[.:)]") & ((F.length(plain) >= 40) & plain.rlike("[,.!?…“”\"'‘’]$") | (F.size(F.split(plain, " ")) >= 8))
-    marked = segments(lines.withColumn("head", plain.rlike(pattern) & ~prose), ["doc"], "at", F.col("head"))
-    first = Window.partitionBy("doc").orderBy("at")
-    marked = marked.withColumn("opening", F.first("line").over(first)).withColumn("n", F.max("segment").over(Window.partitionBy("doc")))
-    marked = marked.filter((F.col("segment") > 0) | (F.col("n") == 0) | ~F.col("opening").rlike(INTRODUCTION))
-    title = F.when(F.col("n") == 0, BODY).otherwise(F.coalesce(F.max(F.when(F.col("head"), F.col("line"))), F.lit(START)))
-    body = F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("at", escaped(F.col("line")).alias("line")))))
-    return marked.groupBy("doc", F.col("segment").alias("pos"), "n").agg(title.alias("title"), F.transform(body, lambda x: x["line"]).alias("lines")).drop("n")
+def detect(docs: DataFrame, strength: str = "normal", pattern: str = "", consistent: bool = True) -> DataFrame:
+    """docs (doc, text) -> chapters. strength: weak, normal or strong; pattern: a heading of one's own, tried first; consistent: only the kind of heading that most have, and special ones.
+
+    A text is one book and is read where it lies: nothing is shuffled. A null
+    text has no chapters, an empty one an empty body.
+    """
+
+    @F.pandas_udf(CHAPTERS)
+    def found(texts: pd.Series) -> pd.DataFrame:
+        rows = [(None, None) if x is None else segmenting.detect(x, strength, pattern, consistent) for x in texts]
+        return pd.DataFrame({"subtitles": [s for _, s in rows], "chapters": [None if own is None else [{"title": t, "lines": list(n)} for t, n in own] for own, _ in rows]})
+
+    own = docs.select("doc", F.posexplode(found("text")["chapters"]).alias("pos", "x"))
+    return own.select("doc", "pos", "x.title", "x.lines")
 
 
 def neighbours(chapters: DataFrame) -> DataFrame:
@@ -87,14 +82,30 @@ def absorbed(chapters: DataFrame, into_previous: Column, marker: Column | None =
     return own.groupBy("doc", "segment").agg(F.min("pos").alias("pos"), F.min_by("title", "pos").alias("title"), F.flatten(F.transform(parts, lambda x: x["__lines"])).alias("lines")).drop("segment")
 
 
+def _bare(shown: Column) -> Column:
+    """Without dashes and bullets in front."""
+    return F.ltrim(shown, F.lit(" -–—•"))
+
+
+def _starts(text: Column, words: list[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.startswith(F.lower(text), F.lower(w)))
+
+
+def is_remark(shown: Column) -> Column:
+    """A tag, a bonus part, or a remark about an epilogue."""
+    words = F.split(_bare(shown), r"\s+")
+    about = (F.get(words, F.lit(0)) == OPENING_WORDS[1]) & F.exists(F.array(*map(F.lit, REMARKS)), lambda w: F.startswith(F.coalesce(F.get(words, F.lit(1)), F.lit("")), w))
+    return _starts(shown, TAGS) | _starts(_bare(shown), SPECIAL_STARTS) | about
+
+
 def absorb_subheadings(chapters: DataFrame) -> DataFrame:
     """Headings without a number between close numbers go into the chapter before."""
     own = neighbours(chapters).withColumn("shown", title_text(F.col("title")))
-    clean = F.regexp_replace("shown", r"(?U)^[\s\-–—•]+", "")
-    odd = F.col("shown").rlike(NOISE) | clean.rlike(NOISE) | clean.rlike(NOISE_OR_MARKED)
-    plain = (body_size() < 1200) & ~F.col("shown").rlike(r"(?U)프롤로그|에필로그|외전|번외|특전\s*\d")
-    close = (F.col("next") > F.col("prev")) & (F.col("next") - F.col("prev") <= 3) & (F.length("shown") <= 80)
-    return absorbed(own, F.col("num").isNull() & close & (odd | plain)).select("doc", "pos", "title", "lines")
+    opening = _starts(_bare(F.col("shown")), [*OPENING_WORDS, "prologue", "epilogue"])
+    section = F.exists(F.array(*map(F.lit, SECTION_WORDS)), lambda w: F.contains("shown", w))
+    plain = (body_size() < FULL) & ~section
+    close = (F.col("next") > F.col("prev")) & (F.col("next") - F.col("prev") <= NEAR) & (F.length("shown") <= HEADING)
+    return absorbed(own, F.col("num").isNull() & close & (is_remark(F.col("shown")) | opening | plain)).select("doc", "pos", "title", "lines")
 
 
 def absorb_interruptions(chapters: DataFrame) -> DataFrame:
@@ -107,18 +118,18 @@ def absorb_interruptions(chapters: DataFrame) -> DataFrame:
 def suspects(chapters: DataFrame) -> DataFrame:
     """doc, pos, kind, auto_merge of chapters that deserve a look; one row each."""
     own = neighbours(chapters).withColumn("shown", title_text(F.col("title")))
-    clean = F.regexp_replace("shown", r"(?U)^[\s\-–—•]+", "")
-    tail = F.regexp_replace(clean, rf"(?U)^(?:#\s*)?(?:제\s*)?\d{{1,5}}\s*(?:[{T.UNITS}]|[.)：:])\s*", "")
+    rest = F.ltrim(F.regexp_replace(_bare(F.col("shown")), rf"^(?:#\s*)?(?:제\s*)?\d+\s*(?:[{T.UNITS}]|[.)：:])", ""))
+    items = F.filter(F.split(rest, r"(?<=[.!?。])\s+"), lambda x: x.rlike(r"^\d{1,3}\s*\.$"))
+    listed = (F.size(items) > 0) & ~F.array_contains(items, F.element_at(F.split(rest, r"(?<=[.!?。])\s+"), -1))
     between = (F.col("prev") < F.col("num")) & (F.col("num") < F.col("next"))
     apart = F.col("next") - F.col("prev")
-    tagged = F.col("shown").startswith("#") | clean.startswith("특전") | clean.rlike(r"(?U)^에필로그\s+(?:해석|때문)")
-    bare = F.col("shown").rlike(r"(?U)^(?:#\s*)?\d{1,5}\s*(?:[.)：:]|화)?\s*$") & ~F.col("shown").rlike(r"(?U)^(?:#\s*)?\d{1,5}\s*화\s*[.]?\s*$")
+    mark = F.regexp_replace("shown", r"^#?\s*\d{1,5}\s*", "")
     kind = (
-        F.when(F.col("num").isNull(), F.when(F.col("prev").isNotNull() & F.col("next").isNotNull() & (tagged | (apart <= 3)), "flow"))
-        .when(tail.rlike(r"(?U)(?:^|[.!?。]\s+)\d{1,3}\s*[.]\s+\S") & between & (apart <= 3), "inline-list")
+        F.when(F.col("num").isNull(), F.when(F.col("prev").isNotNull() & F.col("next").isNotNull() & (is_remark(F.col("shown")) | (apart <= NEAR)), "flow"))
+        .when(listed & between & (apart <= NEAR), "inline-list")
         .when(F.col("num") <= F.col("prev"), "order")
         .when(F.col("num") > F.col("prev") + 1, "gap")
-        .when(between & (apart <= 2) & (body_size() < 250) & bare, "short")
+        .when(between & (apart <= 2) & (body_size() < SHORT) & mark.isin("", ".", ")", ":", "："), "short")
     )
     return own.withColumn("kind", kind).filter("kind IS NOT NULL").select("doc", "pos", "kind", F.col("kind").isin("flow", "inline-list", "order").alias("auto_merge"))
 
@@ -128,11 +139,24 @@ def merge_suspects(chapters: DataFrame) -> DataFrame:
     return absorbed(chapters.join(sure, ["doc", "pos"], "left"), F.col("auto_merge")).select("doc", "pos", "title", "lines")
 
 
+def _planned(chapters: DataFrame, plan, title: str = "title") -> DataFrame:
+    """chapters with what and new, as plan says for the titles and sizes of each document in order; lines don't travel."""
+    kind = dict(chapters.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        what = plan(list(pdf["title"]), [int(x) for x in pdf["size"]])
+        return pd.DataFrame({"doc": pdf["doc"], "pos": pdf["pos"], "what": [w for w, _ in what], "new": [t for _, t in what]})
+
+    short = chapters.select("doc", "pos", "title", body_size().alias("size"))
+    found = short.groupBy("doc").applyInPandas(run, f"doc {kind['doc']}, pos {kind['pos']}, what string, new string")
+    return chapters.join(found, ["doc", "pos"])
+
+
 def merge_short(chapters: DataFrame, least: int) -> DataFrame:
-    """Short chapters without a structured title go into the one before."""
-    titled = F.col("title").rlike(STRUCTURED) | number(F.col("title")).isNotNull()
-    own = chapters.filter(body_size() > 0)
-    return absorbed(own, (body_size() < least) & ~titled, F.concat(F.lit("<b>"), "title", F.lit("</b>")))
+    """Chapters without a body go, their titles to the next; short ones without a structured title go into the one before, a first one takes in the next."""
+    own = _planned(chapters, lambda titles, sizes: segmenting.short_plan(titles, sizes, least)).filter("what <> 'drop'").drop("title").withColumnRenamed("new", "title")
+    return absorbed(own, F.col("what") == "join", F.concat(F.lit("<b>"), "title", F.lit("</b>")))
 
 
 def with_style(chapters: DataFrame) -> DataFrame:
@@ -164,100 +188,69 @@ def without_subtitles(chapters: DataFrame) -> DataFrame:
     return own.withColumn("title", F.when(F.col("kind").isNull(), F.col("title")).otherwise(new)).select("doc", "pos", "title", "lines")
 
 
-def ascending(numbers: list[int]) -> list[int]:
-    """Indices of a longest strictly ascending run-with-gaps: of equal lengths the earliest end, and before it the earliest predecessor.
+def keep_ascending(chapters: DataFrame) -> DataFrame:
+    """The longest ascending sequence of numbers stays, with special titles; others, and lines of the body among near numbers, go into the chapter before."""
+
+    def plan(titles: list[str], _) -> list[tuple[str, str]]:
+        return [("join", t) if new is None else ("keep", new) for t, new in zip(titles, segmenting.place_titles(titles), strict=True)]
+
+    own = _planned(chapters, plan).withColumn("old", F.col("title")).drop("title").withColumnRenamed("new", "title")
+    return absorbed(own, F.col("what") == "join", F.concat(F.lit("<b>"), escaped(F.col("old")), F.lit("</b>")))
 
-    In n log n: a Fenwick tree over ranks holds, for each prefix of values,
-    the greatest length and the least index that reaches it.
-    """
-    ranks = {v: i + 1 for i, v in enumerate(sorted(set(numbers)))}
-    tree: list[tuple[int, int]] = [(0, 0)] * (len(ranks) + 1)
-    length, back = [], []
-    for i, v in enumerate(numbers):
-        at, best = ranks[v] - 1, (0, 0)
-        while at:
-            best = max(best, tree[at])
-            at -= at & -at
-        length.append(best[0] + 1)
-        back.append(-best[1] if best[0] else -1)
-        at = ranks[v]
-        while at < len(tree):
-            tree[at] = max(tree[at], (length[i], -i))
-            at += at & -at
-    at, out = max(range(len(numbers)), key=lambda i: (length[i], -i)), []
-    while at >= 0:
-        out.append(at)
-        at = back[at]
-    return out[::-1]
-
-
-def _fold(step):
-    """A pandas group function from one over lists of (title, lines), which are those of a document in order."""
+
+def absorb_low_runs(chapters: DataFrame) -> DataFrame:
+    """Runs of numbers that have passed already go into the chapter before, if the next number follows on it."""
+    plan = lambda titles, _: [("join" if x else "keep", t) for t, x in zip(titles, segmenting.low_runs([segmenting.chapter_number(t or "") for t in titles]), strict=True)]
+    return absorbed(_planned(chapters, plan), F.col("what") == "join").select("doc", "pos", "title", "lines")
+
+
+def _folded(chapters: DataFrame, step) -> DataFrame:
+    """step over the chapters of each document, which come together in order; pos from 0 anew."""
+    kind = dict(chapters.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        rows = step([(p, t, n if n == n and n is not None else None, list(x)) for p, t, n, x in zip(pdf["pos"], pdf["title"], pdf["num"], pdf["lines"], strict=True)])
-        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]] * len(rows), "pos": [r[0] for r in rows], "title": [r[1] for r in rows], "lines": [r[3] for r in rows]})
-
-    return run
-
-
-def _take(out: list, row: tuple) -> None:
-    out[-1][3].extend([MARKER.format(html.escape(row[1])), *row[3]])
-
-
-def _keep_ascending(rows: list[tuple]) -> list[tuple]:
-    import re
-
-    free = [i for i, r in enumerate(rows) if r[2] is not None and not re.search(SPECIAL.replace("(?iu)", "(?i)"), r[1] or "")]
-    if len(rows) < 3 or len(free) < 3:
-        return rows
-    kept = {free[k] for k in ascending([int(rows[i][2]) for i in free])} | (set(range(len(rows))) - set(free))
-    out: list[tuple] = []
-    for i, row in enumerate(rows):
-        if i in kept or not out:
-            out.append(row)
-        else:
-            _take(out, row)
-    return out
-
-
-def _drop_low_runs(rows: list[tuple]) -> list[tuple]:
-    if len(rows) < 4:
-        return rows
-    out: list[tuple] = []
-    i = 0
-    while i < len(rows):
-        last = out[-1][2] if out else None
-        end = i
-        if last is not None and rows[i][2] is not None:
-            while end < len(rows) and rows[end][2] is not None and rows[end][2] <= last:
-                end += 1
-        if i < end < len(rows) and rows[end][2] == last + 1:
-            for row in rows[i:end]:
-                _take(out, row)
-            i = end
-        else:
-            out.append(rows[i])
-            i += 1
-    return out
-
-
-def _grouped(chapters: DataFrame, step) -> DataFrame:
-    """A fold needs a document's chapters together; documents are dealt by hash, one at a time in memory."""
-    kind = dict(chapters.dtypes)
-    own = chapters.select("doc", "pos", "title", "lines").withColumn("num", number(F.col("title")))
-    return own.groupBy("doc").applyInPandas(_fold(step), f"doc {kind['doc']}, pos {kind['pos']}, title string, lines array<string>")
+        rows = step([(t, list(x)) for t, x in zip(pdf["title"], pdf["lines"], strict=True)], pdf)
+        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]] * len(rows), "pos": range(len(rows)), "title": [t for t, _ in rows], "lines": [x for _, x in rows]})
 
+    return chapters.groupBy("doc").applyInPandas(run, f"doc {kind['doc']}, pos int, title string, lines array<string>")
 
-def keep_ascending(chapters: DataFrame) -> DataFrame:
-    """The longest ascending sequence of numbers stays, with titles without a number; others go into the chapter before."""
-    return _grouped(chapters, _keep_ascending)
 
+def fill_gaps(chapters: DataFrame) -> DataFrame:
+    """With chapters whose numbers are missing between neighbours, from the lines of the body that name them."""
+    return _folded(chapters.select("doc", "pos", "title", "lines"), lambda own, _: segmenting.fill_gaps(own))
 
-def absorb_low_runs(chapters: DataFrame) -> DataFrame:
-    """Runs of numbers that have passed already go into the chapter before, if the next number follows on it."""
-    return _grouped(chapters, _drop_low_runs)
+
+def numbered_titles(chapters: DataFrame) -> DataFrame:
+    """Titles as `N. rest`, without a rest as they were."""
+
+    @F.pandas_udf(StringType())
+    def new(titles: pd.Series) -> pd.Series:
+        return pd.Series([t for t, _ in segmenting.numbered_titles([(x or "", []) for x in titles])], dtype=object)
+
+    return chapters.withColumn("title", new("title"))
+
+
+def without_angles(chapters: DataFrame) -> DataFrame:
+    """Titles without decoration in angles."""
+
+    @F.pandas_udf(StringType())
+    def new(titles: pd.Series) -> pd.Series:
+        return pd.Series([t for t, _ in segmenting.without_angles([(x or "", []) for x in titles])], dtype=object)
+
+    return chapters.withColumn("title", new("title"))
+
+
+def restored_titles(chapters: DataFrame, docs: DataFrame) -> DataFrame:
+    """Titles with the rest that the lines of their document (doc, text) give them."""
+    both = chapters.join(docs.select("doc", F.col("text").alias("source")), "doc", "left")
+    return _folded(both.select("doc", "pos", "title", "lines", F.when(F.row_number().over(Window.partitionBy("doc").orderBy("pos")) == 1, F.col("source")).alias("source")), lambda own, pdf: segmenting.restored_titles(own, pdf["source"].iloc[0] or ""))
+
+
+@F.pandas_udf(StringType())
+def one_marker_style(texts: pd.Series) -> pd.Series:
+    """A text whose lines that are bare numbers read N화, where most of three or more ascend."""
+    return texts.map(lambda x: None if x is None else segmenting.one_marker_style(x))
 
 
 def gaps(numbered: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from quire.functions import grammar
 from quire.functions import text as T
 from quire.operators.graph import components
 
 # Patterns of file names, tags and messages.
 EXTENSIONS = [".epub", ".txt", ".zip", ".7z", ".rar", ".pdf"]
-COMPLETE = r"(?iU)[\[({]\s*(?:완|完|완결)\s*[\])}]|(?<!미)완결|(?<!미)完|(?<!미)\bfin\b"
-INCOMPLETE = r"(?iU)미완|미완결|연중|중단|incomplete"
-SIDE = r"(?iU)외전|번외|특전|합본"
-DANGER = r"(?iU)구버전|old|backup|백업|깨짐|임시|중복|복사본"
-AUTHOR = r"(?U)^\s*\[([^\]]{1,80})\]\s*(.+)$"
-AT_AUTHOR = r"(?U)(?:^|[\s_])@([^@\[\]\(\)\{\},]{1,80})\s*$"
-RANGE = rf"(?<![0-9A-Za-z{T.HANGUL}])\d{{1,5}}\s*[-~_]\s*\d{{1,5}}(?:\s*[화권부장회])?"
-STATE_IN_BRACKETS = r"(?iU)[\[\(\{（][^\]\)\}）]*(?:미완|미완결|완결|완|完|연중|중단|incomplete|fin)[^\]\)\}）]*[\]\)\}）]"
-STATE = r"(?iU)(?:미완결?|완결|完|연중|중단|incomplete|\bfin\b|후기\s*포함)"
+COMPLETE_WORDS, INCOMPLETE_WORDS = ["완결", "完"], ["미완", "연중", "중단", "incomplete"]
+SIDE_WORDS = ["외전", "번외", "특전", "합본"]
+RISKY_WORDS = ["구버전", "old", "backup", "백업", "깨짐", "임시", "중복", "복사본"]
 SIDE_STORY, NO_RANGE, DANGEROUS = "외전/합본", "범위 없음", "위험 태그"
 AUTHORS_CLASH, HAS_SIDE, HAS_NO_RANGE, ALIKE = "작가 충돌", "외전/합본 포함", "범위 없는 파일 포함", "유사 제목 확인 필요"
 SOME_UNKNOWN, EQUAL, UNLIKE = "해시 일부 미확인", "해시 일치", "해시 다름 확인 필요"
@@ -29,28 +26,46 @@ MISSING = "__HASH_MISSING__"
 SIMILAR, LEAST_RATIO = 0.72, 0.65
 
 
-def title_of(name: Column) -> Column:
+@F.pandas_udf(StringType())
+def title_of(names: pd.Series) -> pd.Series:
     """A name without author, range, state and extension."""
-    out = F.regexp_replace(F.regexp_replace(name, AT_AUTHOR, " "), RANGE, " ")
-    out = F.regexp_replace(T.norm_spaces(out), AUTHOR, "$2")
-    for pattern in (STATE_IN_BRACKETS, RANGE, STATE, r"(?iU)\b(?:txt|epub|zip|pdf|rar|7z)\b", r"(?U)\s*[,，]\s*$"):
-        out = F.regexp_replace(out, pattern, " ")
-    return T.norm_spaces(out)
+    return names.map(lambda x: None if x is None else grammar.duplicate_title(x))
+
+
+def has_any(text: Column, words: list[str]) -> Column:
+    """Whether one of the words is anywhere in a text, in any case."""
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w))
+
+
+def is_complete(words: Column) -> Column:
+    """Whether a name says so, in a word or in brackets; `미완결` doesn't."""
+    said = F.regexp_replace(F.lower(words), "미완결?", "")
+    bracketed = F.exists(F.split(F.translate(said, "[({", "((("), r"\("), lambda x: F.trim(F.substring_index(F.translate(x, "])}", ")))"), ")", 1)).isin("완", "完", "완결") & F.contains(F.translate(x, "])}", ")))"), F.lit(")")))
+    return has_any(said, COMPLETE_WORDS) | bracketed | F.array_contains(F.split(said, r"[^0-9a-z가-힣]+"), "fin")
+
+
+def author_and_body(stem: Column) -> tuple[Column, Column]:
+    """The author in brackets in front, else behind an @ at the end, else empty; and the rest."""
+    closes = F.instr(stem, "]")
+    tag = F.startswith(stem, F.lit("[")) & closes.between(3, 82) & (closes < F.length(F.rtrim(stem)))
+    body = F.when(tag, F.ltrim(F.substring(stem, closes + 1, F.length(stem)))).otherwise(stem)
+    signed = F.substring_index(body, "@", -1)
+    before = F.substring(body, F.lit(1), F.length(body) - F.length(signed) - 1)
+    sign = F.contains(body, F.lit("@")) & (F.length(F.trim(signed)).between(1, 80)) & ~signed.rlike(r"[\[\](){},]") & ((before == "") | F.substring(before, F.length(before), F.lit(1)).isin(" ", "_"))
+    author = F.when(tag, F.substring(stem, F.lit(2), closes - 2)).when(sign, signed).otherwise("")
+    return T.norm_spaces(author), F.when(sign, F.rtrim(before, F.lit(" _-.,，"))).otherwise(body)
 
 
 def candidates(files: DataFrame) -> DataFrame:
     """files (path, size, mtime) with what their names say; those without a title go."""
     df = files.withColumn("name", T.base_name(F.col("path"))).withColumn("ext", T.suffix(F.col("path"))).withColumn("stem", T.stem(F.col("path")))
-    tagged = F.col("stem").rlike(AUTHOR)
-    df = df.withColumn("tag", F.regexp_extract("stem", AUTHOR, 1)).withColumn("body", F.when(tagged, F.regexp_extract("stem", AUTHOR, 2)).otherwise(F.col("stem")))
-    df = df.withColumn("at", F.regexp_extract("body", AT_AUTHOR, 1))
-    df = df.withColumn("author", T.norm_spaces(F.when(F.col("tag") != "", F.col("tag")).otherwise(F.col("at"))))
-    df = df.withColumn("body", F.when(F.col("body").rlike(AT_AUTHOR), F.rtrim(F.regexp_replace("body", AT_AUTHOR, ""), F.lit(" _-.,，"))).otherwise(F.col("body")))
-    words, title = T.norm_spaces(F.col("body")), title_of(F.col("body"))
-    df = df.withColumn("words", words).withColumn("title", title).withColumn("range", T.number_range(F.col("body")))
-    df = df.withColumn("side", F.col("words").rlike(SIDE)).withColumn("incomplete", F.col("words").rlike(INCOMPLETE))
-    df = df.withColumn("complete", F.col("words").rlike(COMPLETE) & ~F.col("incomplete"))
-    risks = F.array_compact(F.array(F.when(F.col("side"), SIDE_STORY), F.when(F.col("range.end").isNull(), NO_RANGE), F.when(F.col("words").rlike(DANGER), DANGEROUS)))
+    author, body = author_and_body(F.col("stem"))
+    df = df.withColumn("author", author).withColumn("body", body)
+    words = T.norm_spaces(F.col("body"))
+    df = df.withColumn("words", words).withColumn("title", title_of("body")).withColumn("range", T.number_range(F.col("body")))
+    df = df.withColumn("side", has_any(F.col("words"), SIDE_WORDS)).withColumn("incomplete", has_any(F.col("words"), INCOMPLETE_WORDS))
+    df = df.withColumn("complete", is_complete(F.col("words")) & ~F.col("incomplete"))
+    risks = F.array_compact(F.array(F.when(F.col("side"), SIDE_STORY), F.when(F.col("range.end").isNull(), NO_RANGE), F.when(has_any(F.col("words"), RISKY_WORDS), DANGEROUS)))
     df = df.withColumn("key", T.sortable(F.col("title"))).filter("key <> ''")
     return df.select("path", "name", "ext", "size", "mtime", "author", "key", F.when(F.col("side"), "side").otherwise("main").alias("kind"), F.coalesce(F.nullif("title", F.lit("")), T.norm_spaces(F.col("stem"))).alias("title"), "complete", "incomplete", F.col("range.start").alias("range_start"), F.col("range.end").alias("range_end"), "side", risks.alias("risks"))
 
@@ -77,28 +92,39 @@ def islands(df: DataFrame, keys: list[str], start: str, end: str, order: list[st
     return df.withColumn("__opens", opens).withColumn("island", F.when(bridged, 0).otherwise(F.sum("__opens").over(upto)).cast("int")).drop("__opens")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 less edits by the longer length; 0 if the lengths are too unlike."""
-    long, short = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
-    return F.when(long == 0, 1.0).when(short / long < LEAST_RATIO, 0.0).otherwise((long - F.levenshtein(a, b)) / long)
+def most_edits(length: Column, threshold: float) -> Column:
+    """Edits that two titles may be apart, the longer of which has this length."""
+    return F.floor((1 - max(threshold, LEAST_RATIO)) * length + 1e-9).cast("int")
 
 
-def similar_pairs(titles: DataFrame, block: list[str], threshold: float = SIMILAR) -> DataFrame:
-    """Distinct titles (key and block columns) -> a, b: pairs in a block that are similar enough.
+def _segments(length: Column, threshold: float) -> Column:
+    """start (from 1) and size of one segment more than there may be edits, as even as possible; together they are the title."""
+    pieces = F.least(most_edits(length, threshold) + 1, length)
+    return F.transform(F.sequence(F.lit(0), pieces - 1), lambda k: F.struct(k.alias("k"), (F.floor(k * length / pieces) + 1).cast("int").alias("start"), (F.floor((k + 1) * length / pieces) - F.floor(k * length / pieces)).cast("int").alias("size")))
 
-    Besides the block, lengths must fit: a title of length n meets those of
-    lengths up to n / threshold only (fewer can't be similar enough), by an
-    equi join on lengths, so a block is not compared with all of itself.
-    Each distinct title is compared once, however many rows it has.
+
+def similar_pairs(titles: DataFrame, block: list[str], threshold: float = SIMILAR) -> DataFrame:
+    """Distinct titles (key and block columns) -> a, b: pairs in a block that are similar enough: 1 less edits by the longer length.
+
+    Titles that are at most d edits apart share one of d+1 segments of the
+    longer one unchanged, such that at most k edits are before the k+1st
+    segment and at most d-k behind it; so few places of the shorter one come
+    in question. The longer one sends its segments, the shorter one the
+    substrings at these places; equal ones meet in an equi join on block,
+    length, segment and content. The distance of each pair is found once, and
+    no further than d.
     """
-    ratio = max(threshold, LEAST_RATIO)
-    one = titles.select(*block, F.col("key").alias("a"), F.length("key").alias("la"))
-    reach = F.explode(F.sequence(F.col("la"), F.floor(F.col("la") / ratio + 1e-9).cast("int")))
-    one = one.withColumn("lb", reach)
-    two = titles.select(*block, F.col("key").alias("b"), F.length("key").alias("lb"))
-    pairs = one.join(two, [*block, "lb"]).filter((F.col("la") < F.col("lb")) | (F.col("a") < F.col("b")))
-    most = F.floor((1 - F.lit(threshold)) * F.col("lb") + 1e-9).cast("int")
-    return pairs.filter(similarity(F.col("a"), F.col("b")) >= threshold).filter(F.levenshtein("a", "b") <= most).select(*block, "a", "b")
+    one = titles.select(*block, F.col("key").alias("b"), F.length("key").alias("lb")).filter("lb > 0")
+    sent = one.withColumn("x", F.explode(_segments(F.col("lb"), threshold))).select(*block, "b", "lb", F.col("x.start").alias("start"), F.substring("b", F.col("x.start"), F.col("x.size")).alias("part"))
+    two = titles.select(*block, F.col("key").alias("a"), F.length("key").alias("la")).filter("la > 0")
+    reach = F.floor(F.col("la") / max(threshold, LEAST_RATIO) + 1e-9).cast("int")
+    two = two.withColumn("lb", F.explode(F.sequence(F.col("la"), reach))).withColumn("d", most_edits(F.col("lb"), threshold)).withColumn("x", F.explode(_segments(F.col("lb"), threshold)))
+    from_end = F.col("x.start") - (F.col("lb") - F.col("la"))
+    low = F.greatest(F.lit(1), F.col("x.start") - F.col("x.k"), from_end - (F.col("d") - F.col("x.k")))
+    high = F.least(F.col("x.start") + F.col("x.k"), from_end + (F.col("d") - F.col("x.k")), F.col("la") - F.col("x.size") + 1)
+    two = two.filter(low <= high).withColumn("at", F.explode(F.sequence(low, high))).select(*block, "a", "la", "lb", "d", F.col("x.start").alias("start"), F.substring("a", F.col("at"), F.col("x.size")).alias("part")).distinct()
+    met = two.join(sent, [*block, "lb", "start", "part"]).filter((F.col("la") < F.col("lb")) | (F.col("a") < F.col("b"))).select(*block, "a", "b", "d").distinct()
+    return met.filter(F.expr("levenshtein(a, b, d) >= 0")).select(*block, "a", "b")
 
 
 def buckets(found: DataFrame, per_extension: bool = True, fuzzy: bool = False, threshold: float = SIMILAR) -> DataFrame:

@@ -13,7 +13,7 @@ def _rank(seed: int, node: str) -> Column:
 
 
 def contracted(links: DataFrame) -> DataFrame:
-    """links (u, v of any orderable type) -> node, component: a row for each node that has a link; component is one of its nodes.
+    """links (u, v of any orderable type) -> node, component: a row for each node that has a link (to another one); component is one of its nodes.
 
     Each round, every node moves to the neighbour (itself included) that is
     least in an order drawn anew by hash, and links move with their ends. A

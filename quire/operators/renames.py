@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import names
@@ -20,6 +20,12 @@ def _parsed(rows: DataFrame, name: str) -> DataFrame:
     return written(found, "names")  # read several times; the expressions are long
 
 
+def _first_replaced(text: str, old: str, new: str) -> Column:
+    """text with the first occurrence of old as new."""
+    at = F.instr(F.col(text), F.col(old))
+    return F.concat(F.substring(text, F.lit(1), at - 1), F.col(new), F.substring(text, at + F.length(old), F.length(text)))
+
+
 def preview(rows: DataFrame) -> DataFrame:
     """rows (path, pos, name, new) -> path, name, new: series, authors and units as most of a group have them.
 
@@ -31,7 +37,7 @@ def preview(rows: DataFrame) -> DataFrame:
     own = rows.join(_parsed(rows, "new").select("path", "key"), "path").withColumn("norm", T.group_key(F.col("key")))
     best = series.majority(own, ["norm"], "key", "pos").select("norm", F.col("key").alias("best"))
     own = own.join(best, "norm", "left")
-    own = own.withColumn("new", F.when(F.contains("new", "key") & (F.col("best") != F.col("key")), F.replace("new", "key", "best")).otherwise(F.col("new"))).drop("best", "key")
+    own = own.withColumn("new", F.when(F.contains("new", "key") & (F.col("best") != F.col("key")), _first_replaced("new", "key", "best")).otherwise(F.col("new"))).drop("best", "key")
     own = written(own, "renames")
     bare = T.group_key(F.regexp_replace("series", r"^\[[^\]]+\]\s*", ""))
     for by in ("norm", "bare"):

@@ -7,11 +7,17 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from quire.functions import grammar
 from quire.functions import text as T
+from quire.operators import dedup
+from quire.operators.graph import contracted
+from quire.sources.shared import written
 
 ALIKE = 0.88
+SORT = StructType([StructField(c, t()) for c, t in {"series": StringType, "group": IntegerType, "a": LongType, "b": LongType, "kind": IntegerType, "state": DoubleType, "tag": StringType, "name": StringType}.items()])
 # Tails of series names.
 TAILS = [r"\([^()]*\)\s*$", r"\s*(?:외전|번외|특전)\s*\d*\s*$", r"\s+(?:완결|완|完)\s*$", r"\s*\d+\s*[-~_]\s*\d+\s*[권화부장회]?\s*\.?\s*$", r"\s*(?:제\s*)?\d+\s*(?:권|화|부|장|회)\s*\.?\s*$", r"\s+\d{1,4}\s*\.?\s*$"]
 
@@ -43,11 +49,20 @@ def merge_alike(groups: DataFrame, least: float = ALIKE) -> DataFrame:
 
     In the order of their first members, titles of one author are compared;
     the larger group takes the smaller (of equal ones the earlier), and one
-    that is taken compares no further. That is a fold over the titles of an
-    author, so those come together: one row for each series, never its files.
+    that is taken compares no further. Titles that share this much of their
+    blocks are few edits apart, so `dedup.similar_pairs` finds all that can
+    be alike in an equi join; only what such pairs connect is folded
+    together, in one task for each connected set: a row for each series,
+    never its files.
     """
     author = F.regexp_extract("key", r"^\[([^\]]+)\]\s*(.+)$", 1)
     title = F.when(author != "", F.regexp_extract("key", r"^\[([^\]]+)\]\s*(.+)$", 2)).otherwise(F.col("key"))
+    own = groups.withColumn("author", author).withColumn("title", title)
+    # a ratio r leaves (1 - r) of both lengths unmatched, each at most one edit
+    pairs = dedup.similar_pairs(own.select("author", F.col("title").alias("key")).distinct(), ["author"], 1 - 2 * (1 - least))
+    node = lambda c: F.to_json(F.struct("author", F.col(c).alias("title")))
+    linked = contracted(pairs.select(node("a").alias("u"), node("b").alias("v")))
+    own = own.withColumn("node", node("title")).join(linked, "node", "left").withColumn("set", F.coalesce("component", "node")).drop("node", "component")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first")
@@ -55,14 +70,18 @@ def merge_alike(groups: DataFrame, least: float = ALIKE) -> DataFrame:
         name = dict(zip(pdf["norm"], pdf["title"], strict=True))
         into: dict[str, str] = {}
         norms = list(size)
+
+        def alike(a: str, b: str) -> bool:
+            match = SequenceMatcher(None, name[a], name[b])
+            return bool(name[a]) and bool(name[b]) and match.real_quick_ratio() >= least and match.quick_ratio() >= least and match.ratio() >= least
+
         for i, a in enumerate(norms):
             for b in norms[i + 1 :]:
                 if a in into:
                     break
-                if b in into or not name[a] or not name[b] or SequenceMatcher(None, name[a], name[b]).ratio() < least:
-                    continue
-                big, small = (a, b) if size[a] >= size[b] else (b, a)
-                into[small], size[big] = big, size[big] + size[small]
+                if b not in into and alike(a, b):
+                    big, small = (a, b) if size[a] >= size[b] else (b, a)
+                    into[small], size[big] = big, size[big] + size[small]
 
         def end(x: str) -> str:
             while x in into:
@@ -72,7 +91,7 @@ def merge_alike(groups: DataFrame, least: float = ALIKE) -> DataFrame:
         return pdf.assign(into=[end(x) for x in pdf["norm"]])[["norm", "key", "members", "first", "into"]]
 
     kind = dict(groups.dtypes)["first"]
-    return groups.withColumn("author", author).withColumn("title", title).groupBy("author").applyInPandas(fold, f"norm string, key string, members long, first {kind}, into string")
+    return own.groupBy("set").applyInPandas(fold, f"norm string, key string, members long, first {kind}, into string")
 
 
 def majority(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -107,33 +126,23 @@ def natural_key(name: Column) -> Column:
     return F.regexp_replace(padded, r"0*(\d{20})(?!\d)", "$1")
 
 
-def natural_sort(name: Column) -> Column:
+@F.pandas_udf(SORT)
+def natural_sort(names: pd.Series) -> pd.DataFrame:
     """Series, then volume (or episode, or number at the end), part, side stories and state, as a struct to sort by."""
-    tag = F.regexp_extract(name, r"(?U)^(\[[^\]]+\]\s*)", 1)
-    bare = F.substring(name, F.length(tag) + 1, F.length(name))
-    first = lambda c, p: F.coalesce(F.regexp_extract(c, p, 1).try_cast("bigint"), F.lit(0).cast("bigint"))
-    part = first(F.regexp_replace(name, r"\([^)]*\)", ""), r"(\d+)부")
-    series = bare
-    for pattern in (r"\s*\d+[권화부]\s*", r"\s*[(（][^)）]*[)）]\s*", r"[,\s]*(?:특별\s*외전|외전|번외|특전)\s*$", r"\.[^.]+$", r"[\s_]+\d+\s*$", r"\s*[-–—]\s+.*$"):
-        series = F.regexp_replace(series, f"(?U){pattern}", "")
-    series = F.when(bare.rlike(r"(?U)^제?\s*\d+\s*화\s*[._\s]"), "").otherwise(T.collapse(series))
-    named = F.when(first(name, r"(\d+)권") > 0, first(name, r"(\d+)권")).otherwise(first(name, r"(\d+)화"))
-    base = F.regexp_replace(F.regexp_replace(bare, r"\.[^.]+$", ""), r"(?U)\s*[(\[（【][^)\]）】]*[)\]）】]\s*$", "")
-    number = F.when((named == 0) & (part == 0), first(base, r"(?U)(\d+)\s*$")).otherwise(named)
-    ahead = bare.rlike(r"^[^권]*\d+부.*\d+권") & (F.instr(bare, "부") < F.instr(bare, "권"))
-    extra = first(name, r"(?U)\((?:외전|번외|특전|특별\s*외전)\s*(\d+)\)")
-    interview, side = name.rlike("인터뷰|작가노트"), name.rlike("외전|번외")
-    apart = (number == 0) & (interview | side)
-    group = F.when(apart, 2).when((number > 0) & ahead, 0).otherwise(1)
-    a = F.when(apart, extra).when((number > 0) & ahead, part).otherwise(number)
-    b = F.when((number > 0) & ahead, number).otherwise(part)
-    kind = F.when(apart & interview, 2).when(apart, 1).otherwise(0)
-    state = F.when(name.contains("완결"), 0.5).otherwise(0.0)
-    return F.struct(series.alias("series"), group.alias("group"), a.alias("a"), b.alias("b"), kind.alias("kind"), state.alias("state"), T.strip(tag).alias("tag"), name.alias("name"))
+    return pd.DataFrame([grammar.sort_parts(x or "") for x in names], columns=SORT.names)
 
 
 def batch_names(names: DataFrame, name: str, order: list[str], find: str = "", replace: str = "", prefix: str = "", start: int = 1, step: int = 1, unit: str = "", scope: list[str] | None = None) -> DataFrame:
-    """names with new: replaced, prefixed and numbered in order, within scope (else over all: rows then meet in one sort)."""
+    """names with new: replaced, prefixed and numbered in order, within scope, else over all: in ranges that are sorted apart, each from where the one before ends."""
     new = F.replace(F.col(name), F.lit(find), F.lit(replace)) if find else F.col(name)
-    number = F.lit(start) + F.lit(step) * (F.row_number().over(Window.partitionBy(*(scope or [])).orderBy(*order)) - 1)
-    return names.withColumn("new", F.concat(F.lit(prefix), new, F.lit(" "), number.cast("string"), F.lit(unit)))
+    if scope:
+        at = F.row_number().over(Window.partitionBy(*scope).orderBy(*order)) - 1
+    else:
+        known = names.columns
+        names = written(names.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "ordered")
+        part = F.shiftright("__id", 33)
+        sizes = names.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+        before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # a row for each range
+        names = names.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn("__at", F.col("__id") - F.shiftleft(F.col("__part"), 33) + F.col("__before"))
+        return names.select(*known, F.concat(F.lit(prefix), new, F.lit(" "), (F.lit(start) + F.lit(step) * F.col("__at")).cast("string"), F.lit(unit)).alias("new"))
+    return names.withColumn("new", F.concat(F.lit(prefix), new, F.lit(" "), (F.lit(start) + F.lit(step) * at).cast("string"), F.lit(unit)))

@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions import names
 from quire.functions import text as T
-from quire.operators import chapters, dedup, nav, pages, series
+from quire.operators import chapters, covers, dedup, nav, pages, renames, series, titles
 from quire.operators.graph import components
+from quire.sources import books, epub
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,33 +58,75 @@ def dup_hash_candidates(t):
     return dedup.needing_hash(own).select("doc_id", "n_chars", F.col("group").alias("grp"))
 
 
-_TITLE = "substr(lower(regexp_replace(text, '[^0-9A-Za-z]+', '', 'g')), 1, 40)"
+# titles: the first heading of each page, whole; and the same with a letter left out, or added
+_TITLE = r"lower(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '[^0-9A-Za-z]+', '', 'g'))"
 
 
 def _titles(t):
-    key = F.substring(F.lower(F.regexp_replace("text", "[^0-9A-Za-z]+", "")), 1, 40)
-    return t("documents").select("doc_id", "lang", key.alias("key")).filter("key <> ''")
+    first = pages.headings(t("pages"), "page_id", "html").filter("level = 1").groupBy("page_id").agg(F.min_by("heading", "pos").alias("heading"))
+    key = F.lower(F.regexp_replace("heading", "[^0-9A-Za-z]+", ""))
+    own = first.select(key.alias("key")).filter("key <> ''")
+    variants = F.array("key", F.concat(F.substring("key", 1, 4), F.expr("substring(key, 6)")), F.concat("key", F.lit("x")))
+    return own.select(F.explode(variants).alias("key")).select(F.substring("key", 1, 1).alias("first"), "key").distinct()
 
 
-_PAIRS = f"""k AS (SELECT DISTINCT lang, substr(key, 1, 1) AS first, key FROM (SELECT lang, {_TITLE} AS key FROM documents) WHERE key <> ''),
-pairs AS (SELECT x.lang, x.key AS a, y.key AS b FROM k x JOIN k y USING (lang, first) WHERE (length(x.key) < length(y.key) OR (length(x.key) = length(y.key) AND x.key < y.key))
-  AND length(x.key) / length(y.key) >= 0.72 AND (length(y.key) - levenshtein(x.key, y.key)) / length(y.key) >= 0.72)"""
+_PAIRS = f"""k AS (SELECT DISTINCT substr(key, 1, 1) AS first, key FROM (SELECT unnest([key, substr(key, 1, 4) || substr(key, 6), key || 'x']) AS key FROM (SELECT {_TITLE} AS key FROM pages) WHERE key <> '')),
+pairs AS (SELECT x.first, x.key AS a, y.key AS b FROM k x JOIN k y USING (first) WHERE (length(x.key) < length(y.key) OR (length(x.key) = length(y.key) AND x.key < y.key))
+  AND length(x.key) / length(y.key) >= 0.72 AND levenshtein(x.key, y.key) <= floor((1 - 0.72) * length(y.key) + 1e-9))"""
 
 
-@query(f"WITH {_PAIRS} SELECT lang, a, b FROM pairs")
+@query(f"WITH {_PAIRS} SELECT first, a, b FROM pairs")
 def dup_fuzzy_pairs(t):
-    titles = _titles(t).select("lang", F.substring("key", 1, 1).alias("first"), "key").distinct()
-    return dedup.similar_pairs(titles, ["lang", "first"]).select("lang", "a", "b")
+    return dedup.similar_pairs(_titles(t), ["first"]).select("first", "a", "b")
 
 
 @query(f"""WITH RECURSIVE {_PAIRS},
-e AS (SELECT lang || '|' || a AS u, lang || '|' || b AS v FROM pairs UNION SELECT lang || '|' || b, lang || '|' || a FROM pairs),
+e AS (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM pairs),
 reach(u, v) AS (SELECT DISTINCT u, u FROM e UNION SELECT reach.u, e.v FROM reach JOIN e ON reach.v = e.u)
 SELECT u AS node, min(v) AS component FROM reach GROUP BY u""")
 def dup_components(t):
-    titles = _titles(t).select("lang", F.substring("key", 1, 1).alias("first"), "key").distinct()
-    name = lambda c: F.concat_ws("|", "lang", c)
-    return components(dedup.similar_pairs(titles, ["lang", "first"]).select(name("a").alias("u"), name("b").alias("v")))
+    return components(dedup.similar_pairs(_titles(t), ["first"]).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def _files(t):
+    """Files whose names hold an author, a title, a range and a state."""
+    part = t("part")
+    start = (F.col("p_partkey") % 7 + 1).cast("int")
+    end = start + (F.col("p_size") % 9).cast("int") + 1
+    state = F.when(F.col("p_partkey") % 3 == 0, " 완결").when(F.col("p_partkey") % 3 == 1, " 미완").otherwise("")
+    ext = F.when(F.col("p_partkey") % 2 == 0, ".epub").otherwise(".txt")
+    name = F.concat(F.lit("/x/["), "p_brand", F.lit("] "), "p_name", F.lit(" "), start.cast("string"), F.lit("-"), end.cast("string"), state, F.lit(" "), "p_partkey", ext)
+    return part.select(name.alias("path"), (F.col("p_partkey") * 10).alias("size"), F.col("p_partkey").cast("double").alias("mtime"), "p_partkey")
+
+
+_FILES = """f AS (SELECT p_partkey, p_brand AS author, p_name AS title, lower(regexp_replace(p_name || p_partkey, '[^0-9A-Za-z]+', '', 'g')) AS key,
+  CASE WHEN p_partkey % 2 = 0 THEN '.epub' ELSE '.txt' END AS ext, p_partkey % 7 + 1 AS s, p_partkey % 7 + 1 + p_size % 9 + 1 AS e, p_partkey % 3 = 0 AS complete, p_partkey % 3 = 1 AS incomplete FROM part)"""
+
+
+@query(f"""WITH {_FILES} SELECT '/x/[' || author || '] ' || title || ' ' || s || '-' || e || CASE WHEN complete THEN ' 완결' WHEN incomplete THEN ' 미완' ELSE '' END || ' ' || p_partkey || ext AS path,
+  author, key, s::INTEGER AS range_start, e::INTEGER AS range_end, complete, incomplete, ext FROM f""")
+def dup_candidates(t):
+    return dedup.candidates(_files(t).drop("p_partkey")).select("path", "author", "key", "range_start", "range_end", "complete", "incomplete", "ext")
+
+
+def _volumes(t):
+    """Names of one title, without a number of their own."""
+    own = _files(t)
+    return own.withColumn("path", F.regexp_replace("path", r" \d+(\.[a-z]+)$", "$1")).withColumn("path", F.concat(F.lit("/"), "p_partkey", "path")).drop("p_partkey")
+
+
+@query("""WITH f AS (SELECT p_partkey, p_brand AS author, lower(regexp_replace(p_name, '[^0-9A-Za-z]+', '', 'g')) || '|main|' || CASE WHEN p_partkey % 2 = 0 THEN '.epub' ELSE '.txt' END AS bucket,
+  '/' || p_partkey || '/x/[' || p_brand || '] ' || p_name || ' ' || (p_partkey % 7 + 1) || '-' || (p_partkey % 7 + 2 + p_size % 9) || CASE p_partkey % 3 WHEN 0 THEN ' 완결' WHEN 1 THEN ' 미완' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN '.epub' ELSE '.txt' END AS path,
+  p_partkey % 7 + 1 AS s, p_partkey % 7 + 2 + p_size % 9 AS e, p_partkey % 3 = 0 AS complete, p_partkey % 3 = 1 AS incomplete, p_partkey * 10 AS size FROM part),
+o AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY bucket ORDER BY s, e, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens FROM f),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY bucket ORDER BY s, e, path ROWS UNBOUNDED PRECEDING) AS island FROM o),
+g AS (SELECT *, CASE WHEN island = 0 THEN bucket ELSE bucket || '|range_group_' || island END AS grp FROM i),
+m AS (SELECT *, count(*) OVER (PARTITION BY grp) AS members, min(author) OVER (PARTITION BY grp) <> max(author) OVER (PARTITION BY grp) AS clash,
+  row_number() OVER (PARTITION BY grp ORDER BY complete DESC, incomplete, e DESC, e - s DESC, size DESC) = 1 AS keep FROM g)
+SELECT path, grp, keep, members, CASE WHEN clash THEN '낮음' ELSE '높음' END AS confidence FROM m WHERE members > 1""")
+def dup_exact_groups(t):
+    found = dedup.buckets(dedup.candidates(_volumes(t)))
+    return dedup.groups(found).select("path", F.col("group").alias("grp"), "keep", "members", "confidence")
 
 
 @query("""SELECT l_suppkey, l_orderkey, l_linenumber, (sum(opens) OVER (PARTITION BY l_suppkey ORDER BY s, e, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING))::INTEGER AS island
@@ -96,9 +140,12 @@ def range_islands(t):
 # Names and series.
 
 
-@query("""SELECT page_id, try_cast(nullif(regexp_extract(url, '/(\\d{1,5})(?:[/?#.]|$)', 1), '') AS BIGINT) AS number FROM pages""")
+@query("""SELECT page_id, CASE page_id % 4 WHEN 3 THEN NULL ELSE page_id * 7 END::BIGINT AS number FROM pages""")
 def parse_number(t):
-    return t("pages").select("page_id", F.regexp_extract("url", r"/(\d{1,5})(?:[/?#.]|$)", 1).try_cast("bigint").alias("number"))
+    number = (F.col("page_id") * 7).cast("string")
+    kind = F.col("page_id") % 4
+    title = F.when(kind == 0, F.concat(F.lit("제 "), number, F.lit("화 x"))).when(kind == 1, F.concat(F.lit("#"), number, F.lit(". x"))).when(kind == 2, F.concat(number, F.lit(") x"))).otherwise(F.concat(F.lit("x "), number))
+    return t("pages").select("page_id", chapters.number(title).alias("number"))
 
 
 @query("""SELECT c_custkey, least(list_min(a), list_min(b)) AS range_start, greatest(list_max(a), list_max(b)) AS range_end FROM (
@@ -121,7 +168,7 @@ def series_groups(t):
 
 @query(None)
 def greedy_series_merge(t):
-    named = series.with_group(t("part").withColumnRenamed("p_partkey", "pos"), F.regexp_replace(F.concat_ws(" ", "p_type", F.substring("p_name", 1, 6)), r"\s*[0-9]+$", ""))
+    named = series.with_group(t("part").withColumnRenamed("p_partkey", "pos"), F.concat_ws(" ", "p_type", "p_name"))
     return series.merge_alike(series.canonical(named))
 
 
@@ -155,6 +202,40 @@ def batch_rename(t):
     return series.batch_names(t("part"), "p_name", ["p_partkey"], "a", "A", "new ", 10, 5, "v", ["p_brand"]).select("p_partkey", "new")
 
 
+def _names(t):
+    """Books with an author, a series and a number in one of four forms."""
+    n, kind = (F.col("p_size") + 1).cast("string"), F.col("p_partkey") % 4
+    tail = F.when(kind == 0, F.concat(n, F.lit("권"))).when(kind == 1, F.concat(n, F.lit("화"))).when(kind == 2, F.concat(F.lit("1-"), (F.col("p_size") + 11).cast("string"))).otherwise(F.concat(n, F.lit("권 (완결)")))
+    name = F.concat(F.lit("["), "p_brand", F.lit("] "), "p_name", F.lit(" "), tail, F.lit(".epub"))
+    return t("part").select("p_partkey", name.alias("name"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("creator"), F.lit(None).cast("array<string>").alias("headings"))
+
+
+@query("""SELECT p_partkey, p_brand AS author, p_name AS series, CASE WHEN p_partkey % 4 IN (0, 3) THEN (p_size + 1) || '권' ELSE '' END AS volume,
+  CASE p_partkey % 4 WHEN 1 THEN (p_size + 1)::VARCHAR WHEN 2 THEN '1-' || (p_size + 11) ELSE '' END AS episode, p_partkey % 4 = 3 AS completed FROM part""")
+def names_parsed(t):
+    return names.parsed(_names(t)).select("p_partkey", "author", "series", "volume", "episode", "completed")
+
+
+@query("""SELECT p_partkey, '[' || replace(p_brand, '#', '#') || '] ' || p_name AS key FROM part""")
+def series_key(t):
+    return names.parsed(_names(t)).select("p_partkey", names.series_key().alias("key"))
+
+
+@query("""SELECT p_partkey, '[' || p_brand || '] ' || p_name || CASE p_partkey % 4 WHEN 0 THEN ' ' || (p_size + 1) || '권' WHEN 1 THEN ' ' || (p_size + 1) || '화' WHEN 2 THEN ' 1-' || (p_size + 11) || '화' ELSE ' ' || (p_size + 1) || '권 (완결)' END || '.epub' AS new FROM part""")
+def rename_names(t):
+    found = names.parsed(_names(t))
+    return found.select("p_partkey", names.rename(found).alias("new"))
+
+
+@query("""WITH c AS (SELECT p_name, p_brand, count(*) AS n, max(p_partkey) AS last FROM part GROUP BY 1, 2),
+top AS (SELECT p_name, p_brand FROM c QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY n DESC, length(p_brand), last DESC) = 1)
+SELECT '/' || p_partkey AS path, '[' || top.p_brand || '] ' || part.p_name || ' ' || (p_size + 1) || '권.epub' AS new FROM part JOIN top USING (p_name)""")
+def rename_preview(t):
+    new = F.concat(F.lit("["), "p_brand", F.lit("] "), "p_name", F.lit(" "), (F.col("p_size") + 1).cast("string"), F.lit("권.epub"))
+    rows = t("part").select(F.concat(F.lit("/"), "p_partkey").alias("path"), F.col("p_partkey").alias("pos"), new.alias("name"), new.alias("new"))
+    return renames.preview(rows).select("path", "new")
+
+
 # Lines and chapters.
 
 
@@ -180,9 +261,9 @@ def segment_lines(t):
   first_value(num IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next
   FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN length(text) END AS num FROM conversations)""")
 def prev_next_numeric(t):
-    own = t("conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.length("text").cast("long")).alias("num"))
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    return own.withColumn("prev", F.last("num", True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("next", F.first("num", True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    title = F.when(F.col("role") == "user", F.concat(F.length("text").cast("string"), F.lit(". x"))).otherwise("x")
+    own = t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), title.alias("title"))
+    return chapters.neighbours(own).select(F.col("doc").alias("conv_id"), F.col("pos").alias("turn"), "num", "prev", "next")
 
 
 @query("""SELECT l_suppkey, unnest(range(day + 1, after)) AS missing FROM (SELECT l_suppkey, day, lead(day) OVER (PARTITION BY l_suppkey ORDER BY day) AS after
@@ -216,15 +297,70 @@ def absorb_interruptions(t):
     return chapters.absorb_interruptions(_numbered(t)).select("doc", "pos", F.size("lines").alias("n_lines"))
 
 
-@query("""WITH s AS (SELECT conv_id, turn, length(text) < 300 AND role <> 'user' AND row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 AS goes, text FROM conversations),
-g AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS segment FROM s)
-SELECT conv_id AS doc, min(turn) AS pos, string_agg(CASE WHEN goes THEN '<b>assistant</b>' || chr(10) || text ELSE text END, chr(10) ORDER BY turn) AS body FROM g GROUP BY conv_id, segment""")
+@query("""WITH t AS (SELECT conv_id, turn, role = 'user' AS head, text, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE length(text) > 0),
+s AS (SELECT *, size < 300 AND NOT head AND n > 1 AS goes FROM t),
+g AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS segment FROM s),
+b AS (SELECT conv_id, segment, min(turn) AS pos, bool_or(head) AS head, min(n) AS n, sum(size) AS size, string_agg(CASE WHEN goes THEN '<b>assistant</b>' || chr(10) || text ELSE text END, chr(10) ORDER BY turn) AS body FROM g GROUP BY conv_id, segment),
+f AS (SELECT *, lag(pos) OVER w AS before, lag(body) OVER w AS opening, lag(size) OVER w AS short, lag(head) OVER w AS led, lag(n) OVER w AS m, lead(segment) OVER w AS after FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY segment))
+SELECT conv_id AS doc, CASE WHEN m = 1 AND NOT led AND short < 300 THEN before ELSE pos END AS pos,
+  CASE WHEN m = 1 AND NOT led AND short < 300 THEN opening || chr(10) || '<b>' || CASE WHEN head THEN '1. user' ELSE 'assistant' END || '</b>' || chr(10) || body ELSE body END AS body
+  FROM f WHERE NOT (n = 1 AND NOT head AND size < 300 AND after IS NOT NULL)""")
 def merge_short(t):
     title = F.when(F.col("role") == "user", F.lit("1. user")).otherwise(F.lit("assistant"))
     own = t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), title.alias("title"), F.array("text").alias("lines"))
     return chapters.merge_short(own, 300).select("doc", "pos", F.array_join("lines", "\n").alias("body"))
 
 
+def _books(t):
+    """Conversations as texts of numbered chapters."""
+    line = F.concat((F.col("turn") + 1).cast("string"), F.lit("화\nsaid "), "role", F.lit("\n"), F.length("text").cast("string"), F.lit(" letters & more"))
+    return nav.joined_text(t("conversations"), ["conv_id"], ["turn"], line, "\n").select(F.col("conv_id").alias("doc"), "text")
+
+
+@query("""SELECT conv_id AS doc, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos, (turn + 1) || '화' AS title, 'said ' || role || '|' || length(text) || ' letters &amp; more' AS body FROM conversations""")
+def chapter_detect(t):
+    return chapters.detect(_books(t)).select("doc", "pos", "title", F.array_join("lines", "|").alias("body"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn + 1 AS n FROM conversations), l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS k, count(*) OVER (PARTITION BY conv_id) AS total FROM t)
+SELECT conv_id AS doc, n || '. title' AS title FROM l""")
+def gap_recovery(t):
+    """Every other chapter is left in the body of the one before, and found again."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    own = t("conversations").select("conv_id", (F.col("turn") + 1).alias("n"), F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy("conv_id")).alias("total"))
+    hidden = (F.col("k") % 2 == 0) & (F.col("k") < F.col("total")) & (F.col("total") >= 5)
+    title = F.concat(F.col("n").cast("string"), F.lit(". title"))
+    own = own.withColumn("hidden", hidden).withColumn("title", title)
+    lines = own.withColumn("head", F.sum((~F.col("hidden")).cast("int")).over(Window.partitionBy("conv_id").orderBy("k")))
+    made = lines.groupBy("conv_id", "head").agg(F.min_by("title", "k").alias("title"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "hidden", "title"))), lambda x: F.when(x["hidden"], F.array(x["title"], F.lit("body"))).otherwise(F.array(F.lit("body"))))).alias("lines"))
+    own = made.select(F.col("conv_id").alias("doc"), F.col("head").alias("pos"), "title", "lines")
+    return chapters.fill_gaps(own).select("doc", "title")
+
+
+def _archives(t):
+    """Conversations as EPUB files."""
+    made = chapters.detect(_books(t))
+    meta = t("conversations").select(F.col("conv_id").alias("doc")).distinct().select("doc", F.concat(F.lit("Book "), "doc").alias("title"), F.lit("Me").alias("author"), F.concat(F.lit("u"), "doc").alias("uid"))
+    return epub.built(made, meta)
+
+
+@query("""SELECT conv_id::VARCHAR AS path, 'OEBPS/chapter_' || lpad(row_number() OVER (PARTITION BY conv_id ORDER BY turn)::VARCHAR, 4, '0') || '.xhtml' AS name,
+  (turn + 1) || '화 ' || (turn + 1) || '화' || chr(10) || 'said ' || role || chr(10) || length(text) || ' letters & more' AS text FROM conversations""")
+def epub_roundtrip(t):
+    made = _archives(t).select(F.col("doc").cast("string").alias("path"), "content")
+    return epub.sections(made, skip=False).select("path", "name", "text")
+
+
+@query("""WITH n AS (SELECT conv_id, count(*) AS pages FROM conversations GROUP BY 1)
+SELECT (conv_id % 10)::VARCHAR AS book, count(*)::INTEGER AS books, sum(pages)::INTEGER AS pages, sum(pages)::INTEGER AS read_back FROM n GROUP BY 1""")
+def epub_merged(t):
+    """Ten merged books, and the pages that are read back from them."""
+    own = _archives(t).select((F.col("doc") % 10).alias("book"), F.col("doc").alias("pos"), F.lit("All").alias("title"), F.concat(F.lit("Book "), "doc").alias("label"), "content")
+    made = books.merged(own, nested=True)
+    back = epub.sections(made.select(F.col("book").alias("path"), "content"), skip=False).groupBy(F.col("path").alias("book")).agg(F.count("*").cast("int").alias("read_back"))
+    return made.select("book", "books", "pages").join(back, "book")
+
+
 @query("""SELECT user_id, event_id, CASE WHEN units >= dots THEN n || '화 ' || event_type ELSE n || '. ' || event_type END AS title FROM (
   SELECT user_id, event_id, event_type, event_id % 100 AS n, count(*) FILTER (value::BIGINT % 2 = 0) OVER (PARTITION BY user_id) AS units, count(*) FILTER (value::BIGINT % 2 <> 0) OVER (PARTITION BY user_id) AS dots
   FROM (SELECT * REPLACE (floor(value) AS value) FROM events))""")
@@ -279,6 +415,18 @@ def missing_refs(t):
     return refs.join(known, F.lower("ref") == F.col("w"), "left_anti")
 
 
+@query(r"""WITH r AS (SELECT DISTINCT (page_id % 5)::INTEGER AS book, lower(unnest(regexp_extract_all(html, '(?i)\bhref="/([A-Za-z]+)"', 1))) || '.png' AS name FROM pages),
+m AS (SELECT (p_partkey % 5)::INTEGER AS book, CASE WHEN p_partkey < 5 THEN 'cover-image' ELSE 'i' || p_partkey END AS id, lower(CASE p_partkey % 3 WHEN 0 THEN 'the' WHEN 1 THEN p_brand ELSE p_name END) || '.png' AS name FROM part)
+SELECT book, id, regexp_replace(name, '#.*', '') AS name, NOT EXISTS (SELECT 1 FROM m c WHERE c.id = 'cover-image' AND c.book = m.book AND regexp_replace(c.name, '#.*', '') = regexp_replace(m.name, '#.*', '')) AND regexp_replace(name, '#.*', '') <> '' AS removable
+FROM m WHERE id <> 'cover-image' AND NOT EXISTS (SELECT 1 FROM r WHERE r.book = m.book AND r.name = regexp_replace(m.name, '#.*', ''))""")
+def image_prune(t):
+    refs = pages.references(t("pages"), "page_id", "html", r'(?i)\bhref="/([A-Za-z]+)"').select((F.col("page_id") % 5).cast("int").alias("book"), F.concat(F.lower("ref"), F.lit(".png")).alias("name"))
+    kind = F.col("p_partkey") % 3
+    href = F.concat(F.lit("img/"), F.when(kind == 0, "The").when(kind == 1, F.col("p_brand")).otherwise(F.col("p_name")), F.lit(".png"))
+    manifest = t("part").select((F.col("p_partkey") % 5).cast("int").alias("book"), F.when(F.col("p_partkey") < 5, "cover-image").otherwise(F.concat(F.lit("i"), "p_partkey")).alias("id"), href.alias("href"), F.lit("image/png").alias("media_type"))
+    return pages.prune_plan(manifest, refs)
+
+
 @query(r"""SELECT host, url, score, row_number() OVER (PARTITION BY host ORDER BY score, first, url)::INTEGER AS place FROM (
   SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, url, min(CASE WHEN starts_with(url, 'https') THEN 0 ELSE 10 END + CASE WHEN contains(url, '?') THEN 5 ELSE 0 END) AS score, min(page_id) AS first FROM pages GROUP BY url) QUALIFY place = 1""")
 def url_score_top1(t):
@@ -287,15 +435,41 @@ def url_score_top1(t):
     return pages.scored_urls(own, "host", "url", score, "page_id").filter("place = 1")
 
 
-@query("""SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS line_ends, len(regexp_extract_all(text, '[0-9]')) AS digits, len(regexp_extract_all(text, '[$%&#*]')) AS marks FROM documents""")
-def char_class_counts(t):
-    count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return t("documents").select("doc_id", count("\n").alias("line_ends"), count("[0-9]").alias("digits"), count("[$%&#*]").alias("marks"))
+# x, q and j of the texts stand for invisible characters
+@query("""SELECT doc_id, name, sum(n)::BIGINT AS n FROM (SELECT doc_id, name, length(text) - length(replace(text, c, '')) AS n FROM documents, (VALUES ('x', 'U+200B'), ('q', 'U+00AD'), ('j', 'U+FEFF')) v(c, name)) WHERE n > 0 GROUP BY ALL""")
+def invisible_totals(t):
+    return pages.invisible_totals(t("documents").select("doc_id", F.translate("text", "xqj", "\u200b\u00ad\ufeff").alias("text")), "doc_id", "text")
 
 
-@query("""SELECT doc_id, name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\x{00AD}\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}]')) AS c FROM documents) JOIN (VALUES (chr(173), 'U+00AD'), (chr(8203), 'U+200B'), (chr(8204), 'U+200C'), (chr(8205), 'U+200D'), (chr(65279), 'U+FEFF')) v(c, name) USING (c) GROUP BY ALL""")
-def invisible_totals(t):
-    return pages.invisible_totals(t("documents"), "doc_id", "text")
+@query("""SELECT doc_id, replace(replace(replace(text, 'x', ''), 'q', ''), 'j', '') AS text FROM documents""")
+def invisible_removed(t):
+    return t("documents").select("doc_id", T.without_invisible(F.translate("text", "xqj", "\u200b\u00ad\ufeff")).alias("text"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id || '화. ' || event_type WHEN 1 THEN (event_id + 1) || '화. ' || event_type ELSE 'part ' || event_id END AS title FROM events""")
+def chosen_titles(t):
+    """Of a file's label and a page's title the one that says more."""
+    n, kind = F.col("event_id").cast("string"), F.col("event_id") % 3
+    name = F.when(kind == 0, F.concat(n, F.lit("화. "), "event_type")).when(kind == 1, F.concat((F.col("event_id") + 1).cast("string"), F.lit("화. "), "event_type")).otherwise(F.concat(F.lit("file "), n))
+    title = F.when(kind == 2, F.concat(F.lit("part "), n)).otherwise(F.concat(n, F.lit("화")))
+    return t("events").select("event_id", titles.chosen_title(F.concat(name, F.lit(".xhtml")), title, F.lit(False)).alias("title"))
+
+
+@query(r"""WITH p AS (SELECT conv_id, '<p><b>Prologue</b></p><p>x</p>' || string_agg('<p><b>Chapter ' || (turn + 1) || '</b></p><p>' || length(text) || ' letters</p>', '' ORDER BY turn) AS html FROM conversations GROUP BY 1)
+SELECT conv_id, 'sub_001' AS id, 'Prologue' AS title FROM p UNION ALL SELECT conv_id, 'sub_' || lpad((1 + row_number() OVER (PARTITION BY conv_id ORDER BY turn))::VARCHAR, 3, '0'), 'Chapter ' || (turn + 1) FROM conversations""")
+def heading_anchors(t):
+    """Headings within pages and the anchors that are set before them."""
+    part = F.concat(F.lit("<p><b>Chapter "), (F.col("turn") + 1).cast("string"), F.lit("</b></p><p>"), F.length("text").cast("string"), F.lit(" letters</p>"))
+    own = nav.joined_text(t("conversations"), ["conv_id"], ["turn"], part, "").select("conv_id", F.concat(F.lit("<p><b>Prologue</b></p><p>x</p>"), "text").alias("markup"))
+    return own.select("conv_id", F.explode(titles.anchored("markup", F.lit("sub"))["anchors"]).alias("x")).select("conv_id", "x.id", "x.title")
+
+
+@query("""SELECT host AS key, url, score, place FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY score, first, url)::INTEGER AS place FROM (
+  SELECT page_id % 20 AS host, 'https://a.pstatic.net/' || CASE WHEN page_id % 2 = 0 THEN 'thumbnailbig' ELSE 'plain' END || '/' || (page_id % 50) || '.jpg' AS url, min(CASE WHEN page_id % 2 = 0 THEN -35 ELSE 0 END) AS score, min(page_id) AS first FROM pages GROUP BY 1, 2)) WHERE place <= 2""")
+def cover_urls(t):
+    url = F.concat(F.lit("https://a.pstatic.net/"), F.when(F.col("page_id") % 2 == 0, "thumbnailbig").otherwise("plain"), F.lit("/"), F.col("page_id") % 50, F.lit(".jpg#x"))
+    own = t("pages").select((F.col("page_id") % 20).alias("key"), F.col("page_id").alias("pos"), F.lit("src").alias("source"), url.alias("url"))
+    return covers.scored_image_urls(own).filter("place <= 2")
 
 
 # Order and navigation.
@@ -318,8 +492,9 @@ def nav_hierarchy(t):
 s AS (SELECT l_orderkey, count(*) AS books, max(n) AS most FROM (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1)
 SELECT l_orderkey, markers, markers >= 2 AND NOT (books > 1 AND most = 1) AS multi_volume FROM a JOIN s USING (l_orderkey)""")
 def multi_volume_gate(t):
-    own = t("lineitem")
-    return nav.multi_volume(own, own, ["l_orderkey"], "l_suppkey", F.col("l_returnflag") == "R")
+    label = F.concat(F.lit("book "), F.col("l_linenumber").cast("string"), F.when(F.col("l_returnflag") == "R", "권").otherwise("화"))
+    own = t("lineitem").withColumn("label", label)
+    return nav.multi_volume(own, own, ["l_orderkey"], "l_suppkey", nav.has_marker(F.col("label")))
 
 
 @query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
@@ -333,11 +508,11 @@ def first_nonempty_meta(t):
     return nav.first_filled(own, ["o_custkey"], "o_orderkey", ["priority", "status"])
 
 
-@query(r"""SELECT doc_id, regexp_extract(text, '([A-Za-z0-9._]+)@([A-Za-z0-9.]+)', 1) AS name, regexp_extract(text, '([A-Za-z0-9._]+)@([A-Za-z0-9.]+)', 2) AS author FROM documents WHERE contains(text, '@')""")
+@query("""SELECT p_partkey, p_brand AS author, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' 1' END AS body FROM part""")
 def at_author(t):
-    own = t("documents").filter(F.col("text").contains("@"))
-    part = lambda i: F.regexp_extract("text", r"([A-Za-z0-9._]+)@([A-Za-z0-9.]+)", i)
-    return own.select("doc_id", part(1).alias("name"), part(2).alias("author"))
+    stem = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" @"), "p_brand")).otherwise(F.concat(F.lit("["), "p_brand", F.lit("] "), "p_name", F.lit(" 1")))
+    author, body = dedup.author_and_body(F.col("stem"))
+    return t("part").withColumn("stem", stem).select("p_partkey", author.alias("author"), body.alias("body"))
 
 
 @query("""SELECT page_id, CASE WHEN n = 1 THEN stem ELSE stem || ' (' || (n - 1) || ')' END AS name FROM (

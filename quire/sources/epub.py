@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.functions import text as T
 from quire.operators import nav, pages
@@ -18,6 +21,8 @@ from quire.operators import nav, pages
 ENTRIES = "path string, name string, pos int, content binary, error string"
 ITEMS = "path string, opf string, id string, href string, name string, media_type string, spine int, title string, creator string, language string, error string"
 MARKUP = (".xhtml", ".html", ".htm")
+#: Bytes of entries that make a batch.
+HELD = 4 << 20
 
 
 def files(spark: SparkSession, folder: str, extensions: list[str], recursive: bool = True) -> DataFrame:
@@ -27,8 +32,28 @@ def files(spark: SparkSession, folder: str, extensions: list[str], recursive: bo
     return listed.filter(~F.exists(F.split("path", "/"), lambda x: x.startswith("_dedupe_trash_")))
 
 
-def hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("hash"))
+def hashes(files: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """files (path) -> path, hash: SHA-256 of each file's content, read by the executors a block at a time; null where a file can't be read.
+
+    Paths are of a file system that executors mount (file: or plain).
+    """
+
+    @F.pandas_udf(StringType())
+    def run(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda x: _hash(x, block))
+
+    return files.select("path", run("path").alias("hash"))
+
+
+def _hash(path: str, block: int) -> str | None:
+    found = hashlib.sha256()
+    try:
+        with open(unquote(re.sub("^file:/+", "/", path)) if path.startswith("file:") else path, "rb") as f:
+            while part := f.read(block):
+                found.update(part)
+    except OSError:
+        return None
+    return found.hexdigest()
 
 
 def safe_path(folder: str, href: str) -> str:
@@ -37,19 +62,27 @@ def safe_path(folder: str, href: str) -> str:
     return joined.lstrip("/")
 
 
-def entries(books: DataFrame) -> DataFrame:
-    """books (path, content) -> a row for each entry of the archive; an archive that can't be read gives one row with error."""
+def entries(books: DataFrame, suffixes: tuple[str, ...] | None = None) -> DataFrame:
+    """books (path, content) -> a row for each entry of the archive; an archive that can't be read gives one row with error. Contents of entries without one of the suffixes stay null, unread."""
 
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "name", "pos", "content", "error"]
         for part in parts:
             for path, content in zip(part["path"], part["content"], strict=True):
+                rows, held = [], 0
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         names = [n for n in z.namelist() if not n.endswith("/") and safe_path("", n) == n]
                         for pos, name in enumerate(names):
-                            yield pd.DataFrame({"path": [path], "name": [name], "pos": [pos], "content": [z.read(name)], "error": [None]})
+                            data = z.read(name) if suffixes is None or name.lower().endswith(suffixes) else None
+                            rows.append((path, name, pos, data, None))
+                            held += len(data or b"")
+                            if held > HELD:
+                                yield pd.DataFrame(rows, columns=columns)
+                                rows, held = [], 0
                 except Exception as e:  # noqa: BLE001  an unreadable book is a row with its error
-                    yield pd.DataFrame({"path": [path], "name": [None], "pos": [None], "content": [None], "error": [str(e)]})
+                    rows.append((path, None, None, None, str(e)))
+                yield pd.DataFrame(rows, columns=columns).astype({"pos": "Int32"})
 
     return books.select("path", "content").mapInPandas(unpack, ENTRIES)
 
@@ -106,7 +139,7 @@ def labels(found: DataFrame) -> DataFrame:
 def sections(books: DataFrame, skip: bool = True, invisible: bool = True, cleanup: bool = True) -> DataFrame:
     """path, pos, name, text: the text of each page in reading order, without empty ones."""
     order = items(books).filter(F.col("spine").isNotNull() & F.col("media_type").contains("html")).select("path", "name", F.col("spine").alias("pos"))
-    found = entries(books).filter("error IS NULL").select("path", "name", F.col("pos").alias("at"), "content")
+    found = entries(books, MARKUP).filter("error IS NULL AND content IS NOT NULL").select("path", "name", F.col("pos").alias("at"), "content")
     known = found.join(order, ["path", "name"])
     bare = found.join(order.select("path").distinct(), "path", "left_anti").filter(F.lower("name").rlike(r"\.(xhtml|html|htm)$")).withColumn("pos", F.col("at"))
     own = known.unionByName(bare).withColumn("markup", T.decoded(F.col("content"))).drop("content")
@@ -121,6 +154,13 @@ def book_texts(books: DataFrame, **options) -> DataFrame:
     return nav.joined_text(sections(books, **options), ["path"], ["pos"], F.col("text"))
 
 
+def text_names(texts: DataFrame, stem: str = "stem") -> DataFrame:
+    """texts with name: a free file name for each, in the order of its stem: safe, `(n)` from the second of a name on."""
+    own = texts.withColumn("__safe", T.safe_filename(F.col(stem))).withColumn("__folder", F.lit(""))
+    named = nav.unique_names(own, "__folder", "__safe", stem)
+    return named.withColumn("name", F.concat("unique", F.lit(".txt"))).drop("__safe", "__folder", "unique")
+
+
 def write_texts(texts: DataFrame, folder: str) -> None:
     """A text file for each row (stem, text), written by the executors to a folder that all of them share."""
     texts.select(F.col("text").alias("value"), "stem").write.partitionBy("stem").text(folder)

@@ -6,6 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from quire.functions import segmenting
 from quire.functions import text as T
 from quire.operators import chapters, nav, pages, series
 from quire.sources import epub
@@ -21,11 +22,11 @@ def titles(df):
 
 
 def test_detect(spark):
-    docs = spark.createDataFrame([("a", "1화\n첫 문장\n2화\n둘째 문장"), ("b", "작품명@작가명\n소개 문장\n1화\n본문"), ("c", "no heads\nhere"), ("e", None)], "doc string, text string")
+    docs = spark.createDataFrame([("a", "1화\n첫 문장\n2화\n둘째 문장"), ("b", "작품명@작가명\n소개 문장\n1화\n본문"), ("c", "no heads\nhere"), ("e", None), ("f", "")], "doc string, text string")
     got = {}
     for r in chapters.detect(docs).orderBy("doc", "pos").collect():
         got.setdefault(r["doc"], []).append((r["title"], r["lines"]))
-    assert got == {"a": [("1화", ["첫 문장"]), ("2화", ["둘째 문장"])], "b": [("1화", ["본문"])], "c": [("본문", ["no heads", "here"])]}
+    assert got == {"a": [("1화", ["첫 문장"]), ("2화", ["둘째 문장"])], "b": [("1화", ["본문"])], "c": [("본문", ["no heads", "here"])], "f": [("본문", [])]}
 
 
 def test_numbers(spark):
@@ -54,7 +55,7 @@ def test_ascending_is_the_quadratic_one():
     r = random.Random(3)
     for _ in range(300):
         nums = [r.randrange(12) for _ in range(r.randrange(1, 25))]
-        assert chapters.ascending(nums) == slow(nums)
+        assert segmenting.ascending(nums) == slow(nums)
 
 
 def test_suspects(spark):
@@ -65,7 +66,9 @@ def test_suspects(spark):
 
 def test_flow_noise(spark):
     own = book(spark, ["108.", "109.", "1.", "0.1%", "1.", "114.", "115."])
-    assert titles(chapters.keep_ascending(chapters.absorb_interruptions(own))) in (["108.", "109.", "114.", "115."], ["108.", "109.", "0.1%", "114.", "115."])
+    assert titles(chapters.keep_ascending(chapters.absorb_interruptions(own))) == ["108.", "109.", "114.", "115."]
+    noisy = chapters.keep_ascending(book(spark, ["1.", "2.", "0.1%", "3.", "이야기 3화 끝", "4.", "에필로그"])).orderBy("pos").collect()
+    assert [r["title"] for r in noisy] == ["1.", "2.", "3.", "4.", "에필로그"] and noisy[1]["lines"] == ["body", "<b>0.1%</b>", "body"]
 
 
 def test_low_runs(spark):
@@ -81,6 +84,17 @@ def test_styles(spark):
 def test_merge_short(spark):
     own = book(spark, ["1화", "note", "2화"], {0: ["long body"], 1: ["s"], 2: ["x"]})
     assert [(r["title"], r["lines"]) for r in chapters.merge_short(own, 5).orderBy("pos").collect()] == [("1화", ["long body", "<b>note</b>", "s"]), ("2화", ["x"])]
+    own = book(spark, ["n", "1화", "First meeting", "2."], {0: ["s"], 1: ["long body"], 2: [], 3: ["x" * 9]})
+    assert [(r["title"], r["lines"]) for r in chapters.merge_short(own, 5).orderBy("pos").collect()] == [("n 1화", ["s", "<b>1화</b>", "long body"]), ("First meeting 2.", ["x" * 9])]
+
+
+def test_gap_recovery(spark):
+    own = book(spark, ["1.", "2.", "4.", "5."], {1: ["two", "3. three", "still three"]})
+    got = chapters.fill_gaps(own).orderBy("pos").collect()
+    assert [(r["title"], r["lines"]) for r in got] == [("1.", ["body"]), ("2.", ["two"]), ("3. three", ["still three"]), ("4.", ["body"]), ("5.", ["body"])]
+    docs = spark.createDataFrame([("d", "2화. 부제\n")], "doc string, text string")
+    assert titles(chapters.restored_titles(book(spark, ["1.", "2."]), docs)) == ["1.", "2. 부제"]
+    assert titles(chapters.numbered_titles(chapters.without_angles(book(spark, ["3. <다음>", "시작 001 : 가"])))) == ["3. 다음", "1. 가"]
 
 
 def test_gaps(spark):
