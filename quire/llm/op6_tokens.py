@@ -4,7 +4,10 @@ Pre-tokens of many texts lie as ragged numpy arrays of symbols. Each round,
 every sequence finds its lowest-rank pair and merges it, all sequences at
 once, until no pair is left; the symbols that survive are the tokens. Where a
 merged piece can be part of no merge of its own or a lower rank, all its
-places in a sequence merge in one round, else only the leftmost.
+places in a sequence merge in one round, else only the leftmost. Rounds grow
+with the length of the longest sequence, so one of more than LONG characters
+(a text without spaces, say) merges in the same order from a queue instead, in
+n log n steps.
 
 The model is a SentencePiece BPE model with byte fallback, identity
 normalisation and a leading space (read with the library; its encoder is not
@@ -19,6 +22,7 @@ doc_id and text are read; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +37,8 @@ from .common import pieces, utf8
 SPACE, LIMIT = "▁", 4096
 #: Pre-tokens whose counts a worker keeps, and characters that are merged at once.
 KEPT, AT_ONCE = 400_000, 500_000
+#: Characters of a sequence that is merged from a queue.
+LONG = 2000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -111,6 +117,35 @@ class Merger:
                 piece[at] = np.where(joined, self._pairs(symbol[at], symbol[after]), -1)
         return total
 
+    def _queued(self, sequence: str) -> int:
+        """Tokens of one sequence: pairs wait in order of rank and place; merges link their neighbours anew."""
+        points = np.frombuffer(sequence.encode("utf-32-le"), np.uint32)
+        extra = int(((points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))[self.of[points] < 0].sum())
+        symbol = self.of[points].tolist()
+        n = left = len(symbol)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        made = self._pairs(np.array(symbol[:-1]), np.array(symbol[1:])).tolist()
+        queue = [(int(self.rank[k]), i, k, symbol[i], symbol[i + 1]) for i, k in enumerate(made) if k >= 0]
+        heapq.heapify(queue)
+        while queue:
+            _, i, k, a, b = heapq.heappop(queue)
+            j = after[i]
+            if symbol[i] != a or j >= n or symbol[j] != b:
+                continue  # one of the two has been merged since
+            symbol[i], symbol[j] = k, -2
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            left -= 1
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and symbol[x] >= 0 and symbol[y] >= 0 and (new := self.table.get(symbol[x] * self.size + symbol[y])) is not None:
+                    heapq.heappush(queue, (int(self.rank[new]), x, new, symbol[x], symbol[y]))
+        return left + extra
+
+    @functools.cached_property
+    def table(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.made.tolist(), strict=True))
+
     def count(self, texts: list[str]) -> list[int]:
         cut = [self.cut(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         counts = self.counts
@@ -118,6 +153,8 @@ class Merger:
         if len(counts) + len(new) > KEPT:
             counts.clear()
             new = list({x for part in cut for x in part})
+        counts.update((x, self._queued(x)) for x in new if len(x) > LONG)
+        new = [x for x in new if len(x) <= LONG]
         at = 0
         while at < len(new):
             to, size = at, 0
