@@ -16,8 +16,10 @@ to: its ancestors and, causally, itself.
 
 Depth-first order is the order of the sequences of turn digests: distinct ones
 are range-partitioned and sorted, and a node belongs to the first that has
-it. Offsets are prefix sums in two steps, within and over partitions. Long
-conversations are lists of digests in one row, never of texts.
+it. Turns are numbered and offsets summed in two steps, within and over
+partitions, so texts of one conversation, however long, are spread over tasks.
+A conversation is a list of digests in one row, never of texts; its own digest
+is read back by one task, a batch at a time.
 
 Null texts and roles count as empty; a null conv_id is one conversation; rows
 come by turn (null first), then role and text, so repeated rows are repeated
@@ -52,11 +54,39 @@ def unescaped(text: str) -> str:
     return _ESCAPED.sub(r"\1\2", text)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of conv, with nth: the place of each among those of its conversation in this partition."""
+    conv, n = None, 0
+    for batch in batches:
+        nth = []
+        for own in batch.column("conv").to_pylist():
+            conv, n = own, n + 1 if own == conv else 1
+            nth.append(n)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth, pa.int64())], names=[*batch.schema.names, "nth"])
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """conv, turn, role, said -> conv, role, said, depth (from 1, within conv).
+
+    Rows are sorted in ranges, so that a conversation of any length is spread
+    over tasks; each range counts for itself, and those that go on with a
+    conversation (one for each range at most) start where the last one ended.
+    """
+    n = shuffle_partitions(rows.sparkSession)
+    order = [F.col("conv"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("said")]
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    counted = written(dealt.mapInArrow(_counted, "conv long, turn long, role string, said string, nth long").withColumn("part", F.spark_partition_id()), "numbered")
+    ends = counted.groupBy("conv", "part").agg(F.max("nth").alias("n"))
+    split = ends.groupBy("conv").agg(F.min("part").alias("first"), F.max("part").alias("last")).filter("first < last").select("conv")
+    before = F.sum("n").over(Window.partitionBy("conv").orderBy("part")) - F.col("n")
+    offsets = ends.join(F.broadcast(split), "conv").withColumn("before", before).filter("before > 0").select("conv", "part", "before")  # a row for each range at most
+    return counted.join(F.broadcast(offsets), ["conv", "part"], "left").select("conv", "role", "said", (F.col("nth") + F.coalesce("before", F.lit(0))).cast("int").alias("depth"))
+
+
 def _turns(conversations: DataFrame) -> DataFrame:
     """conv, depth (from 1), text (formatted), digest, size, loss_from, loss_to (within the text; equal: none)."""
-    rows = conversations.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(_NONE)).alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("said"))
-    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "said")
-    rows = rows.withColumn("depth", F.row_number().over(order)).withColumn("head", F.concat(F.lit("<s>[INST] "), escaped(F.col("role")), F.lit(" [/INST]"))).withColumn("body", escaped(F.col("said")))
+    rows = conversations.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(_NONE)).alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("said"))
+    rows = _numbered(rows).withColumn("head", F.concat(F.lit("<s>[INST] "), escaped(F.col("role")), F.lit(" [/INST]"))).withColumn("body", escaped(F.col("said")))
     rows = rows.withColumn("text", F.concat("head", "body", F.lit("</s>"))).withColumn("loss_from", F.length("head").cast("long"))
     loss = F.when(F.col("role") == LOSS_ROLE, F.length("body")).otherwise(0)
     return rows.select("conv", "depth", "text", F.md5("text").alias("digest"), F.length("text").cast("long").alias("size"), "loss_from", (F.col("loss_from") + loss).alias("loss_to"))

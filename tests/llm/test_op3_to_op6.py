@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -77,6 +78,14 @@ def test_chat_trees(chats):
     assert all(b[1] <= a[1] + 1 for a, b in zip(starts, starts[1:], strict=False))
 
 
+def test_chat_of_one_conversation(spark):
+    """All rows are one conversation, which several ranges hold."""
+    rows = [(5, t % 700, "assistant" if t % 2 else "user", f"text {t}") for t in range(900)]
+    got = op3.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    said = sorted(rows, key=lambda x: x[1:])
+    assert [(r["n_turns"], r["turns_sha256"]) for r in got] == [(900, hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in said).encode()).hexdigest())]
+
+
 def test_chat_without_rows(spark):
     assert op3.digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
@@ -262,6 +271,19 @@ def test_tokens_equal_the_library():
     assert merger.count(texts[::-1]) == [len(x) for x in library.encode(texts[::-1])]
 
 
+def test_tokens_of_long_sequences():
+    """Texts of many characters without a space, equal to the library's counts, in time that grows with their length."""
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    r = random.Random(7)
+    texts = ["".join(r.choice(letters) for _ in range(n)) for letters in ("theinraonst", "ab", "ABab01+/", "日本語のテ한글éß") for n in (2500, 9000)]
+    texts += ["a" * 4001, "=" * 2999, "x" + "ab" * 3000]
+    merger = op6.Merger(MODEL)
+    assert merger.count(texts) == [len(x) for x in library.encode(texts)]
+    began = time.time()
+    merger.count(["".join(r.choice("theinraonst") for _ in range(200_000))])
+    assert time.time() - began < 20
+
+
 def test_token_counts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-5, "")], "doc_id long, text string"))
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
