@@ -9,6 +9,7 @@ Plain Python, for use inside Arrow functions.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from typing import NamedTuple
@@ -58,7 +59,8 @@ def _bracketed(inner: str) -> str:
     return "F" if shape == "f" or re.search("f$", shape) else "B"
 
 
-def scan(text: str) -> list[Token]:
+@functools.lru_cache(1 << 13)
+def scan(text: str) -> tuple[Token, ...]:
     out: list[Token] = []
     at = 0
     while at < len(text):
@@ -78,7 +80,7 @@ def scan(text: str) -> list[Token]:
         else:
             out.append(Token(_MARKS.get(piece, "m"), piece, at, at + len(piece)))
         at += len(piece)
-    return out
+    return tuple(out)
 
 
 def _word(piece: str, at: int, before: list[str]) -> list[Token]:
@@ -90,7 +92,7 @@ def _word(piece: str, at: int, before: list[str]) -> list[Token]:
     return [Token(_WORDS.get(piece.lower(), "w"), piece, at, at + len(piece))]
 
 
-def shape_of(tokens: list[Token]) -> str:
+def shape_of(tokens: tuple[Token, ...]) -> str:
     return "".join(t.letter for t in tokens)
 
 

@@ -12,7 +12,7 @@ import re
 from collections import Counter
 from typing import NamedTuple
 
-from quire.functions.grammar import OPENINGS, SIDE, Token, collapse, scan, shape_of, tidy
+from quire.functions.grammar import OPENINGS, SIDE, collapse, scan, shape_of, tidy
 
 # Words and endings of the vocabulary.
 START, BODY = "시작", "본문"
@@ -54,7 +54,7 @@ def is_prose(text: str) -> bool:
 
 def chapter_number(title: str) -> int | None:
     """The number that a title starts with: before a unit, a mark or a blank and something."""
-    tokens = [t for t in scan((title or "").strip())]
+    tokens = scan((title or "").strip())
     shape = shape_of(tokens)
     found = re.match(r"(?:# ?)?(?:w ?)?n(?= ?[vepq](?![nw])| ?[:)]| ?\.(?!n)| [^ ])", shape.replace("m", ")") if tokens and any(t.text == ")" for t in tokens) else shape)
     if not found or "w" in found[0] and not any(t.text == "제" for t in tokens[:2]):
@@ -62,10 +62,6 @@ def chapter_number(title: str) -> int | None:
     return int(next(t.text for t in tokens if t.letter == "n"))
 
 
-def _numbers(tokens: list[Token]) -> list[int]:
-    return [int(t.text) for t in tokens if t.letter == "n"]
-
-
 def _inside_angles(line: str) -> tuple[str, str, str] | None:
     found = re.fullmatch(r"(.{0,120}?)[<＜〈]\s*([^<>＜＞〈〉]+?)\s*[>＞〉]\s*(.*)", line)
     return (found[1], found[2], found[3]) if found else None

@@ -122,7 +122,7 @@ def similar_pairs(titles: DataFrame, block: list[str], threshold: float = SIMILA
     from_end = F.col("x.start") - (F.col("lb") - F.col("la"))
     low = F.greatest(F.lit(1), F.col("x.start") - F.col("x.k"), from_end - (F.col("d") - F.col("x.k")))
     high = F.least(F.col("x.start") + F.col("x.k"), from_end + (F.col("d") - F.col("x.k")), F.col("la") - F.col("x.size") + 1)
-    two = two.filter(low <= high).withColumn("at", F.explode(F.sequence(low, high))).select(*block, "a", "la", "lb", "d", F.col("x.start").alias("start"), F.substring("a", F.col("at"), F.col("x.size")).alias("part")).distinct()
+    two = two.filter(low <= high).withColumn("at", F.explode(F.sequence(low, high))).select(*block, "a", "la", "lb", "d", F.col("x.start").alias("start"), F.substring("a", F.col("at"), F.col("x.size")).alias("part"))
     met = two.join(sent, [*block, "lb", "start", "part"]).filter((F.col("la") < F.col("lb")) | (F.col("a") < F.col("b"))).select(*block, "a", "b", "d").distinct()
     return met.filter(F.expr("levenshtein(a, b, d) >= 0")).select(*block, "a", "b")
 

@@ -227,11 +227,13 @@ def rename_names(t):
     return found.select("p_partkey", names.rename(found).alias("new"))
 
 
-@query("""WITH c AS (SELECT p_name, p_brand, count(*) AS n, max(p_partkey) AS last FROM part GROUP BY 1, 2),
-top AS (SELECT p_name, p_brand FROM c QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY n DESC, length(p_brand), last DESC) = 1)
-SELECT '/' || p_partkey AS path, '[' || top.p_brand || '] ' || part.p_name || ' ' || (p_size + 1) || '권.epub' AS new FROM part JOIN top USING (p_name)""")
+@query("""WITH p AS (SELECT *, 'W' || lpad(regexp_extract(p_brand, '[0-9]+$'), 2, '0') AS author FROM part),
+c AS (SELECT p_name, author, count(*) AS n, max(p_partkey) AS last FROM p GROUP BY 1, 2),
+top AS (SELECT p_name, author FROM c QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY n DESC, last DESC) = 1)
+SELECT '/' || p_partkey AS path, '[' || top.author || '] ' || part.p_name || ' ' || (p_size + 1) || '권.epub' AS new FROM part JOIN top USING (p_name)""")
 def rename_preview(t):
-    new = F.concat(F.lit("["), "p_brand", F.lit("] "), "p_name", F.lit(" "), (F.col("p_size") + 1).cast("string"), F.lit("권.epub"))
+    author = F.concat(F.lit("W"), F.lpad(F.regexp_extract("p_brand", "[0-9]+$", 0), 2, "0"))
+    new = F.concat(F.lit("["), author, F.lit("] "), "p_name", F.lit(" "), (F.col("p_size") + 1).cast("string"), F.lit("권.epub"))
     rows = t("part").select(F.concat(F.lit("/"), "p_partkey").alias("path"), F.col("p_partkey").alias("pos"), new.alias("name"), new.alias("new"))
     return renames.preview(rows).select("path", "new")
 
