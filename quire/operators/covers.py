@@ -15,6 +15,8 @@ from quire.operators import series
 
 IMAGE = r"(?i)\.(?:jpe?g|png|webp)$"
 FIRST_IMAGE = "(?i)<img[^>]+src=[\"']([^\"']+)[\"']"
+# Parts of urls of images that show nothing.
+PLACEHOLDERS = ["favicon", "/static/", "placeholder", "noimg", "loading", "thumb/no", "thumb/19", "gnb_"]
 #: Sources in order of preference.
 SOURCES = ["opf_meta", "guide", "name", "spine_img", "first"]
 
@@ -59,24 +61,28 @@ def candidates(entries: DataFrame, items: DataFrame, order=None) -> DataFrame:
     return best.select("path", "name", F.get(F.array(*map(F.lit, SOURCES)), F.col("best.tier")).alias("source"), place.alias("place"))
 
 
-def scored_image_urls(found: DataFrame, preferred: list[str] = []) -> DataFrame:  # noqa: B006
+def scored_image_urls(found: DataFrame, preferred: list[str] = [], strict: bool = True) -> DataFrame:  # noqa: B006
     """found (key, pos, source, url) -> key, url, score, place: images of the allowed host by score, then position.
 
-    Placeholders and thumbnails of the smallest kind go; the type query is
-    dropped, so sizes of one image are one url.
+    Placeholders and thumbnails of the smallest kind go (without strict they
+    come last); the type query is dropped, so sizes of one image are one url.
     """
     raw = T.strip(F.regexp_replace(F.regexp_replace(T.unescape_html(F.col("url")), r"\\u002[fF]|\\/", "/"), r"^[\"' ]+|[ \t\r\n\"',;)]+$", ""))
     own = found.withColumn("raw", raw).withColumn("host", F.lower(F.regexp_extract("raw", r"^https?://([^/:?#]+)", 1)))
     query = F.lower(F.regexp_extract("raw", r"\?([^#]*)", 1))
     own = own.filter((F.col("host") == "pstatic.net") | F.col("host").endswith(".pstatic.net"))
-    own = own.filter(~query.rlike(r"(?:^|&)type=m101(?:&|$)") & F.regexp_extract("raw", r"^([^?#]*)", 1).rlike(r"(?i)\.(?:jpe?g|png|gif|webp)$"))
+    empty = F.exists(F.array(*map(F.lit, PLACEHOLDERS)), lambda x: F.contains(F.lower("raw"), x))
+    small = query.rlike(r"(?:^|&)type=m101(?:&|$)")
+    if strict:
+        own = own.filter(~small & ~empty)
+    own = own.filter(F.regexp_extract("raw", r"^([^?#]*)", 1).rlike(r"(?i)\.(?:jpe?g|png|gif|webp)$"))
     clean = F.when(query.rlike("(?:^|&)type="), F.regexp_extract("raw", r"^([^?#]*)", 1)).otherwise(F.regexp_extract("raw", r"^([^#]*)", 1))
     lower = F.lower(F.concat_ws(" ", "raw", clean))
     wanted = F.lit(False)
     for x in preferred:
         wanted = wanted | F.col("raw").contains(x)
     size = F.when(lower.contains("thumbnailbig"), -35).when(lower.rlike(r"(?:^|[?&])type=m(?:260|300|400|500|600|690)(?:&| |$)"), -25).when(lower.contains("thumbnail"), -10).otherwise(0)
-    score = F.when(wanted, -120).otherwise(0) + F.when(lower.contains("comicthumb"), -40).otherwise(0) + size + F.when(F.col("source") == "og:image", -1).otherwise(0)
+    score = F.when(wanted, -120).otherwise(0) + F.when(lower.contains("comicthumb"), -40).otherwise(0) + size + F.when(F.col("source") == "og:image", -1).otherwise(0) + F.when(empty, 500).otherwise(0) + F.when(small, 60).otherwise(0)
     from quire.operators.pages import scored_urls
 
     return scored_urls(own.withColumn("url", clean), "key", "url", score, "pos")

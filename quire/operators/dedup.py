@@ -82,14 +82,19 @@ def score(priority: list[str] = EXTENSIONS) -> list[Column]:
     return [F.desc("complete"), F.asc("incomplete"), end.desc(), (end - start).desc(), extension_rank(F.col("ext"), priority).asc(), F.desc("size"), F.desc("mtime"), F.size("risks").asc(), F.lower("name").desc(), F.asc("path")]
 
 
-def islands(df: DataFrame, keys: list[str], start: str, end: str, order: list[str]) -> DataFrame:
-    """df with island: within keys, rows whose closed ranges overlap, directly or over others, have one number (from 0). A row without a range overlaps all."""
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy(start, end, *order).rowsBetween(Window.unboundedPreceding, -1)
-    upto = whole.orderBy(start, end, *order).rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.when(F.col(start) > F.max(end).over(before), 1).otherwise(0)
-    bridged = F.max((F.col(start).isNull() | F.col(end).isNull()).cast("int")).over(whole) == 1
-    return df.withColumn("__opens", opens).withColumn("island", F.when(bridged, 0).otherwise(F.sum("__opens").over(upto)).cast("int")).drop("__opens")
+def islands(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """df with island: within keys (not null), rows whose closed ranges overlap, directly or over others, have one number (from 0). A row without a range overlaps all.
+
+    Only distinct ranges are sorted, so a key that a third of the rows have
+    costs as much as it has ranges; its rows meet them in a join that can split.
+    """
+    spans = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, start, end).distinct()
+    order = Window.partitionBy(*keys).orderBy(start, end)
+    opens = F.when(F.col(start) > F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
+    numbered = spans.withColumn("__opens", opens).withColumn("island", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__opens")
+    bridged = df.filter(F.col(start).isNull() | F.col(end).isNull()).select(*keys).distinct().withColumn("__bridged", F.lit(True))
+    joined = df.join(numbered, [*keys, start, end], "left").join(bridged, keys, "left")
+    return joined.select(*df.columns, F.when(F.col("__bridged"), 0).otherwise(F.col("island")).alias("island"))
 
 
 def most_edits(length: Column, threshold: float) -> Column:
@@ -142,7 +147,7 @@ def buckets(found: DataFrame, per_extension: bool = True, fuzzy: bool = False, t
 
 def groups(found: DataFrame, priority: list[str] = EXTENSIONS) -> DataFrame:
     """candidates with bucket (and hash, where known) -> members of groups of two or more: group, place, keep, reason, warnings, confidence and title of the group."""
-    df = islands(found, ["bucket"], "range_start", "range_end", ["path"])
+    df = islands(found, ["bucket"], "range_start", "range_end")
     df = df.withColumn("group", F.when(F.col("island") == 0, F.col("bucket")).otherwise(F.concat("bucket", F.lit("|range_group_"), "island")))
     if "hash" not in df.columns:
         df = df.withColumn("hash", F.lit(None).cast("string"))

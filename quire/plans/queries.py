@@ -134,7 +134,7 @@ FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e,
   FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey * 10 AS s, l_partkey * 10 + l_quantity::BIGINT AS e FROM lineitem))""")
 def range_islands(t):
     own = t("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", (F.col("l_partkey") * 10).alias("s"), (F.col("l_partkey") * 10 + F.col("l_quantity").cast("long")).alias("e"))
-    return dedup.islands(own, ["l_suppkey"], "s", "e", ["l_orderkey", "l_linenumber"]).select("l_suppkey", "l_orderkey", "l_linenumber", "island")
+    return dedup.islands(own, ["l_suppkey"], "s", "e").select("l_suppkey", "l_orderkey", "l_linenumber", "island")
 
 
 # Names and series.

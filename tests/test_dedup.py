@@ -69,7 +69,7 @@ def test_which_need_hashes(spark):
 
 def test_islands_with_nulls(spark):
     rows = [(1, 1, 10), (1, 10, 20), (1, 21, 30), (2, 1, 2), (2, None, None), (2, 50, 60)]
-    got = dedup.islands(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "k int, s int, e int, i int"), ["k"], "s", "e", ["i"])
+    got = dedup.islands(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "k int, s int, e int, i int"), ["k"], "s", "e")
     assert [r["island"] for r in got.orderBy("i").collect()] == [0, 0, 1, 0, 0, 0]
 
 
