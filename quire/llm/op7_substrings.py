@@ -11,7 +11,7 @@ task, up to REMEMBERED bytes, and later copies stay too: so of a passage in a
 third of all documents a bucket gets about one copy a task. Minimisers that a
 sample finds very frequent are refined by a second minimiser; the list is a
 hint, the same for all tasks, and any list gives the same result. The number of
-buckets grows with the corpus, so that what a task reads and holds does not.
+partitions grows with the corpus, so that what a task reads and holds does not.
 
 Null and empty texts have no words. Documents are ordered by doc_id (null
 last), then by a checksum of the text, so rows with one doc_id and unlike
@@ -35,12 +35,14 @@ from pyspark.sql.types import StructType
 from .common import U64, Sieve, Words, _power, boxed, mixed, pieces, raw, shuffle_partitions, text_of, utf8, written
 
 WINDOW, MINIMISER, LONGEST = 20, 3, 256
-#: Buckets for each shuffle partition; rows of a bucket are in memory together, packed.
-BUCKETS = 16
+#: Buckets of a partition, which are judged one after another.
+BUCKETS = 8
 #: Windows of a bucket that are sorted at once; more take several passes.
 AT_ONCE = 500_000
 #: Super-k-mers of a shuffle partition, about; bytes of repeated ones that a task remembers.
-A_PARTITION, REMEMBERED = 300_000, 16 << 20
+A_PARTITION, REMEMBERED = 100_000, 16 << 20
+#: Bytes of text whose super-k-mers are packed together, those for one partition as one compressed string.
+PACKED = 4 << 20
 #: One document in so many is read to find frequent minimisers.
 SAMPLE = 64
 _LAST = np.iinfo(np.int64).max
@@ -101,7 +103,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(_runs(Words(*raw(column[lo:hi])), np.zeros(0, U64))[2].view(np.int64))], names=["least"])
 
 
-def _packer(buckets: int, hot: np.ndarray):
+def _packer(partitions: int, hot: np.ndarray):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         seen: dict[bytes, tuple] = {}  # repeated super-k-mers: where the earliest starts that went
@@ -110,7 +112,7 @@ def _packer(buckets: int, hot: np.ndarray):
             ids = batch.column("doc_id").fill_null(_LAST).to_numpy(zero_copy_only=False)
             checks = batch.column("mark").to_numpy(zero_copy_only=False)
             whole = utf8(batch.column("text"))
-            for lo, hi in pieces(whole):
+            for lo, hi in pieces(whole, PACKED):
                 column = _normal(whole[lo:hi])
                 data, offsets = raw(column)
                 words = Words(data, offsets)
@@ -148,16 +150,17 @@ def _packer(buckets: int, hot: np.ndarray):
                 if len(stay):
                     rows.append(-1)
                     blobs.append(_blob(doc_id[stay], mark[stay], at[stay], size[stay].astype(np.int32).tobytes()))
-                bucket = (least[goes] % U64(buckets)).astype(np.int64)
+                bucket = (least[goes] % U64(partitions * BUCKETS)).astype(np.int64)
                 sent = np.flatnonzero(goes)[np.argsort(bucket, kind="stable")]
                 bucket = np.sort(bucket)
+                part, sub = bucket // BUCKETS, (bucket % BUCKETS).astype(np.uint8)
                 strings = [text[a:b] for a, b in zip(head[sent].tolist(), tail[sent].tolist(), strict=True)]
-                cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+                cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sent)], strict=True):
                     own = sent[a:b]
-                    rows.append(int(bucket[a]))
-                    blobs.append(squeeze(_blob(doc_id[own], mark[own], at[own], b"\n".join(strings[a:b]))))
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+                    rows.append(int(part[a]))
+                    blobs.append(squeeze(_blob(doc_id[own], mark[own], at[own], sub[a:b].tobytes() + b"\n".join(strings[a:b]))))
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     return pack
 
@@ -175,10 +178,27 @@ def _found(doc_id: np.ndarray, mark: np.ndarray, at: np.ndarray, size: np.ndarra
     return pa.table({"doc_id": pa.array(doc_id.astype(np.int64)), "mark": pa.array(mark.astype(np.int32)), "at": pa.array(at.astype(np.int32)), "size": pa.array(size.astype(np.int32))})
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """Runs of windows of one bucket that start earlier elsewhere."""
+def _judge_all(table: pa.Table) -> pa.Table:
+    """Runs of windows of one partition that start earlier elsewhere, a bucket at a time."""
     unpack = zstandard.ZstdDecompressor().decompress
-    parts = [_open(unpack(x)) for x in table.column("blob").to_pylist()]
+    parts: list[list] = [[] for _ in range(BUCKETS)]
+    for blob in table.column("blob").to_pylist():
+        doc_id, mark, at, rest = _open(unpack(blob))
+        n = len(doc_id)
+        edges = np.searchsorted(np.frombuffer(rest, np.uint8, n), np.arange(BUCKETS + 1))
+        strings = rest[n:].split(b"\n")
+        for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            if a < b:
+                parts[k].append((doc_id[a:b], mark[a:b], at[a:b], b"\n".join(strings[a:b])))
+    found = []
+    while parts:
+        if own := parts.pop():
+            found.append(_judge(own))
+    return pa.concat_tables(found)
+
+
+def _judge(parts: list[tuple]) -> pa.Table:
+    """The same of one bucket."""
     doc_id, mark, at = (np.concatenate([x[i] for x in parts]) for i in range(3))
     text = b"\n".join(x[3] for x in parts)
     data = np.frombuffer(text, np.uint8)
@@ -230,13 +250,6 @@ def _by_words(doc_id, mark, at, text, words, own, place) -> pa.Table:
     return _found(found[:, 0], found[:, 1], found[:, 2], np.ones(len(found), np.int64))
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column("blob").to_pylist():
-            doc_id, mark, at, size = _open(blob)
-            yield from _found(doc_id, mark, at, np.frombuffer(size, np.int32)).to_batches()
-
-
 def _mark() -> Column:
     return (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) - F.lit(1 << 31)).cast("int")
 
@@ -251,14 +264,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     # at most 4n rows
     hot = np.sort(np.array([r[0] for r in sample.filter(F.col("count") > max(8, total / (4 * n))).collect()], np.int64).view(U64))
     schema = "doc_id long, mark int, at int, size int"
-    packed = base.mapInArrow(_packer(BUCKETS * n, hot), "bucket long, blob binary")
-    # runs settled in their task take no part in the sort: they go to buckets of their own
-    spread = packed.withColumn("group", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("blob"), F.lit(BUCKETS * n))).otherwise(F.col("bucket"))).repartition(n, "group")
+    packed = base.mapInArrow(_packer(n, hot), "part long, blob binary")
+    # runs settled in their task take no part in the sort: they go to groups of their own
+    spread = packed.withColumn("group", F.when(F.col("part") < 0, -1 - F.pmod(F.xxhash64("blob"), F.lit(n))).otherwise(F.col("part"))).repartition(n, "group")
 
     def judge(table: pa.Table) -> pa.Table:
-        if table.column("bucket")[0].as_py() < 0:
+        if table.column("part")[0].as_py() < 0:
             return pa.concat_tables(_found(*(x := _open(b))[:3], np.frombuffer(x[3], np.int32)) for b in table.column("blob").to_pylist())
-        return _judge(table)
+        return _judge_all(table)
 
     return spread.groupBy("group").applyInArrow(judge, schema)
 
