@@ -130,38 +130,42 @@ def fingerprint_with_edits(docs: DataFrame, classes: DataFrame | None = None) ->
         return pd.Series([[b, above[k]] if k in above else [b] for b, k in zip(own.tolist(), keys.tolist(), strict=True)])
 
     dealt = base.select("doc_id", "text", F.posexplode(places("doc_id")).alias("guest", "bucket"))
+    none = {"text_id": F.lit(None).cast("binary"), "class_id": F.lit(None).cast("long")}
     if classes is None:
-        dealt = dealt.withColumns({"text_id": F.lit(None).cast("binary"), "class_id": F.lit(None).cast("long")})
+        dealt = dealt.withColumns(none)
     else:
         ahead = classes.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(0).alias("guest"), bucket("doc_id").alias("bucket"), "text_id", "class_id")
-        dealt = dealt.withColumns({"text_id": F.lit(None).cast("binary"), "class_id": F.lit(None).cast("long")}).unionByName(ahead)
-    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+        dealt = dealt.withColumns({**none, "text_id": _text_id(F.col("text"))}).unionByName(ahead)
+    # of one doc_id, texts come by their digests, and behind the class of each
+    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text_id", F.col("text").asc_nulls_first())
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
     found = dealt.mapInArrow(_edited, schema)
     return found.drop("class_id") if classes is None else found
 
 
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last = None  # doc_id, bucket, text and fingerprint of the row before
-    known: dict[tuple, int | None] = {}  # classes of the documents that come next
+    last = None  # doc_id, bucket, text, fingerprint and class of the row before
+    known = (None, None, None)  # document, text and class that were announced last
     for whole in batches:
-        ahead = whole.filter(whole.column("text").is_null())
-        for doc_id, text_id, class_id in zip(*(ahead.column(c).to_pylist() for c in ("doc_id", "text_id", "class_id")), strict=True):
-            known[doc_id, text_id] = class_id
+        found = []
+        for doc_id, text_id, class_id, announced in zip(*(whole.column(c).to_pylist() for c in ("doc_id", "text_id", "class_id")), whole.column("text").is_null().to_pylist(), strict=True):
+            if announced:
+                known = (doc_id, text_id, class_id)
+            else:
+                found.append(known[2] if known[:2] == (doc_id, text_id) else None)
         whole = whole.filter(whole.column("text").is_valid())
         column = whole.column("text")
         for lo, hi in pieces(utf8(column), 8 << 20):
             batch = whole.slice(lo, hi - lo)
             ids, bucket, guest = batch.column("doc_id").to_pylist(), batch.column("bucket").to_pylist(), batch.column("guest").to_pylist()
-            texts, signature = batch.column("text").to_pylist(), signatures(utf8(batch.column("text")))
+            texts, signature, classes = batch.column("text").to_pylist(), signatures(utf8(batch.column("text"))), found[lo:hi]
             if last:
-                ids, bucket, guest, texts = [last[0], *ids], [last[1], *bucket], [0, *guest], [last[2], *texts]
+                ids, bucket, guest, texts, classes = [last[0], *ids], [last[1], *bucket], [0, *guest], [last[2], *texts], [last[4], *classes]
                 signature = np.concatenate([last[3][None], signature])
             pairs = [i for i in range(len(ids) - 1) if not guest[i] and bucket[i] == bucket[i + 1]]
-            last = None if guest[-1] else (ids[-1], bucket[-1], texts[-1], signature[-1])
+            last = None if guest[-1] else (ids[-1], bucket[-1], texts[-1], signature[-1], classes[-1])
             if not pairs:
                 continue
-            classes = [known.get((ids[i], hashlib.sha256(texts[i].encode()).digest()[:16])) for i in pairs] if known else [None] * len(pairs)
             edited = []
             for i in pairs:
                 text = texts[i]
@@ -177,13 +181,10 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(as_hex(other), pa.string()),
                     pa.array(likeness(own, other), pa.float64()),
                     pa.array(likeness(own, signature[[i + 1 for i in pairs]]), pa.float64()),
-                    pa.array(classes, pa.int64()),
+                    pa.array([classes[i] for i in pairs], pa.int64()),
                 ],
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"],
             )
-        # rows come by descending doc_id: only the classes of the last one may still be asked for, or of ones that come
-        if last and len(known) > 1:
-            known = {k: x for k, x in known.items() if k[0] == last[0] or k[0] in set(ids[-1:])}
 
 
 def _bands(signature: np.ndarray) -> np.ndarray:

@@ -98,6 +98,16 @@ def test_minhash_classes(docs):
     assert both == got
 
 
+@pytest.mark.parametrize("size", ["1", "3"])
+def test_classes_at_the_edges_of_batches(spark, docs, size):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = {r["doc_id"]: r["class_id"] for r in op1.fingerprints_and_classes(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == jaccard_classes(dict(odd_rows()))
+
+
 @pytest.mark.parametrize("crowd", [4096, 7])
 def test_minhash_classes_of_variants(spark, monkeypatch, crowd):
     """Dense groups with outliers: variants of one text, 3 to 8 edits each, and texts that are like one variant only; also dealt out by bands and slices."""
