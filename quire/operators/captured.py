@@ -42,8 +42,9 @@ def image_urls(pages: DataFrame, key: str = "key", markup: str = "markup") -> Da
 def episode_covers(pages: DataFrame, key: str = "key", markup: str = "markup") -> DataFrame:
     """key, pos, title, url: of each image with a source; the title is its alternative text."""
     tags = F.filter(F.transform(meta.elements(F.col(markup)), lambda x: x["tag"]), lambda x: x.rlike(r"(?i)^img\b"))
-    found = F.transform(tags, lambda x: F.struct(T.flat_text(T.attribute(x, "alt")).alias("title"), T.unescape_html(F.regexp_extract(x, r"(?i)(?:src|data-src)=[\"']([^\"']+)", 1)).alias("url")))
-    return pages.select(F.col(key).alias("key"), F.posexplode(F.filter(found, lambda x: x["url"] != "")).alias("pos", "x")).select("key", "pos", "x.title", "x.url")
+    found = F.transform(tags, lambda x: F.struct(T.attribute(x, "alt").alias("title"), F.regexp_extract(x, r"(?i)(?:src|data-src)=[\"']([^\"']+)", 1).alias("url")))
+    each = pages.select(F.col(key).alias("key"), F.posexplode(F.filter(found, lambda x: x["url"] != "")).alias("pos", "x"))
+    return each.select("key", "pos", T.flat_text(F.col("x.title")).alias("title"), T.unescape_html(F.col("x.url")).alias("url"))
 
 
 def _named_value(markup: Column, names: list[str], value: str) -> Column:
