@@ -49,7 +49,7 @@ NOTICES = [
 HEADINGS = {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}
 ENDS = ["END OF TERMS AND CONDITIONS"]
 #: Equivalent spellings, in lower case.
-SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("https:", "http:"), ("copyright owner", "copyright holder")]
+SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("https:", "http:"), ("owner", "holder")]
 #: Of known units, whose table is broadcast.
 MOST_KNOWN = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
