@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _cleared: set[str] = set()
@@ -34,15 +36,18 @@ def clear(spark: SparkSession) -> None:
 
 
 def _at_exit(spark: SparkSession) -> None:
+    """A session that was stopped, or whose JVM is gone, leaves its tables to whoever tidies the folder."""
     if spark.sparkContext._jsc is not None:
-        clear(spark)
+        with contextlib.suppress(Py4JError, OSError):
+            clear(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors, is computed once.
 
-    Tables of an application lie in one folder of its own, which goes when the
-    driver ends, with `clear`, or a table at a time with `discard`.
+    Tables of an application lie in one folder of its own, which goes with
+    `clear`, when the driver ends and its session still runs, or a table at a
+    time with `discard`.
     """
     spark = df.sparkSession
     application = spark.sparkContext.applicationId
