@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from quire.functions import grammar
+from quire.functions import edits, grammar
 from quire.functions import text as T
 from quire.operators.graph import components
 
@@ -24,6 +26,8 @@ HIGH, MEDIUM, LOW = "높음", "중간", "낮음"
 KEPT, REMOVABLE, FILE = "남김", "정리 후보: {} 우선", "파일"
 MISSING = "__HASH_MISSING__"
 SIMILAR, LEAST_RATIO = 0.72, 0.65
+#: Titles of a block that all meet in a join; of a piece of a larger one, which has no more than so many pieces.
+SMALL_BLOCK, PIECE, PIECES = 256, 4096, 64
 
 
 @F.pandas_udf(StringType())
@@ -102,34 +106,51 @@ def most_edits(length: Column, threshold: float) -> Column:
     return F.floor((1 - max(threshold, LEAST_RATIO)) * length + 1e-9).cast("int")
 
 
-def _segments(length: Column, threshold: float) -> Column:
-    """start (from 1) and size of one segment more than there may be edits, as even as possible; together they are the title."""
-    pieces = F.least(most_edits(length, threshold) + 1, length)
-    return F.transform(F.sequence(F.lit(0), pieces - 1), lambda k: F.struct(k.alias("k"), (F.floor(k * length / pieces) + 1).cast("int").alias("start"), (F.floor((k + 1) * length / pieces) - F.floor(k * length / pieces)).cast("int").alias("size")))
+def _compared(block: list[str], threshold: float):
+    """An Arrow function: titles (key) of two pieces of a block (own: which of i and j), or one, to the pairs (a, b) that may be similar."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        which, i, j = (np.asarray(rows.column(c)) for c in ("own", "i", "j"))
+        one, other = (edits.Titles(rows.column("key").filter(pa.array(which == own)).to_pylist()) for own in (i[0], j[0]))
+        lengths = np.arange(max(x.length[-1] if len(x.length) else 0 for x in (one, other)) + 1)
+        reach = np.floor(lengths / max(threshold, LEAST_RATIO) + 1e-9).astype(np.int64)
+        most = np.floor((1 - max(threshold, LEAST_RATIO)) * lengths + 1e-9).astype(np.int64)
+        x, y = edits.near(one, None if i[0] == j[0] else other, reach, most)
+        a, b = pa.array(one.text, pa.string()).take(pa.array(x)), pa.array(other.text, pa.string()).take(pa.array(y))
+        return pa.table({**{c: rows.column(c).take(pa.array(np.zeros(len(x), np.int64))) for c in block}, "a": a, "b": b})
+
+    return compare
 
 
 def similar_pairs(titles: DataFrame, block: list[str], threshold: float = SIMILAR) -> DataFrame:
     """Distinct titles (key and block columns) -> a, b: pairs in a block that are similar enough: 1 less edits by the longer length.
 
-    Titles that are at most d edits apart share one of d+1 segments of the
-    longer one unchanged, such that at most k edits are before the k+1st
-    segment and at most d-k behind it; so few places of the shorter one come
-    in question. The longer one sends its segments, the shorter one the
-    substrings at these places; equal ones meet in an equi join on block,
-    length, segment and content. The distance of each pair is found once, and
-    no further than d.
+    At these thresholds two titles share pieces of three letters, which most
+    titles of a language do, so an index of pieces is larger than all pairs.
+    Titles of a small block meet in a join. A large block is dealt in pieces
+    of about PIECE titles (larger ones where there would be more than PIECES),
+    each two pieces meet in a group of their own, and a bound on the distance
+    (`quire.functions.edits`) that loses no pair leaves few of their pairs. No
+    others are listed; the distance of each is found at the end, and no
+    further than allowed. The time grows with the square of a block.
     """
-    one = titles.select(*block, F.col("key").alias("b"), F.length("key").alias("lb")).filter("lb > 0")
-    sent = one.withColumn("x", F.explode(_segments(F.col("lb"), threshold))).select(*block, "b", "lb", F.col("x.start").alias("start"), F.substring("b", F.col("x.start"), F.col("x.size")).alias("part"))
-    two = titles.select(*block, F.col("key").alias("a"), F.length("key").alias("la")).filter("la > 0")
-    reach = F.floor(F.col("la") / max(threshold, LEAST_RATIO) + 1e-9).cast("int")
-    two = two.withColumn("lb", F.explode(F.sequence(F.col("la"), reach))).withColumn("d", most_edits(F.col("lb"), threshold)).withColumn("x", F.explode(_segments(F.col("lb"), threshold)))
-    from_end = F.col("x.start") - (F.col("lb") - F.col("la"))
-    low = F.greatest(F.lit(1), F.col("x.start") - F.col("x.k"), from_end - (F.col("d") - F.col("x.k")))
-    high = F.least(F.col("x.start") + F.col("x.k"), from_end + (F.col("d") - F.col("x.k")), F.col("la") - F.col("x.size") + 1)
-    two = two.filter(low <= high).withColumn("at", F.explode(F.sequence(low, high))).select(*block, "a", "la", "lb", "d", F.col("x.start").alias("start"), F.substring("a", F.col("at"), F.col("x.size")).alias("part"))
-    met = two.join(sent, [*block, "lb", "start", "part"]).filter((F.col("la") < F.col("lb")) | (F.col("a") < F.col("b"))).select(*block, "a", "b", "d").distinct()
-    return met.filter(F.expr("levenshtein(a, b, d) >= 0")).select(*block, "a", "b")
+    own = titles.select(*block, "key").filter("length(key) > 0").distinct()
+    sizes = own.groupBy(*block).agg(F.count("*").alias("n"))
+    own = own.join(sizes, block)
+    alike = F.expr("levenshtein(a, b, d) >= 0")
+    ordered = lambda a, b: (F.length(a) < F.length(b)) | ((F.length(a) == F.length(b)) & (F.col(a) < F.col(b)))
+    d = most_edits(F.length("b"), threshold).alias("d")
+    few = own.filter(F.col("n") <= SMALL_BLOCK)
+    near = F.length("b") <= F.floor(F.length("a") / max(threshold, LEAST_RATIO) + 1e-9)
+    small = few.select(*block, F.col("key").alias("a")).join(few.select(*block, F.col("key").alias("b")), block).filter(ordered("a", "b") & near)
+    pieces = F.least(F.ceil(F.col("n") / PIECE), F.lit(PIECES)).cast("int")
+    dealt = own.filter(F.col("n") > SMALL_BLOCK).withColumn("own", F.pmod(F.xxhash64("key"), pieces).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    dealt = dealt.select(*block, "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    out = titles.select(*block, F.col("key").alias("a"), F.col("key").alias("b")).schema
+    met = dealt.groupBy(*block, "i", "j").applyInArrow(_compared(block, threshold), out)
+    swapped = (F.length("a") > F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") > F.col("b")))
+    large = met.select(*block, F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b"))
+    return small.unionByName(large).select(*block, "a", "b", d).filter(alike).select(*block, "a", "b")
 
 
 def buckets(found: DataFrame, per_extension: bool = True, fuzzy: bool = False, threshold: float = SIMILAR) -> DataFrame:

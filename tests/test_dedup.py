@@ -97,6 +97,56 @@ def test_similar_pairs_are_all_pairs(spark):
     assert {frozenset((x["a"], x["b"])) for x in dedup.similar_pairs(titles, ["block"]).collect()} == want
 
 
+def all_pairs(spark, keys):
+    """By comparing each two."""
+    a, b = (spark.createDataFrame([(k,) for k in keys], f"{c} string") for c in "ab")
+    near = "(length(a) < length(b) or length(a) = length(b) and a < b) and length(a) / length(b) >= 0.72 and levenshtein(a, b) <= floor(0.28D * length(b) + 1e-9)"
+    return sorted(map(tuple, a.crossJoin(b).filter(near).collect()))
+
+
+def shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_similar_pairs_send_few_rows(spark):
+    """Long titles of common syllables: few rows are sent, not each piece at each place."""
+    import random
+
+    r = random.Random(5)
+    syllables = "the and tion in on ed at en st or th er es ou re ha".split()
+    keys = ["".join(r.choice(syllables) for _ in range(r.randrange(16, 22))) for _ in range(300)]
+    keys = sorted({v for k in keys for v in (k, k[:4] + k[5:], k + "x")})
+    titles = spark.createDataFrame([(k, 1) for k in keys], "key string, block int")
+    before = shuffled(spark)
+    got = sorted((x["a"], x["b"]) for x in dedup.similar_pairs(titles, ["block"]).collect())
+    assert shuffled(spark) - before < 10 * len(keys)
+    assert got == all_pairs(spark, keys)
+
+
+@pytest.mark.parametrize("longest", [6, 40, 90])
+def test_similar_pairs_of_large_blocks(spark, monkeypatch, longest):
+    """In pieces, with titles of all lengths and characters."""
+    import random
+
+    monkeypatch.setattr(dedup, "PIECE", 100)
+    r = random.Random(longest)
+
+    def changed(k):
+        k = list(k)
+        for _ in range(r.randrange(max(2, len(k) // 3))):
+            at = r.randrange(len(k) + 1)
+            k[at : at + r.randrange(2)] = r.choice(["", "a", "가", "x"])
+        return "".join(k)
+
+    keys = ["".join(r.choice("abcd가나😀") for _ in range(r.randrange(1, longest))) for _ in range(300)]
+    keys = sorted({v for k in keys for v in (k, changed(k), changed(k)) if v})
+    assert len(keys) > dedup.SMALL_BLOCK
+    titles = spark.createDataFrame([(k, i) for k in keys for i in (1, None)], "key string, block int")
+    assert sorted((x["a"], x["b"]) for x in dedup.similar_pairs(titles, ["block"]).collect()) == all_pairs(spark, keys)
+
+
 def test_components(spark):
     links = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "y"), ("z", "z")]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u string, v string")).collect()}
