@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from quire.functions import edits, grammar
 from quire.functions import text as T
 from quire.operators.graph import components
+from quire.sources.shared import written
 
 # Patterns of file names, tags and messages.
 EXTENSIONS = [".epub", ".txt", ".zip", ".7z", ".rar", ".pdf"]
@@ -28,6 +29,8 @@ MISSING = "__HASH_MISSING__"
 SIMILAR, LEAST_RATIO = 0.72, 0.65
 #: Titles of a block that all meet in a join; of a piece of a larger one, which has no more than so many pieces.
 SMALL_BLOCK, PIECE, PIECES = 256, 4096, 64
+#: Edits between a title and its centre; characters of the piece by which they meet.
+RADIUS, GRAM = 2, 12
 
 
 @F.pandas_udf(StringType())
@@ -107,14 +110,14 @@ def most_edits(length: Column, threshold: float) -> Column:
 
 
 def _compared(block: list[str], threshold: float):
-    """An Arrow function: titles (key) of two pieces of a block (own: which of i and j), or one, to the pairs (a, b) that may be similar."""
+    """An Arrow function: centres (key) of two pieces of a block (own: which of i and j), or one, to the pairs (a, b) whose titles may be similar."""
 
     def compare(rows: pa.Table) -> pa.Table:
         which, i, j = (np.asarray(rows.column(c)) for c in ("own", "i", "j"))
         one, other = (edits.Titles(rows.column("key").filter(pa.array(which == own)).to_pylist()) for own in (i[0], j[0]))
-        lengths = np.arange(max(x.length[-1] if len(x.length) else 0 for x in (one, other)) + 1)
-        reach = np.floor(lengths / max(threshold, LEAST_RATIO) + 1e-9).astype(np.int64)
-        most = np.floor((1 - max(threshold, LEAST_RATIO)) * lengths + 1e-9).astype(np.int64)
+        lengths = np.arange(max(x.length[-1] if len(x.length) else 0 for x in (one, other)) + 1) + RADIUS
+        reach = np.floor(lengths / max(threshold, LEAST_RATIO) + 1e-9).astype(np.int64) + RADIUS
+        most = np.floor((1 - max(threshold, LEAST_RATIO)) * lengths + 1e-9).astype(np.int64) + 2 * RADIUS
         x, y = edits.near(one, None if i[0] == j[0] else other, reach, most)
         a, b = pa.array(one.text, pa.string()).take(pa.array(x)), pa.array(other.text, pa.string()).take(pa.array(y))
         return pa.table({**{c: rows.column(c).take(pa.array(np.zeros(len(x), np.int64))) for c in block}, "a": a, "b": b})
@@ -122,35 +125,62 @@ def _compared(block: list[str], threshold: float):
     return compare
 
 
+def _centred(titles: DataFrame, block: list[str]) -> DataFrame:
+    """Titles (block, key) with centre: a title of the block at most RADIUS edits away, often one for all titles of which this can be said.
+
+    Titles meet by their piece of GRAM characters that has the least hash; any
+    choice is right, as only the distance to the centre counts.
+    """
+    last = F.length("key") - GRAM + 1
+    piece = F.when(last > 0, F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda at: F.xxhash64(F.substring("key", at, F.lit(GRAM)))))).otherwise(F.xxhash64("key"))
+    own = titles.withColumn("piece", piece)
+    least = own.groupBy(*block, "piece").agg(F.min("key").alias("least"))
+    near = F.levenshtein("key", "least", RADIUS) >= 0
+    return own.join(least, [*block, "piece"]).withColumn("centre", F.when(near, F.col("least")).otherwise(F.col("key"))).drop("piece", "least")
+
+
 def similar_pairs(titles: DataFrame, block: list[str], threshold: float = SIMILAR) -> DataFrame:
     """Distinct titles (key and block columns) -> a, b: pairs in a block that are similar enough: 1 less edits by the longer length.
 
     At these thresholds two titles share pieces of three letters, which most
     titles of a language do, so an index of pieces is larger than all pairs.
-    Titles of a small block meet in a join. A large block is dealt in pieces
-    of about PIECE titles (larger ones where there would be more than PIECES),
-    each two pieces meet in a group of their own, and a bound on the distance
-    (`quire.functions.edits`) that loses no pair leaves few of their pairs. No
-    others are listed; the distance of each is found at the end, and no
-    further than allowed. The time grows with the square of a block.
+    Titles of a small block meet in a join. Those of a large one that are a few
+    edits from a centre are looked at through it, with as many more edits
+    allowed. Centres are dealt in pieces of about PIECE (larger ones where there
+    would be more than PIECES), each two pieces meet in a group of their own,
+    and a bound on the distance (`quire.functions.edits`) that loses no pair
+    leaves few of their pairs. No others are listed; the distance of each is
+    found at the end, and no further than allowed. The time grows with the
+    square of a block's centres.
     """
     own = titles.select(*block, "key").filter("length(key) > 0").distinct()
-    sizes = own.groupBy(*block).agg(F.count("*").alias("n"))
-    own = own.join(sizes, block)
-    alike = F.expr("levenshtein(a, b, d) >= 0")
-    ordered = lambda a, b: (F.length(a) < F.length(b)) | ((F.length(a) == F.length(b)) & (F.col(a) < F.col(b)))
-    d = most_edits(F.length("b"), threshold).alias("d")
-    few = own.filter(F.col("n") <= SMALL_BLOCK)
-    near = F.length("b") <= F.floor(F.length("a") / max(threshold, LEAST_RATIO) + 1e-9)
-    small = few.select(*block, F.col("key").alias("a")).join(few.select(*block, F.col("key").alias("b")), block).filter(ordered("a", "b") & near)
+    own = own.join(own.groupBy(*block).agg(F.count("*").alias("n")), block)
+    own = written(_centred(own, block), "titles")
+    spark = own.sparkSession
+
+    def near(pairs: DataFrame, more: int) -> DataFrame:
+        """Pairs in any order -> the shorter, or lesser, as a; those that are similar, or may be by as many edits of each."""
+        swapped = (F.length("a") > F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") > F.col("b")))
+        pairs = pairs.select(*block, F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b"))
+        reach = F.floor((F.length("a") + more) / max(threshold, LEAST_RATIO) + 1e-9) + more
+        pairs = pairs.filter(F.length("b") <= reach).withColumn("d", most_edits(F.length("b") + more, threshold) + 2 * more)
+        return pairs.filter(F.expr("levenshtein(a, b, d) >= 0")).select(*block, "a", "b")
+
+    few, many = own.filter(F.col("n") <= SMALL_BLOCK), own.filter(F.col("n") > SMALL_BLOCK)
+    small = few.select(*block, F.col("key").alias("a")).join(few.select(*block, F.col("key").alias("b")), block).filter("a < b")
+    centres = many.select(*block, F.col("centre").alias("key")).distinct()
+    centres = centres.join(centres.groupBy(*block).agg(F.count("*").alias("n")), block)
     pieces = F.least(F.ceil(F.col("n") / PIECE), F.lit(PIECES)).cast("int")
-    dealt = own.filter(F.col("n") > SMALL_BLOCK).withColumn("own", F.pmod(F.xxhash64("key"), pieces).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    dealt = centres.withColumn("own", F.pmod(F.xxhash64("key"), pieces).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
     dealt = dealt.select(*block, "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    out = titles.select(*block, F.col("key").alias("a"), F.col("key").alias("b")).schema
-    met = dealt.groupBy(*block, "i", "j").applyInArrow(_compared(block, threshold), out)
-    swapped = (F.length("a") > F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") > F.col("b")))
-    large = met.select(*block, F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b"))
-    return small.unionByName(large).select(*block, "a", "b", d).filter(alike).select(*block, "a", "b")
+    # a number of its own, as the work is far more than the bytes that partitions are merged by
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *block, "i", "j")
+    out = own.select(*block, F.col("key").alias("a"), F.col("key").alias("b")).schema
+    met = near(dealt.groupBy(*block, "i", "j").applyInArrow(_compared(block, threshold), out), RADIUS)
+    met = met.unionByName(centres.select(*block, F.col("key").alias("a"), F.col("key").alias("b"))).withColumnsRenamed({"a": "ca", "b": "cb"})
+    members = lambda c: many.select(*block, F.col("centre").alias(f"c{c}"), F.col("key").alias(c))
+    large = met.join(members("a"), [*block, "ca"]).join(members("b"), [*block, "cb"]).filter("ca <> cb or a < b")
+    return near(small.unionByName(large.select(*block, "a", "b")), 0)
 
 
 def buckets(found: DataFrame, per_extension: bool = True, fuzzy: bool = False, threshold: float = SIMILAR) -> DataFrame:

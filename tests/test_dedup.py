@@ -125,6 +125,33 @@ def test_similar_pairs_send_few_rows(spark):
     assert got == all_pairs(spark, keys)
 
 
+def test_classes_of_similar_titles(spark):
+    """Variants meet through centres; classes are those of all pairs, and few rows are sent."""
+    import random
+
+    r = random.Random(6)
+    syllables = "der die und ein sch ich en er au ung ge be".split()
+    keys = ["".join(r.choice(syllables) for _ in range(r.randrange(14, 20))) for _ in range(150)]
+    keys = sorted({v for k in keys for v in (k, k[:4] + k[5:], k + "x", k[:-1])})
+    titles = spark.createDataFrame([(k, 1) for k in keys], "key string, block int")
+    centred = dedup._centred(titles, ["block"])
+    assert centred.filter("levenshtein(key, centre) > 2").count() == 0 and centred.select("centre").distinct().count() < 0.7 * len(keys)
+    before = shuffled(spark)
+    links = dedup.similar_pairs(titles, ["block"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    got = {x["node"]: x["component"] for x in components(links).collect()}
+    assert shuffled(spark) - before < 100 * len(keys)
+    pairs = all_pairs(spark, keys)
+    want = {k: k for pair in pairs for k in pair}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            least = min(want[a], want[b])
+            changed |= want[a] != least or want[b] != least
+            want[a] = want[b] = least
+    assert got == want
+
+
 @pytest.mark.parametrize("longest", [6, 40, 90])
 def test_similar_pairs_of_large_blocks(spark, monkeypatch, longest):
     """In pieces, with titles of all lengths and characters."""
