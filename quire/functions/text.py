@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 import unicodedata
 
 import pandas as pd
@@ -38,7 +40,9 @@ def nfkc(text: Column) -> Column:
 
 #: Entities that are decoded in the JVM, the ampersand last.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-_OTHER_ENTITY = "&(?!(?:" + "|".join(name[1:] for name, _ in ENTITIES) + "))[#A-Za-z]"
+_NOT_COMMON = "&(?!(?:" + "|".join(name[1:] for name, _ in ENTITIES) + "))"
+_OTHER_ENTITY = _NOT_COMMON + "[#A-Za-z]"
+_OTHER_CLOSED = _NOT_COMMON + "(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][0-9A-Za-z]*);"
 
 
 @F.pandas_udf(StringType())
@@ -46,13 +50,26 @@ def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else html.unescape(x))
 
 
-def unescape_html(text: Column) -> Column:
-    """Entities as the characters that they stand for; only a text with uncommon ones goes through Python."""
-    odd = text.rlike(_OTHER_ENTITY)
+_CLOSED = re.compile(r"&(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][0-9A-Za-z]*);")
+
+
+@F.pandas_udf(StringType())
+def _unescape_closed(values: pd.Series) -> pd.Series:
+    def character(found: re.Match) -> str:
+        whole = found[0]
+        return html.unescape(whole) if whole[1] == "#" or whole[1:] in html.entities.html5 else whole
+
+    return values.map(lambda x: None if x is None else _CLOSED.sub(character, x))
+
+
+def unescape_html(text: Column, closed: bool = False) -> Column:
+    """Entities as the characters that they stand for, with closed only those that end in a semicolon; only a text with uncommon ones goes through Python."""
+    odd = text.rlike(_OTHER_CLOSED if closed else _OTHER_ENTITY)
     common = text
     for name, character in ENTITIES:
         common = F.replace(common, F.lit(name), F.lit(character))
-    return F.when(odd, _unescape(F.when(odd, text))).otherwise(common)
+    decode = _unescape_closed if closed else _unescape
+    return F.when(odd, decode(F.when(odd, text))).otherwise(common)
 
 
 @F.pandas_udf(StringType())
@@ -142,8 +159,8 @@ def tidy_lines(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(text, r"[ \t\f\x0B]+", " "), r"\n{3,}", "\n\n"))
 
 
-def plain_text(markup: Column) -> Column:
-    return tidy_lines(unescape_html(markup_lines(markup)))
+def plain_text(markup: Column, closed: bool = False) -> Column:
+    return tidy_lines(unescape_html(markup_lines(markup), closed))
 
 
 def flat_text(markup: Column) -> Column:
